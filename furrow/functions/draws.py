@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 def draw_key(seed, *keys: Column | str) -> Column:
     """Hex digest that orders rows at random."""
     parts = [F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys]
-    return F.md5(F.concat_ws("|", *parts, F.lit(str(seed))))
+    salt = seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))
+    return F.md5(F.concat_ws("|", *parts, salt))
 
 
 def uniform(seed, *keys: Column | str) -> Column:

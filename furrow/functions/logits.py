@@ -14,20 +14,28 @@ def array_sum(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v)
 
 
+def bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it in ``body``; a lambda would re-evaluate it per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def softmax(x: Column) -> Column:
-    top = F.array_max(x)
-    shifted = F.transform(x, lambda v: F.exp(v - top))
-    return F.transform(shifted, lambda v: v / array_sum(shifted))
+    def scaled(top: Column) -> Column:
+        powers = F.transform(x, lambda v: F.exp(v - top))
+        return bind(array_sum(powers), lambda total: F.transform(powers, lambda v: v / total))
+
+    return bind(F.array_max(x), scaled)
 
 
 def log_sum_exp(x: Column) -> Column:
-    top = F.array_max(x)
-    return top + F.log(F.aggregate(x, F.lit(0.0), lambda acc, v: acc + F.exp(v - top)))
+    return bind(
+        F.array_max(x),
+        lambda top: top + F.log(F.aggregate(x, F.lit(0.0), lambda acc, v: acc + F.exp(v - top))),
+    )
 
 
 def log_softmax(x: Column) -> Column:
-    total = log_sum_exp(x)
-    return F.transform(x, lambda v: v - total)
+    return bind(log_sum_exp(x), lambda total: F.transform(x, lambda v: v - total))
 
 
 def argmax(x: Column) -> Column:
@@ -80,8 +88,7 @@ def distill_loss(student: Column, teacher: Column, y: Column, hard: float = 0.5,
     """Row loss; the batch value is its plain average."""
     cool = F.transform(student, lambda v: v / temperature)
     warm = F.transform(teacher, lambda v: v / temperature)
-    log_p = log_softmax(warm)
-    gap = F.zip_with(log_p, log_softmax(cool), lambda t, s: F.exp(t) * (t - s))
+    gap = F.zip_with(log_softmax(warm), log_softmax(cool), lambda t, s: F.exp(t) * (t - s))
     return hard * cross_entropy(student, y) + (1.0 - hard) * temperature * temperature * array_sum(gap)
 
 
@@ -96,13 +103,21 @@ def constrained_logits(x: Column, group_x: Column, compat: Column, w: float = 1.
     """
     if eps <= 0:
         raise ValueError("eps must be > 0")
-    probs = softmax(group_x)
 
-    def fit(shares: Column) -> Column:
+    def fit(probs: Column, shares: Column) -> Column:
         raw = F.transform(shares, lambda v: F.greatest(v, F.lit(0.0)))
-        total = array_sum(raw)
-        even = F.transform(raw, lambda v: F.lit(1.0) / F.size(raw))
-        share = F.when(total > 0, F.transform(raw, lambda v: v / F.greatest(total, F.lit(1e-12)))).otherwise(even)
-        return array_sum(F.zip_with(probs, share, lambda p, s: p * s))
-
-    return F.zip_with(x, compat, lambda v, shares: v + F.lit(float(w)) * F.log(F.greatest(fit(shares), F.lit(eps))))
+        hit = array_sum(F.zip_with(probs, raw, lambda p, s: p * s))
+        even = array_sum(probs) / F.size(raw)
+        return bind(
+            array_sum(raw),
+            lambda total: F.when(total > 0, hit / F.greatest(total, F.lit(1e-12))).otherwise(even),
+        )
+
+    return bind(
+        softmax(group_x),
+        lambda probs: F.zip_with(
+            x,
+            compat,
+            lambda v, shares: v + F.lit(float(w)) * F.log(F.greatest(fit(probs, shares), F.lit(eps))),
+        ),
+    )
