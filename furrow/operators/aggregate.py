@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions.text import mode_text, normalize_id, strip
@@ -32,11 +32,12 @@ def bin_aggregate(obs: DataFrame, group: bool = True) -> DataFrame:
     )
 
 
+def quality_columns() -> list[Column]:
+    return [F.avg("cloud_scene").alias("cloud_scene"), F.avg("px_count").alias("px_count")]
+
+
 def quality_by_date(obs: DataFrame) -> DataFrame:
-    return obs.groupBy("parcel_id", "date").agg(
-        F.avg("cloud_scene").alias("cloud_scene"),
-        F.avg("px_count").alias("px_count"),
-    )
+    return obs.groupBy("parcel_id", "date").agg(*quality_columns())
 
 
 def parcel_texts(obs: DataFrame, cols: Iterable[str] = ("label", "tile", "label_group")) -> DataFrame:

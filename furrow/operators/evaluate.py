@@ -116,7 +116,7 @@ def report_text(report: DataFrame, digits: int = 2) -> DataFrame:
         F.col("kind"), F.col("name"), F.when(F.col("kind") == 1, flat).otherwise(body).alias("line")
     )
     head = f"{'':>{width}s}  {'precision':>9} {'recall':>9} {'f1-score':>9} {'support':>9}"
-    fixed = report.sparkSession.createDataFrame([(-2, "", head), (-1, "", ""), (0, "￿", "")], lines.schema)
+    fixed = report.sparkSession.createDataFrame([(-2, "", head), (-1, "", ""), (1, "", "")], lines.schema)
     order = Window.orderBy("kind", "name")
     return lines.unionByName(fixed).select((F.row_number().over(order) - 1).alias("pos"), "line").orderBy("pos")
 

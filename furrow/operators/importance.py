@@ -36,12 +36,3 @@ def temporal_importance(scores: DataFrame) -> DataFrame:
 
 def top_features(imp: DataFrame, n: int = 15, value: str = "importance") -> DataFrame:
     return imp.orderBy(F.desc(value), "feature").limit(n)
-
-
-def limit_dates(agg: DataFrame, n: int) -> DataFrame:
-    """Rows of the n dates seen on most parcels (all if n <= 0); earlier dates win ties."""
-    if n <= 0:
-        return agg
-    counts = agg.groupBy("date").agg(F.count_distinct("parcel_id").alias("_n"))
-    kept = counts.orderBy(F.desc("_n"), "date").limit(n).select("date")
-    return agg.join(F.broadcast(kept), "date", "left_semi")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions.text import feature_name
@@ -36,10 +36,14 @@ def pivot_index_date(agg: DataFrame, features: Sequence[str] | None = None) -> D
     return named.groupBy("parcel_id").pivot("feature", features).agg(F.avg("value"))
 
 
+def index_columns(indices: Iterable[str], value: str = "value") -> list[Column]:
+    return [F.avg(F.when(F.col("idx") == i, F.col(value))).alias(i) for i in indices]
+
+
 def pivot_index(agg: DataFrame, indices: Iterable[str] | None = None, keys: Sequence[str] = ("parcel_id", "date"), value: str = "value") -> DataFrame:
     """One column per index. Conditional means keep it a single hash aggregation."""
     names = list(indices) if indices is not None else index_list(agg)
-    return agg.groupBy(*keys).agg(*[F.avg(F.when(F.col("idx") == i, F.col(value))).alias(i) for i in names])
+    return agg.groupBy(*keys).agg(*index_columns(names, value))
 
 
 def date_index_names(dates: Iterable, indices: Iterable[str]) -> list[str]:
