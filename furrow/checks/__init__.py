@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("cleaning", "features")
+AREAS = ("cleaning", "features", "imagery", "sampling", "scoring")
 
 
 def all_checks():

@@ -131,3 +131,16 @@ def compat_summary(compat: DataFrame, label: str = "label_id") -> DataFrame:
         F.avg("links").alias("mean_links_per_class"),
         F.max("links").alias("max_links_per_class"),
     )
+
+
+def class_array(table: DataFrame, value: str, label: str = "label_id"):
+    """Values of a class table, ordered by class id, as one array to use in any projection."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(label).alias("id"), F.col(value).cast("double").alias("v"))))
+    return table.agg(rows["v"]).scalar()
+
+
+def compat_array(compat: DataFrame, label: str = "label_id", group: str = "group_id"):
+    """Group shares per class, both ordered by id, as an array of arrays."""
+    shares = F.array_sort(F.collect_list(F.struct(F.col(group).alias("g"), F.col("share").alias("v"))))["v"]
+    per_class = compat.groupBy(label).agg(shares.alias("s"))
+    return per_class.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("id"), "s")))["s"]).scalar()
