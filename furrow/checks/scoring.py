@@ -8,7 +8,8 @@ from furrow.checks import views as v
 from furrow.checks.registry import check
 from furrow.checks.views import r6, r6s
 from furrow.functions import logits as L
-from furrow.operators import aggregate, encode, ensemble, evaluate, models, reshape
+from furrow.operators import aggregate, encode, ensemble, evaluate, models, oversample, reshape
+from furrow.operators.neighbours import nearest_neighbours
 
 LABELS = "labels_of AS (SELECT y_true AS label FROM preds UNION SELECT y_pred FROM preds UNION SELECT 10)"
 
@@ -332,3 +333,72 @@ def _(spark, sf):
     rows = feature_rows(spark, sf)
     model = models.fit_random_forest(rows, FEATURES, trees=10, depth=4)
     return models.feature_importance(model, FEATURES, spark)
+
+
+def vectors(spark, sf):
+    vec = F.transform("embedding", lambda x: x.cast("double"))
+    return v.table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("parcel_id"), F.col("label").alias("label"), vec.alias("vec"))
+
+
+PAIRS = """pts AS (SELECT vec_id::VARCHAR AS id, label, embedding::DOUBLE[] AS e FROM embeddings),
+    near AS (SELECT a.id AS parcel_id, b.id AS neighbour, a.label AS la, b.label AS lb, list_distance(a.e, b.e) AS d,
+      row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.e, b.e), b.id) AS rank FROM pts a JOIN pts b ON a.id <> b.id {on})"""
+
+
+@check(
+    "x13_class_neighbours",
+    "",
+    f"WITH {PAIRS.format(on='AND a.label = b.label')} SELECT parcel_id, neighbour, {r6('d', 'distance')}, rank FROM near WHERE rank <= 5",
+)
+def _(spark, sf):
+    rows = vectors(spark, sf)
+    return nearest_neighbours(rows, rows, 5, "label")
+
+
+SHORT = """short AS (SELECT label, n, (SELECT max(n) FROM c) - n AS need FROM c WHERE n < (SELECT max(n) FROM c))"""
+
+
+@check(
+    "x14_danger_rows",
+    "",
+    f"""WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1), {SHORT}, {PAIRS.format(on='')},
+    f AS (SELECT parcel_id, any_value(la) AS label, count(*) FILTER (la <> lb) AS f FROM near WHERE rank <= 10 GROUP BY 1)
+    SELECT parcel_id, label FROM f JOIN short USING (label) WHERE f >= 5 AND f < 10""",
+)
+def _(spark, sf):
+    rows = vectors(spark, sf)
+    sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    short = rows.join(sizes, "label").where(F.col("n") < sizes.agg(F.max("n")).scalar()).drop("n")
+    return oversample.danger_rows(rows, short).select("parcel_id", "label")
+
+
+@check("x13_smote_counts", "", "SELECT label AS label_id, (SELECT max(n) FROM (SELECT count(*) AS n FROM embeddings GROUP BY label)) AS n FROM embeddings GROUP BY 1")
+def _(spark, sf):
+    out = oversample.smote(feature_rows(spark, sf), FEATURES, label="label_id")
+    return out.groupBy("label_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+UNIT = "(('0x' || substr(md5(draw || '|42{s}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
+@check(
+    "x13_synthetic_rows",
+    "",
+    f"""WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1), {SHORT}, {PAIRS.format(on='AND a.label = b.label')},
+    hi AS (SELECT *, sum(need) OVER (ORDER BY label) AS hi FROM short),
+    d AS (SELECT draw, arg_min(label, hi) AS label, arg_min(n, hi) AS n FROM range(0, (SELECT sum(need)::BIGINT FROM short)) AS r(draw) JOIN hi ON hi > draw GROUP BY 1),
+    rk AS (SELECT id, label, e, row_number() OVER (PARTITION BY label ORDER BY md5(id || '|42'), id) AS rank FROM pts),
+    s AS (SELECT draw, label, floor({UNIT.format(s='r')} * n) + 1 AS rank, floor({UNIT.format(s='n')} * 5) + 1 AS slot, {UNIT.format(s='g')} AS gap FROM d)
+    SELECT 'synthetic-' || draw AS parcel_id, s.label, rk.id AS base, near.neighbour, {r6('gap', 'gap')}, {r6('rk.e[1] + gap * (o.e[1] - rk.e[1])', 'first')},
+    {r6('rk.e[64] + gap * (o.e[64] - rk.e[64])', 'last')}
+    FROM s JOIN rk ON rk.label = s.label AND rk.rank = s.rank JOIN near ON near.parcel_id = rk.id AND near.rank = s.slot JOIN pts o ON o.id = near.neighbour""",
+)
+def _(spark, sf):
+    out = oversample.synthetic_rows(vectors(spark, sf))
+    return out.select("parcel_id", "label", "base", "neighbour", "gap", F.get("vec", F.lit(0)).alias("first"), F.get("vec", F.lit(63)).alias("last"))
+
+
+@check("x14_borderline_smote")
+def _(spark, sf):
+    out = oversample.borderline_smote(feature_rows(spark, sf), FEATURES, label="label_id")
+    return out.groupBy("label_id").agg(F.count(F.lit(1)).alias("n"))
