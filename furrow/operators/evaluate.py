@@ -110,8 +110,10 @@ def report_text(report: DataFrame, digits: int = 2) -> DataFrame:
     """The report as fixed-width text: ``pos`` and ``line``, in printing order."""
     width = report.agg(F.greatest(F.max(F.length("name")), F.lit(len("weighted avg")))).first()[0]
     cell, gap = f"%9.{digits}f", " " * 9
-    body = F.format_string(f"%{width}s  {cell} {cell} {cell} %9d", "name", "precision", "recall", "f1", "support")
-    flat = F.format_string(f"%{width}s  {gap} {gap} {cell} %9d", "name", "f1", "support")
+    # Halves round to even, as the usual text reports do.
+    p, r, f = (F.bround(c, digits) for c in ("precision", "recall", "f1"))
+    body = F.format_string(f"%{width}s  {cell} {cell} {cell} %9d", "name", p, r, f, "support")
+    flat = F.format_string(f"%{width}s  {gap} {gap} {cell} %9d", "name", f, "support")
     lines = report.select(
         F.col("kind"), F.col("name"), F.when(F.col("kind") == 1, flat).otherwise(body).alias("line")
     )

@@ -24,6 +24,7 @@ from furrow.operators.reshape import (
 )
 from furrow.operators.splits import stratified_split
 from furrow.operators.timegrid import limit_dates
+from furrow.session import cut_lineage
 
 
 def cells(obs: DataFrame, labels: DataFrame, p: TabularParams) -> DataFrame:
@@ -34,13 +35,15 @@ def cells(obs: DataFrame, labels: DataFrame, p: TabularParams) -> DataFrame:
     """
     rows = drop_missing(obs, ["date", "parcel_id", "idx", "value_mean", "px_count", "cloud_scene"])
     rows = min_px(max_cloud(keep_indices(rows, p.indices), p.max_cloud), p.min_px)
-    return limit_dates(labelled_only(weighted_mean(rows), labels), p.max_dates)
+    # Read by every later step, some of them several times: write it once.
+    return cut_lineage(limit_dates(labelled_only(weighted_mean(rows), labels), p.max_dates))
 
 
 def targets(agg: DataFrame, labels: DataFrame, p: TabularParams) -> DataFrame:
     """Parcels with cells, in classes that are large enough, with class id and split."""
     seen = labels.join(agg.select("parcel_id").distinct(), "parcel_id", "left_semi")
-    return stratified_split(encode_labels(min_class_count(seen, p.min_class_count)), "label", p.test_size, p.seed)
+    kept = cut_lineage(encode_labels(min_class_count(seen, p.min_class_count)))
+    return cut_lineage(stratified_split(kept, "label", p.test_size, p.seed))
 
 
 def impute_wide(df: DataFrame, cols: list[str], fit_on: str = "train") -> DataFrame:
@@ -53,10 +56,10 @@ def impute_wide(df: DataFrame, cols: list[str], fit_on: str = "train") -> DataFr
 def feature_table(agg: DataFrame, kept: DataFrame, p: TabularParams) -> DataFrame:
     """Wide features of the kept parcels: filled series, then phenology if asked for.
 
-    After the cells are distributed by parcel once, gap filling, phenology and both pivots group
-    by the parcel (and more), so none of them shuffles again.
+    The cells are distributed by parcel once, before the join: whichever join Spark picks, gap
+    filling and phenology then group by the parcel (and more) without another exchange.
     """
-    own = agg.join(kept.select("parcel_id", "split"), "parcel_id").repartition("parcel_id")
+    own = agg.repartition("parcel_id").join(kept.select("parcel_id", "split"), "parcel_id")
     fit = None if p.fit_on == "all" else "train"
     if p.fill == "interleaved":
         dates = date_list(agg)

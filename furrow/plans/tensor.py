@@ -10,7 +10,8 @@ from furrow.operators.aggregate import bin_aggregate, parcel_texts, quality_colu
 from furrow.operators.encode import encode_labels, label_dictionary
 from furrow.operators.reshape import index_columns, index_list
 from furrow.operators.splits import create_splits
-from furrow.operators.timegrid import bin_dates, grid_dates, to_tensor
+from furrow.operators.timegrid import bin_dates, grid_dates, observed, to_tensor
+from furrow.session import cut_lineage
 from furrow.sources.prepared import Prepared
 from furrow.sources.readers import clean_training
 
@@ -28,11 +29,11 @@ def prepare(training: DataFrame, p: TensorParams = TensorParams(), clean: bool =
     """
     rows = clean_training(training, p.indices, p.min_px, p.max_cloud) if clean else training
     grouped = "label_group" in rows.columns
-    binned = bin_aggregate(bin_dates(rows, p.frequency), grouped).repartition("parcel_id")
+    # One exchange by parcel serves the step rows, the arrays and the parcel texts.
+    binned = cut_lineage(bin_aggregate(bin_dates(rows, p.frequency), grouped).repartition("parcel_id"))
     features, dates = index_list(binned), grid_dates(binned, p.frequency)
 
     texts = parcel_texts(binned, ["label", "tile"] + (["label_group"] if grouped else []))
-    texts = texts.withColumn("tile", F.when(F.col("tile") != "", F.col("tile")).otherwise("unknown"))
     labels = label_dictionary(texts)
     encoded = encode_labels(texts)
     if grouped:
@@ -42,10 +43,13 @@ def prepare(training: DataFrame, p: TensorParams = TensorParams(), clean: bool =
         groups = texts.sparkSession.createDataFrame([], "label_group string, group_id int")
         encoded = encoded.withColumn("group_id", F.lit(MISSING_GROUP))
 
-    arrays = to_tensor(step_rows(binned, features), features, dates, p.fill_value)
-    n_obs = F.size(F.filter("observed", lambda o: o))
-    kept = arrays.where(n_obs >= p.min_obs)
-    ids = encoded.join(kept.select("parcel_id"), "parcel_id", "left_semi").select("parcel_id", "label_id", "group_id", "tile")
+    steps = step_rows(binned, features)
+    # Dates outside the grid (days a regular grid skips) are not part of the arrays.
+    on_grid = steps.where(F.col("date").isin(*dates) & observed(features))
+    enough = on_grid.groupBy("parcel_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= p.min_obs)
+    ids = encoded.join(enough.select("parcel_id"), "parcel_id", "left_semi")
+    ids = cut_lineage(ids.select("parcel_id", "label_id", "group_id", "tile"))
     split = create_splits(ids, p.split_method, test=p.test_size, val=p.val_size, seed=p.seed, stratify=p.stratify, label="label_id")
-    out = kept.join(split, "parcel_id").withColumns({c: F.col(c).cast("int") for c in ("label_id", "group_id")})
+    arrays = to_tensor(steps, features, dates, p.fill_value)
+    out = arrays.join(split, "parcel_id").withColumns({c: F.col(c).cast("int") for c in ("label_id", "group_id")})
     return Prepared(out, features, dates, labels, groups)

@@ -33,8 +33,8 @@ def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     The table is computed once under a row limit. Beyond the limit the same DataFrame is
     returned unhinted, so the join falls back to a shuffle join (with AQE skew handling).
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 

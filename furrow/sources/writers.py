@@ -20,8 +20,11 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def append_training(df: DataFrame, path: str) -> None:
-    """Append to the training table, one folder per tile."""
-    df.write.mode("append").partitionBy("tile").parquet(path)
+    """Append to the training table, one folder per tile.
+
+    The rebalance hint gathers small tiles into few files and splits a tile that holds most rows.
+    """
+    df.hint("rebalance", "tile").write.mode("append").partitionBy("tile").parquet(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
