@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("cleaning", "features", "imagery", "sampling", "scoring")
+AREAS = ("cleaning", "features", "imagery", "sampling", "scoring", "storage")
 
 
 def all_checks():

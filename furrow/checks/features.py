@@ -543,3 +543,13 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return exact_quantiles(cells40(spark, sf), ["idx"], "value", [0.1, 0.25, 0.5, 0.9])
+
+
+@check(
+    "j3_phenology",
+    "agg40",
+    f"""SELECT parcel_id, idx, {', '.join(r6(e, f'"{n}"') for n, e in STAT_SQL.items())} FROM
+    (SELECT *, lead(value) OVER w AS nv, lead(dayofyear(date)) OVER w AS nd FROM agg40 WINDOW w AS (PARTITION BY parcel_id, idx ORDER BY date)) GROUP BY ALL""",
+)
+def _(spark, sf):
+    return phenology.phenology(cells40(spark, sf))

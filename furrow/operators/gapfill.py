@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.operators.quantiles import exact_median
-from furrow.session import small_side
+from furrow.session import cut_lineage, small_side
 
 
 def _fill(rows: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -84,6 +84,8 @@ def impute_median(filled: DataFrame, fit: DataFrame | None = None) -> DataFrame:
 
     ``fit`` holds the rows the medians come from (training rows); all rows if not given.
     """
+    # Read by the medians (counts, then percentiles), the gaps and the result.
+    filled = cut_lineage(filled)
     medians = small_side(column_medians(fit if fit is not None else filled))
     names = medians.agg(F.array_sort(F.collect_set("idx")).alias("_all"))
     absent = (

@@ -76,17 +76,18 @@ def _reach(cells: DataFrame, pivots: dict[str, np.ndarray], k: int):
     few = cells.withColumn("_rn", F.row_number().over(nearest)).where(F.col("_rn") <= k)
     lists = few.groupBy("g", "cell").agg(F.array_sort(F.collect_list("d")).alias("near"))
     extents = cells.where("is_query").groupBy("g", "cell").agg(F.max("d").alias("far"))
-    stats = lists.join(extents, ["g", "cell"], "left").collect()
+    stats: dict[str, list] = {}
+    for r in lists.join(extents, ["g", "cell"], "left").collect():
+        stats.setdefault(r["g"], []).append(r)
     bounds = {}
     for g, p in pivots.items():
         between = np.stack([_distances(x, p) for x in p])
         near = np.full((len(p), k), np.inf)
         far = np.full(len(p), -np.inf)
-        for r in stats:
-            if r["g"] == g:
-                near[r["cell"], : len(r["near"])] = r["near"]
-                if r["far"] is not None:
-                    far[r["cell"]] = r["far"]
+        for r in stats[g]:
+            near[r["cell"], : len(r["near"])] = r["near"]
+            if r["far"] is not None:
+                far[r["cell"]] = r["far"]
         low, high = np.full((len(p), len(p)), np.inf), np.full((len(p), len(p)), -np.inf)
         for i in np.flatnonzero(np.isfinite(far)):
             # No query of cell i has its k-th neighbour farther than this.

@@ -8,6 +8,7 @@ only the slice around the wanted rank is ever sorted.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,18 +17,28 @@ from furrow.functions.draws import draw_key
 from furrow.session import small_side
 
 # Sketch accuracy and half-width of the slice sorted around each wanted rank.
-ACCURACY = 10_000
-SLICE = 0.001
+ACCURACY = 1_000
+SLICE = 0.002
+# Groups of at most this many rows may be held by one aggregation buffer.
+BOUNDED_ROWS = 50_000
 
 
-def _zone(value: Column, cuts: Column) -> Column:
-    return F.aggregate(cuts, F.lit(0), lambda acc, c: acc + F.when(value > c, 1).otherwise(0))
+def _zone(value: Column, cuts: Column, n: int) -> Column:
+    """How many of the n cut points lie below the value."""
+    above = [F.when(value > F.get(cuts, F.lit(i)), 1).otherwise(0) for i in range(n)]
+    return reduce(lambda a, b: a + b, above)
+
+
+def _all_bounded(rows: DataFrame, by: Sequence[str]) -> bool:
+    largest = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return (largest or 0) <= BOUNDED_ROWS
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Iterable[float] = (0.5,)) -> DataFrame:
     """Linear-interpolated exact quantiles per key: keys, ``prob``, ``quantile``.
 
-    A mergeable sketch proposes cut points, exact counts per zone find the zone that holds each
+    Groups that are counted to be small use the built-in percentile. Otherwise
+    a mergeable sketch proposes cut points, exact counts per zone find the zone that holds each
     wanted rank, and only the values of those zones are combined and sorted. Poor cut points cost
     time, never exactness. The groups themselves (not their rows) are a dictionary-size table.
     """
@@ -36,10 +47,15 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Itera
     if not keys:
         rows = rows.withColumn("_all", F.lit(0))
     by = keys or ["_all"]
+    if _all_bounded(rows, by):
+        found = F.arrays_zip(
+            F.array(*[F.lit(p) for p in probs]).alias("prob"), F.percentile("_v", F.array(*[F.lit(p) for p in probs])).alias("quantile")
+        )
+        return rows.groupBy(*by).agg(found.alias("_q")).select(*keys, F.explode("_q").alias("_q")).select(*keys, "_q.prob", "_q.quantile")
 
     around = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-SLICE, SLICE)})
     cuts = small_side(rows.groupBy(*by).agg(F.percentile_approx("_v", around, ACCURACY).alias("_cuts")))
-    zoned = rows.join(cuts, by).withColumn("_zone", _zone(F.col("_v"), F.col("_cuts"))).drop("_cuts")
+    zoned = rows.join(cuts, by).withColumn("_zone", _zone(F.col("_v"), F.col("_cuts"), len(around))).drop("_cuts")
 
     before = Window.partitionBy(*by).orderBy("_zone").rowsBetween(Window.unboundedPreceding, -1)
     zones = (

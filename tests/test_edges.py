@@ -209,7 +209,9 @@ def test_large_scores_do_not_overflow(spark):
     assert p[0] == pytest.approx(0.7310585786) and sum(p) == pytest.approx(1.0)
 
 
-def test_quantiles_of_heavy_ties(spark):
+@pytest.mark.parametrize("bounded", [0, 50_000])
+def test_quantiles_of_heavy_ties(spark, monkeypatch, bounded):
+    monkeypatch.setattr(quantiles, "BOUNDED_ROWS", bounded)
     df = spark.range(3000).select(F.when(F.col("id") % 3 != 0, 5.0).otherwise(F.col("id").cast("double")).alias("v"))
     out = {r["prob"]: r["quantile"] for r in quantiles.exact_quantiles(df, [], "v", [0.0, 0.5, 0.9, 1.0]).collect()}
     values = sorted(5.0 if n % 3 else float(n) for n in range(3000))
@@ -219,7 +221,9 @@ def test_quantiles_of_heavy_ties(spark):
     assert out[0.9] == pytest.approx(low + (high - low) * 0.1)
 
 
-def test_quantiles_of_one_value(spark):
+@pytest.mark.parametrize("bounded", [0, 50_000])
+def test_quantiles_of_one_value(spark, monkeypatch, bounded):
+    monkeypatch.setattr(quantiles, "BOUNDED_ROWS", bounded)
     df = spark.createDataFrame([("a", 3.0), ("b", None)], "k string, v double")
     assert [(r["k"], r["quantile"]) for r in quantiles.exact_quantiles(df, ["k"], "v", [0.25]).collect()] == [("a", 3.0)]
 
