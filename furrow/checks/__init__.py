@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("cleaning", "features", "imagery", "sampling", "scoring", "storage")
+AREAS = ("cleaning", "features", "imagery", "sampling", "scoring", "storage", "paths")
 
 
 def all_checks():

@@ -15,6 +15,10 @@ from furrow.operators.reshape import unpivot_zonal
 from furrow.operators.scenes import require_assets, search_scenes, select_scenes
 from furrow.operators.spatial import scene_coverage
 from furrow.functions.text import normalize_id, strip
+from furrow.session import small_side
+
+# Up to this many picked scenes (a few megabytes) are broadcast to the pixel scan.
+MAX_SCENES = 200_000
 
 
 def pick_scenes(catalogue: DataFrame, parcels: DataFrame, start, end, cell: float = 0.1, exact: bool = True, top_k: int = TOP_K_PER_WINDOW, days: int = WINDOW_DAYS) -> DataFrame:
@@ -27,11 +31,12 @@ def pick_scenes(catalogue: DataFrame, parcels: DataFrame, start, end, cell: floa
 def observe_parcels(pixels: DataFrame, scenes: DataFrame, indices: Iterable[str] = INDEX_NAMES, min_px_count: int = SCENE_MIN_PX) -> DataFrame:
     """Long observations of the picked scenes.
 
-    The scene table prunes the pixel scan by (tile, date); the zonal aggregation combines
-    map-side, and everything after it works on one row per parcel and scene.
+    The scene table, if it is as small as a catalogue selection should be, prunes the pixel scan
+    by (tile, date) without moving a pixel; the zonal aggregation combines map-side, and
+    everything after it works on one row per parcel and scene.
     """
     indices = list(indices)
-    picked = scenes.select("tile", "date", F.coalesce("cloud", F.lit(100.0)).alias("cloud_scene"))
+    picked = small_side(scenes.select("tile", "date", F.coalesce("cloud", F.lit(100.0)).alias("cloud_scene")), MAX_SCENES)
     zones = zonal_stats(masked_indices(pixels.join(picked.select("tile", "date"), ["tile", "date"], "left_semi"), indices), indices)
     kept = min_zone_px(zones, min_px_count, "ndvi" if "NDVI" in indices else indices[0].lower())
     return unpivot_zonal(kept.join(picked, ["tile", "date"]), indices, ["date", "tile", "parcel_id", "cloud_scene"])

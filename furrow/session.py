@@ -18,6 +18,8 @@ def build_session(app: str = "furrow", master: str | None = None, **conf) -> Spa
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Split a hot key even where the join's partitioning would have served a later step.
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.session.timeZone": "UTC",
         # Percentiles, modes and lists keep hashing instead of sorting beyond 128 groups per task.
         "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
