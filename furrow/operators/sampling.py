@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from furrow.functions.arrays import bind
 from furrow.functions.draws import draw_key, gaussian, uniform
 from furrow.operators.encode import rare_weight, sampling_weight
 from furrow.operators.quantiles import random_rank
@@ -30,12 +31,13 @@ def _resample(train: DataFrame, weights: DataFrame, seed: int, label: str, key:
     table = train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).join(weights.select(label, "weight"), label)
     n = train.count() if n is None else n
     intervals = class_intervals(table, label, F.col("n") * F.col("weight"))
+    last = F.element_at("_all", -1)
     draws = (
         spark.range(n)
         .withColumnRenamed("id", "draw")
         .withColumn("_all", intervals)
-        .withColumn("_at", uniform(f"{seed}c", "draw") * F.element_at("_all", -1)["hi"])
-        .withColumn("_c", F.coalesce(F.get(F.filter("_all", lambda c: c["hi"] > F.col("_at")), F.lit(0)), F.element_at("_all", -1)))
+        .withColumn("_c", bind(uniform(f"{seed}c", "draw") * last["hi"], lambda at: F.get(F.filter("_all", lambda c: c["hi"] > at), F.lit(0))))
+        .withColumn("_c", F.coalesce("_c", last))
         .select(
             "draw",
             F.col("_c.label").alias(label),

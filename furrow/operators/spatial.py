@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from furrow.functions.arrays import bind
+
 BOX = ("minx", "miny", "maxx", "maxy")
 
 
@@ -55,7 +57,7 @@ def segments_meet(e: Column, f: Column) -> Column:
 
 def rings_meet(p: Column, q: Column) -> Column:
     """True if the areas share a point; touching counts."""
-    crossing = F.exists(edges(p), lambda e: F.exists(edges(q), lambda f: segments_meet(e, f)))
+    crossing = bind(edges(q), lambda others: F.exists(edges(p), lambda e: F.exists(others, lambda f: segments_meet(e, f))))
     p0, q0 = F.get(p, F.lit(0)), F.get(q, F.lit(0))
     return crossing | point_in_ring(p0["x"], p0["y"], q) | point_in_ring(q0["x"], q0["y"], p)
 

@@ -8,6 +8,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from furrow.functions.arrays import bind
+
 # Calendar units a frequency code stands for; their bins start with the unit.
 CALENDAR_UNITS = {"W": "week", "M": "month", "MS": "month", "Q": "quarter", "QS": "quarter", "Y": "year", "YS": "year"}
 
@@ -88,11 +90,14 @@ def to_tensor(cells: DataFrame, features: Sequence[str], dates: Sequence, fill:
         F.lit(0.0).cast("float").alias("p"),
     )
     rows = cells.select("parcel_id", t.alias("t"), slot.alias("s")).where("t >= 0")
-    slots = F.map_from_entries(F.collect_list(F.struct("t", "s")))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(len(dates) - 1)), lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), empty))
+    steps = F.sequence(F.lit(0), F.lit(len(dates) - 1))
+    # Bound, because a lambda would rebuild the map at every step.
+    dense = bind(
+        F.map_from_entries(F.col("_m")), lambda m: F.transform(steps, lambda i: F.coalesce(F.try_element_at(m, i), empty))
+    )
     return (
         rows.groupBy("parcel_id")
-        .agg(slots.alias("_m"))
+        .agg(F.collect_list(F.struct("t", "s")).alias("_m"))
         .select("parcel_id", dense.alias("_s"))
         .select(
             "parcel_id",
