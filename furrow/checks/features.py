@@ -11,7 +11,7 @@ from furrow.checks.cleaning import cells40, dense
 from furrow.checks.registry import check
 from furrow.checks.views import r6, r6s
 from furrow.functions import quality, text
-from furrow.operators import aggregate, clean, encode, gapfill, importance, phenology, raster, reshape, scaling, timegrid
+from furrow.operators import aggregate, clean, gapfill, importance, phenology, reshape, scaling, timegrid
 from furrow.operators.quantiles import exact_quantiles
 
 NAMES = ["CLICK", "ERROR", "PURCHASE", "SIGNUP", "VIEW"]

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from furrow.functions.text import normalize_id, parse_date, strip, to_number
 from furrow.operators.clean import drop_blank, drop_missing, keep_indices, max_cloud, min_px, require_dates
-from furrow.schemas import CSV_NAMES, LABELS, OBSERVATIONS, TRAINING
+from furrow.schemas import CSV_NAMES, OBSERVATIONS, TRAINING
 
 TEXT_COLUMNS = ("parcel_id", "tile", "idx", "label", "label_group")
 
@@ -83,5 +83,3 @@ def clean_training(rows: DataFrame, indices: Iterable[str] | None = None, min_px
         rows = keep_indices(rows, wanted)
     return max_cloud(min_px(rows, min_px_count), max_cloud_scene)
 
-
-__all__ = ["LABELS", "read_labels", "read_observations", "read_training", "clean_training", "require_columns"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from furrow.checks import views as v
 from furrow.config import SEQUENCE, TabularParams, TensorParams
-from furrow.operators import evaluate, models, oversample, quantiles
+from furrow.operators import aggregate, evaluate, models, oversample, phenology, scenes, spatial, splits, timegrid
 from furrow.operators.aggregate import first_label
 from furrow.operators.timegrid import from_tensor
 from furrow.plans import long_table, tabular, tensor
@@ -153,8 +153,8 @@ def test_pick_scenes_and_observe(spark):
     ]
     from furrow.operators.spatial import with_box
 
-    scenes = with_box(spark.createDataFrame(rows, f"scene_id string, date date, tile string, cloud double, footprint {ring}, assets map<string,string>"), "footprint")
-    picked = long_table.pick_scenes(scenes, with_box(parcels), "2024-01-01", "2024-12-31", 0.25)
+    catalogue = with_box(spark.createDataFrame(rows, f"scene_id string, date date, tile string, cloud double, footprint {ring}, assets map<string,string>"), "footprint")
+    picked = long_table.pick_scenes(catalogue, with_box(parcels), "2024-01-01", "2024-12-31", 0.25)
     # s2 covers less, s3 lacks bands, s4 is too cloudy, s5 covers nothing.
     assert [(r["scene_id"], r["coverage"]) for r in picked.collect()] == [("s1", 2)]
     pixels = spark.createDataFrame(
@@ -191,7 +191,7 @@ def test_models(spark):
     assert models.macro_f1(forest.transform(df)) > 0.95
     imp = models.feature_importance(forest, ["a", "b"], spark).collect()
     assert imp[0]["feature"] == "a" and sum(r["importance"] for r in imp) == pytest.approx(1.0)
-    rows = df.withColumn("hold", F.col("id" if "id" in df.columns else "parcel_id").cast("int") % 5 == 0)
+    rows = df.withColumn("hold", F.col("parcel_id").cast("int") % 5 == 0)
     boosted = models.fit_boosted_trees(rows, ["a", "b"], validation="hold", n_rounds=3, depth=2)
     assert models.macro_f1(boosted.transform(df)) > 0.95
     assert sum(r["importance"] for r in models.feature_importance(boosted, ["a", "b"], spark).collect()) == pytest.approx(1.0)
@@ -205,9 +205,43 @@ def test_small_side_leaves_large_tables_distributed(spark):
     assert small_side(big, 100).count() == 100
 
 
-def test_plans_have_no_python_and_few_exchanges(spark, obs):
-    from furrow.operators import aggregate, phenology
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
 
-    plan = phenology.phenology(aggregate.weighted_mean(obs))._jdf.queryExecution().executedPlan().toString()
+
+def test_series_statistics_need_two_exchanges_and_no_python(obs):
+    plan = executed(phenology.phenology(aggregate.weighted_mean(obs)))
     assert "Python" not in plan and plan.count("Exchange hashpartitioning") == 2
-    assert quantiles.DIGITS == 3
+
+
+def test_one_exchange_by_parcel_serves_the_arrays(spark, obs):
+    binned = obs.select("parcel_id", "date", "idx", "value_mean", "cloud_scene", "px_count").repartition("parcel_id")
+    steps = tensor.step_rows(binned, ["CLICK", "VIEW"])
+    plan = executed(timegrid.to_tensor(steps, ["CLICK", "VIEW"], [dt.date(2024, 1, 1)]))
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_split_rows_are_not_shuffled(spark, labels):
+    plan = executed(splits.stratified_split(labels))
+    assert "Exchange hashpartitioning" not in plan and "Window" not in plan
+
+
+def test_scene_search_reaches_the_scan(spark, tmp_path):
+    path = str(tmp_path / "scenes")
+    v.scenes(spark, SF).write.parquet(path)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = executed(scenes.search_scenes(spark.read.parquet(path), "1995-01-01", "1995-12-31").select("scene_id"))
+    pushed = plan[plan.index("PushedFilters") :]
+    for condition in ("GreaterThanOrEqual(date", "LessThanOrEqual(date", "LessThan(cloud"):
+        assert condition in pushed
+    assert "coverage" not in plan[plan.index("ReadSchema") :]
+
+
+def test_scene_rank_is_limited_before_the_exchange(spark):
+    plan = executed(scenes.select_scenes(v.scenes(spark, SF), "1992-01-01"))
+    assert plan.count("WindowGroupLimit") == 2
+
+
+def test_spatial_join_is_no_nested_loop(spark):
+    plan = executed(spatial.parcels_in_footprint(v.parcel_boxes(spark, SF), v.scene_boxes(spark, SF), 1.0))
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
