@@ -60,7 +60,15 @@ def _(spark, sf):
     return evaluate.class_report(v.preds(spark, sf), labels(spark, sf))
 
 
-@check("s13_report_text")
+@check(
+    "s13_report_text",
+    "preds",
+    f"""WITH {REPORT}, r AS ({REPORT_ROWS}), l AS (
+    SELECT kind, name, CASE WHEN kind = 1 THEN printf('%12s  %9s %9s %9.2f %9d', name, '', '', f1, support)
+      ELSE printf('%12s  %9.2f %9.2f %9.2f %9d', name, precision, recall, f1, support) END AS line FROM r
+    UNION ALL SELECT -2, '', printf('%12s  %9s %9s %9s %9s', '', 'precision', 'recall', 'f1-score', 'support') UNION ALL SELECT -1, '', '' UNION ALL SELECT 1, '', '')
+    SELECT row_number() OVER (ORDER BY kind, name) - 1 AS pos, line FROM l""",
+)
 def _(spark, sf):
     return evaluate.report_text(evaluate.class_report(v.preds(spark, sf), labels(spark, sf)))
 
@@ -398,7 +406,14 @@ def _(spark, sf):
     return out.select("parcel_id", "label", "base", "neighbour", "gap", F.get("vec", F.lit(0)).alias("first"), F.get("vec", F.lit(63)).alias("last"))
 
 
-@check("x14_borderline_smote")
+@check(
+    "x14_borderline_smote",
+    "",
+    f"""WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1), {SHORT}, {PAIRS.format(on='')},
+    f AS (SELECT parcel_id, any_value(la) AS label, count(*) FILTER (la <> lb) AS f FROM near WHERE rank <= 10 GROUP BY 1),
+    danger AS (SELECT DISTINCT label FROM f WHERE f >= 5 AND f < 10)
+    SELECT c.label AS label_id, CASE WHEN c.label IN (SELECT label FROM danger) THEN (SELECT max(n) FROM c) ELSE n END AS n FROM c""",
+)
 def _(spark, sf):
     out = oversample.borderline_smote(feature_rows(spark, sf), FEATURES, label="label_id")
     return out.groupBy("label_id").agg(F.count(F.lit(1)).alias("n"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
@@ -78,14 +79,18 @@ class BoostedTrees:
         return {f: float(v / total) for f, v in zip(self.features, mean)}
 
 
-def fit_boosted_trees(train: DataFrame, features: Sequence[str], label: str = "label_id", validation: str | None = None, n_rounds: int = 600, step: float = 0.05, depth: int = 6, min_rows: int = 1, row_share: float = 0.8, feature_share: float = 0.8, min_gain: float = 0.0, seed: int = 42) -> BoostedTrees:
-    """Boosted trees with balanced weights; ``validation`` names a boolean column for early stopping."""
+def fit_boosted_trees(train: DataFrame, features: Sequence[str], label: str = "label_id", validation: str | None = None, n_rounds: int = 600, step: float = 0.05, depth: int = 6, min_rows: int = 1, row_share: float = 0.8, feature_share: float = 0.8, min_gain: float = 0.0, seed: int = 42, parallelism: int = 4) -> BoostedTrees:
+    """Boosted trees with balanced weights; ``validation`` names a boolean column for early stopping.
+
+    ``parallelism`` classes are fitted at a time, so that small stages of one fill the cluster's
+    gaps left by another.
+    """
     rows = assembler(features).transform(balanced_weight(train, label))
     classes = sorted(r[0] for r in train.select(label).distinct().collect())
     kept = ["features", "weight", label] + ([validation] if validation else [])
     rows = rows.select(*kept).persist()
-    models = {}
-    for c in classes:
+
+    def fit_class(c: int):
         gbt = GBTClassifier(
             featuresCol="features",
             labelCol="_y",
@@ -101,7 +106,10 @@ def fit_boosted_trees(train: DataFrame, features: Sequence[str], label: str = "l
         )
         if validation:
             gbt = gbt.setValidationIndicatorCol(validation)
-        models[c] = gbt.fit(rows.withColumn("_y", (F.col(label) == c).cast("double")))
+        return gbt.fit(rows.withColumn("_y", (F.col(label) == c).cast("double")))
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        models = dict(zip(classes, pool.map(fit_class, classes)))
     rows.unpersist()
     return BoostedTrees(models, features)
 
