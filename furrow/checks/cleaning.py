@@ -11,6 +11,7 @@ from furrow.functions import text
 from furrow.operators import aggregate, clean, encode, joins, phenology, reshape
 from furrow.plans.long_table import build_training
 from furrow.schemas import OBSERVATIONS
+from furrow.session import cut_lineage
 from furrow.sources.readers import clean_training, typed
 from furrow.sources.writers import dataset_summary, ingest_summary
 from furrow.operators.splits import stratified_split
@@ -79,7 +80,7 @@ def _(spark, sf):
     binned = aggregate.bin_aggregate(rows)
     names = ["CLICK", "VIEW"]
     steps = binned.groupBy("parcel_id", "date").agg(*reshape.index_columns(names, "value_mean"), *aggregate.quality_columns())
-    ids = encode.encode_labels(encode.encode_labels(aggregate.parcel_texts(binned)), "label_group", "group_id")
+    ids = cut_lineage(encode.encode_labels(encode.encode_labels(aggregate.parcel_texts(binned)), "label_group", "group_id"))
     arrays = to_tensor(steps, names, reshape.date_list(rows))
     return dataset_summary(arrays.join(stratified_split(ids), "parcel_id"))
 
