@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from furrow.llm import quality_rules, slot_shards
+from furrow.llm import bpe_segments, quality_rules, slot_shards, token_planes
 
 QUERIES = {
+    "op1_token_planes": token_planes.op1,
+    "op4_bpe_segment_tree": bpe_segments.op4,
     "op5_virtual_slots": slot_shards.op5,
     "op6_quality_rules": quality_rules.op6,
 }
