@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from furrow.llm import bpe_segments, quality_rules, slot_shards, token_planes
+from furrow.llm import bpe_segments, ngram_join, quality_rules, slot_shards, token_planes
 
 QUERIES = {
     "op1_token_planes": token_planes.op1,
     "op4_bpe_segment_tree": bpe_segments.op4,
     "op5_virtual_slots": slot_shards.op5,
+    "op10_ngram_join": ngram_join.op10,
     "op6_quality_rules": quality_rules.op6,
 }
 ORACLES = {
+    "op10_ngram_join": ngram_join.op10,
     "op6_quality_rules": quality_rules.sql(),
 }
