@@ -16,7 +16,7 @@ _ALONE = regex.compile(r"(?<=\S) (?=\S)")
 _SPACES = [c for c in map(chr, range(sys.maxunicode + 1)) if regex.match(r"\s", c)]
 
 #: Entries that a worker's cache may hold before it is emptied; a bound on memory, not on the input.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 700_000
 
 
 def pieces(text: str) -> list[str]:
@@ -34,8 +34,8 @@ class Encoded:
         self.begin: dict[str, bytes] = {}  # pieces that begin a text
         self.known: dict[str, bytes] = {}  # pieces behind a space, without it
 
-    def _learn(self, into: dict[str, bytes], new: set[str], space: str) -> None:
-        if new:
+    def _learn(self, into: dict[str, bytes], pieces: set[str], space: str) -> None:
+        if new := [x for x in pieces if x not in into]:
             into.update(zip(new, self.encode([space + x for x in new]), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -45,8 +45,8 @@ class Encoded:
         cut = [pieces(t) for t in texts]
         found = [list(map(self.known.get, c[1:])) for c in cut]
         missing = [i for i, f in enumerate(found) if None in f]
-        self._learn(self.known, set().union(*[cut[i][1:] for i in missing]) - self.known.keys(), " ")
-        self._learn(self.begin, {c[0] for c in cut} - self.begin.keys(), "")
+        self._learn(self.known, set().union(*[cut[i][1:] for i in missing]), " ")
+        self._learn(self.begin, {c[0] for c in cut}, "")
         for i in missing:
             found[i] = list(map(self.known.__getitem__, cut[i][1:]))
         return [self.begin[c[0]] + b"".join(f) for c, f in zip(cut, found, strict=True)]

@@ -16,6 +16,7 @@ An empty table gives no chunks. The input's other columns are not read.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,13 +25,14 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from furrow.llm.common import new_path, text_or_empty
-from furrow.llm.pieces import Encoded, grouped
+from furrow.llm.pieces import CACHE_ENTRIES, Encoded, grouped
 
 CHUNK_SCHEMA = "part int, chunk int, first_id long, n_ids long, keys array<long>, lengths array<long>, blocks array<array<binary>>"
 
@@ -75,17 +77,43 @@ def _chunk(part: int, number: int, before: int, keys: list, docs: list[np.ndarra
     return {"part": part, "chunk": number, "first_id": before, "n_ids": len(ids), "keys": keys, "lengths": [len(d) for d in docs], "blocks": blocks}
 
 
+def byte_alphabet() -> dict[int, str]:
+    """Byte-level tokenizers write printable Latin-1 characters as they are and the other bytes from U+0100 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(other)}
+
+
 @lru_cache(maxsize=2)
 def library_encoder(path: str) -> Encoded:
-    """Pieces to ids by the tokenizers library; strings of special tokens in a text are ordinary text."""
+    """Pieces to ids by the tokenizers library; strings of special tokens in a text are ordinary text.
+
+    The library's own splitting costs most of its time, so pieces are split here by the same pattern and the library's model
+    merges each distinct word once.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import public_tokenizers
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    find, merge = regex.compile(public_tokenizers.PATTERN).findall, tokenizer.model.tokenize
+    alphabet = byte_alphabet()
+    words: dict[str, bytes] = {}
+
+    def ids(word: str) -> bytes:
+        mapped = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(alphabet)
+        found = [token.id for token in merge(mapped)]
+        return struct.pack(f"<{len(found)}I", *found)
 
     def encode(new: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        """The pieces' words, each distinct one merged by the library once."""
+        if len(words) > CACHE_ENTRIES:
+            words.clear()
+        cut = [find(x) for x in new]
+        missing = [x for x in set().union(*cut) if x not in words]
+        words.update(zip(missing, map(ids, missing), strict=True))
+        get = words.__getitem__
+        return [b"".join(map(get, c)) for c in cut]
 
     return Encoded(encode)
 
