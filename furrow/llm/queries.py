@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from furrow.llm import bpe_segments, containment, ngram_join, quality_rules, slot_shards, token_planes
+from furrow.llm import bpe_segments, containment, language_cnn, ngram_join, quality_gam, quality_rules, slot_shards, token_planes
 
 QUERIES = {
     "op1_token_planes": token_planes.op1,
     "op4_bpe_segment_tree": bpe_segments.op4,
     "op5_virtual_slots": slot_shards.op5,
     "op8_containment_search": containment.op8,
+    "op7_byte_cnn": language_cnn.op7,
+    "op9_additive_model": quality_gam.op9,
     "op10_ngram_join": ngram_join.op10,
     "op6_quality_rules": quality_rules.op6,
 }
 ORACLES = {
     "op8_containment_search": containment.op8,
+    "op7_byte_cnn": language_cnn.op7,
+    "op9_additive_model": quality_gam.op9,
     "op10_ngram_join": ngram_join.op10,
     "op6_quality_rules": quality_rules.sql(),
 }
