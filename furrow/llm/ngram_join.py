@@ -292,13 +292,18 @@ def linked(docs: DataFrame, percent: int = PERCENT, fragments: int = FRAGMENTS)
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One document of each group: the one with the group's smallest id, with all its columns.
+    """One document of each group, the one with the group's smallest id, with all its columns.
 
-    Of rows that repeat that id, and of rows without an id, all stay apart unless their whole rows are equal.
+    Rows without an id stay. An id that several rows share stays if any of them is its group's first, and of such rows those
+    that are equal in all columns stay once.
     """
-    found = linked(docs, percent)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates()
+    found = stored(linked(docs, percent).where("doc_id is not null"), "linked")
+    ids = found.groupBy("doc_id").agg(F.every(F.col("doc_id") != F.col("component_id")).alias("gone"), F.count("*").alias("rows"))
+    repeated = ids.where("rows > 1 and not gone").select("doc_id")
+    kept = docs.join(ids.where("gone").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    if repeated.isEmpty():
+        return kept
+    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates())
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from furrow.llm import bpe_segments, containment, html_crf, language_cnn, ngram_join, quality_gam, quality_rules, slot_shards, token_planes
+from furrow.llm import bpe_segments, containment, html_crf, language_cnn, ngram_join, pii_boost, quality_gam, quality_rules, slot_shards, token_planes
 
 QUERIES = {
     "op1_token_planes": token_planes.op1,
+    "op2_pii_boosting": pii_boost.op2,
     "op3_html_crf": html_crf.op3,
     "op4_bpe_segment_tree": bpe_segments.op4,
     "op5_virtual_slots": slot_shards.op5,
