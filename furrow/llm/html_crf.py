@@ -59,6 +59,7 @@ class Block:
     above: tuple[int, ...]  # features of all ancestors
     link_chars: int
     tags: tuple[str, ...]
+    scope: str  # the innermost sectioning element, and what its attributes say
 
 
 def _number(feature: str) -> int:
@@ -77,7 +78,7 @@ def _of_element(tag: str, attributes: str) -> tuple[int, ...]:
 def blocks(page: str) -> list[Block]:
     """The page's leaf blocks in order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[int, ...]]] = [("", ())]
+    stack: list[tuple[str, tuple[int, ...], str]] = [("", (), "")]
     seen: dict[tuple[str, str], tuple[int, ...]] = {}
     parts: list[str] = []
     link_chars = at = links = 0
@@ -87,7 +88,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, stack[-1][1], link_chars, tuple(t for t, _ in stack[1:])))
+                out.append(Block(text, stack[-1][1], link_chars, tuple(t for t, *_ in stack[1:]), stack[-1][2]))
             parts, link_chars = [], 0
 
     def close(names: set[str] | frozenset[str]) -> None:
@@ -95,7 +96,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal links
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] in names:
-                links -= sum(t == "a" for t, _ in stack[k:])
+                links -= sum(t == "a" for t, *_ in stack[k:])
                 del stack[k:]
                 return
             if stack[k][0] in SCOPES:
@@ -119,9 +120,9 @@ def blocks(page: str) -> list[Block]:
         if tag not in INLINE:
             flush()
         if m["end"]:
-            if any(t == tag for t, _ in stack):
-                k = max(k for k, (t, _) in enumerate(stack) if t == tag)
-                links -= sum(t == "a" for t, _ in stack[k:])
+            if any(t == tag for t, *_ in stack):
+                k = max(k for k, (t, *_) in enumerate(stack) if t == tag)
+                links -= sum(t == "a" for t, *_ in stack[k:])
                 del stack[k:]
             continue
         if tag in EMPTY:
@@ -132,7 +133,9 @@ def blocks(page: str) -> list[Block]:
         if key not in seen:
             seen[key] = _of_element(*key)
         links += tag == "a"
-        stack.append((tag, tuple(dict.fromkeys(stack[-1][1] + seen[key]))))
+        said = " ".join(_ATTRIBUTE.findall(m["attributes"])).lower() if m["attributes"] else ""
+        scope = f"{tag} {bool(OTHER_WORDS.search(said)):d}{bool(MAIN_WORDS.search(said)):d}" if tag in SCOPES else stack[-1][2]
+        stack.append((tag, tuple(dict.fromkeys(stack[-1][1] + seen[key])), scope))
     if at < len(page):
         parts.append(html.unescape(page[at:]))
     flush()
@@ -150,6 +153,7 @@ def own_features(chain: list[Block]) -> list[tuple[int, ...]]:
             f"links {min(4, 5 * b.link_chars // max(n, 1))}",
             f"ends {b.text[-1] if b.text[-1] in '.!?:;,|' else 'else'}",
             f"place {min(4, 5 * k // len(chain))}",
+            f"scope {b.scope}",
             f"inside {next((t for t in reversed(b.tags) if t not in INLINE), '')}",
         ]
         if "©" in b.text:
@@ -200,7 +204,7 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
 
 
-def train(pages: list[tuple[list[Block], list[int]]], epochs: int = 6, rate: float = 0.3, shrink: float = 1e-4, seed: int = 3) -> Field:
+def train(pages: list[tuple[list[Block], list[int]]], epochs: int = 10, rate: float = 0.3, shrink: float = 1e-4, seed: int = 3) -> Field:
     """Conditional likelihood by AdaGrad, a page a step; marginals from the forward-backward recursions."""
     field = Field(np.zeros((DIMENSIONS, 2)), np.zeros((2, 2)), np.zeros(2))
     sums = Field(np.full((DIMENSIONS, 2), 1e-6), np.full((2, 2), 1e-6), np.full(2, 1e-6))
@@ -279,7 +283,7 @@ def laid_out(main: list[str], other: list[str], rng: random.Random) -> tuple[lis
     # the marker element tells the labels and takes no part in the features
     marker = set(_of_element("q", " data-main"))
     y = [int("q" in b.tags) for b in chain]
-    return [Block(b.text, tuple(f for f in b.above if f not in marker), b.link_chars, tuple(t for t in b.tags if t != "q")) for b in chain], y
+    return [Block(b.text, tuple(f for f in b.above if f not in marker), b.link_chars, tuple(t for t in b.tags if t != "q"), b.scope) for b in chain], y
 
 
 def fit(pages: DataFrame) -> Field:
@@ -293,7 +297,7 @@ def fit(pages: DataFrame) -> Field:
     for text in texts:
         chain = blocks(text)
         y = labels_by_markup(chain)
-        out.append((chain, y))
+        out += [(chain, y)] * 2
         main, other = [b.text for b, v in zip(chain, y, strict=True) if v], [b.text for b, v in zip(chain, y, strict=True) if not v]
         out += [laid_out(main[:25], other, rng) for _ in range(LAYOUTS)]
     return train(out)
