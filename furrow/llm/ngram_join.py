@@ -3,15 +3,16 @@
 All word shingles get one global order: rare ones first, equal ones by hash. It is cut into fragments of equal
 mass. The overlap of two documents is counted separately in every fragment and summed per pair.
 
-Which pairs are counted follows from the order. Two sets whose similarity reaches the threshold share a shingle
-among the first ``n - ceil(t n) + 1`` of each, so only these prefixes meet, in a list for each shingle. Documents with equal sets
-are one class and take part once. The lists are worked off in rounds, in which pairs of one component are left out:
-first every class with the list's smallest class (its star), then neighbours in size, at last all pairs of a list
-that still lie in different components. So a group of near copies costs about as many counts as members, and
-no link between components can be missed: the last round counts every pair that is left.
+Which pairs are counted follows from the order. Of two sets whose similarity reaches the threshold t, the prefixes of
+``n - ceil(t n) + l`` shingles share at least the smaller l of the two, so only these prefixes meet, in a list for each shingle, and
+only pairs that meet so often are counted. l grows with n (a twentieth of it): passages that documents have in common don't
+make a pair. Documents with equal sets are one class and take part once. The lists are worked off in rounds, in which pairs of one
+component are left out: first every class with the smallest class it meets (its star), then with a neighbour in size,
+at last all pairs that still lie in different components. So a group of near copies costs about as many counts
+as members, and no link between components can be missed: the last round counts every pair that is left.
 
-Shingles are 64-bit hashes of which 57 bits are kept, beside 6 bits of their frequency level; a false match within a pair of
-documents of a thousand shingles has a chance of about 1e-11.
+Shingles are 64-bit hashes of which 55 bits are kept, beside 8 bits of their frequency level; a false match within a pair of
+documents of a thousand shingles has a chance of about 3e-11.
 
 Null and empty texts have no shingles, link with nothing and keep their own id. Fewer than five words are one
 shingle. Null ids are never a component's id while another id is in it. Repeated rows are copies. Extra columns aren't read.
@@ -36,7 +37,10 @@ PERCENT = 80
 FRAGMENTS = 16
 #: Buckets of the frequency sketch and counts in a row of it: the sketch's size doesn't depend on the data.
 BUCKET_BITS, BLOCK_BITS = 18, 12
-HASH_BITS = 57
+#: Bits of a shingle below its frequency level, and levels in an octave of frequency.
+HASH_BITS, LEVEL_STEPS = 55, 4
+#: One more shared shingle is asked for with each so many shingles of a set.
+SHARED_EACH = 20
 #: Bits of the filter that names classes with partners: 16 for each class, at most 8 MB. A full filter passes everything.
 FILTER_BITS_EACH, FILTER_BITS_MOST = 16, 1 << 26
 
@@ -84,25 +88,25 @@ def sketch(docs: DataFrame) -> np.ndarray:
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
-    """Frequency level of each bucket: the number of bits of its count."""
-    return np.ceil(np.log2(counts + 1)).astype(np.uint64)
+    """Frequency level of each bucket, some to an octave."""
+    return np.minimum(255, np.floor(LEVEL_STEPS * np.log2(counts + 1))).astype(np.uint8)
 
 
 def ordered(h: np.ndarray, level: np.ndarray) -> np.ndarray:
     """A text's set in the global order, as positive numbers whose size is the order."""
-    return np.unique(level[bucket(h)] << np.uint64(HASH_BITS) | (mixed(h) >> np.uint64(64 - HASH_BITS))).astype(np.int64)
+    return np.unique(level[bucket(h)].astype(np.uint64) << np.uint64(HASH_BITS) | (mixed(h) >> np.uint64(64 - HASH_BITS))).astype(np.int64)
 
 
 def fragment_bounds(counts: np.ndarray, level: np.ndarray, fragments: int) -> np.ndarray:
     """Cuts of the global order into fragments of about equal mass: inside a level the hashes are spread evenly."""
-    mass = np.bincount(level.astype(np.int64), counts.astype(float), minlength=64)
+    mass = np.bincount(level.astype(np.int64), counts.astype(float), minlength=256)
     share = np.concatenate([[0], np.cumsum(mass)]) / max(mass.sum(), 1)
-    at = np.interp(np.arange(1, fragments) / fragments, share, np.arange(65))
+    at = np.interp(np.arange(1, fragments) / fragments, share, np.arange(257))
     return np.minimum(at * 2.0**HASH_BITS, 2.0**62.9).astype(np.int64)
 
 
 def prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+    return min(n, n - -(-percent * n // 100) + 1 + n // SHARED_EACH)
 
 
 # -- passes over the texts --------------------------------------------------------------------
@@ -226,36 +230,37 @@ def counted(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     return sums.where((100 + percent) * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b", "shared")
 
 
-def _ends(df: DataFrame) -> DataFrame:
-    """Pairs with the smaller class first, each once."""
+def _pairs(df: DataFrame) -> DataFrame:
+    """Pairs with the smaller class first, each once, with the number of lists they met in."""
     low = F.col("class") < F.col("other")
     pick = lambda x, y: F.when(low, F.col(x)).otherwise(F.col(y))
-    return df.select(pick("class", "other").alias("a"), pick("other", "class").alias("b"), pick("n", "other_n").alias("n_a"), pick("other_n", "n").alias("n_b")).distinct()
+    return df.groupBy(pick("class", "other").alias("a"), pick("other", "class").alias("b"), pick("n", "other_n").alias("n_a"), pick("other_n", "n").alias("n_b")).agg(F.count("*").alias("met"))
 
 
-def _with_window(lists: DataFrame, order, pick) -> DataFrame:
-    other = pick(F.struct("class", "n", "p", "label")).over(order)
-    return lists.withColumn("_o", other).where("_o is not null and _o.label <> label").select("h", "class", "n", "p", F.col("_o.class").alias("other"), F.col("_o.n").alias("other_n"), F.col("_o.p").alias("other_p"))
+def _best(lists: DataFrame, order, pick, percent: int) -> DataFrame:
+    """Every class with that one of the classes picked in its lists that it meets most often."""
+    picked = lists.withColumn("_o", pick(F.struct("class", "n", "p", "label")).over(order)).where("_o is not null and _o.label <> label")
+    met = picked.select("class", "n", "p", F.col("_o.class").alias("other"), F.col("_o.n").alias("other_n"), F.col("_o.p").alias("other_p")).where(possible(percent))
+    counts = met.groupBy("class", "n", "other", "other_n").count()
+    best = counts.groupBy("class", "n").agg(F.max(F.struct("count", (-F.col("other")).alias("back"), "other", "other_n")).alias("x"))
+    return _pairs(best.select("class", "n", "x.other", "x.other_n")).drop("met")
 
 
 def stars(lists: DataFrame, percent: int) -> DataFrame:
-    """Every class with the smallest class of the lists it is in; of several the one that it meets most often."""
-    order = Window.partitionBy("h").orderBy("class").rowsBetween(Window.unboundedPreceding, 0)
-    met = _with_window(lists, order, F.first).where(possible(percent))
-    best = met.groupBy("class", "n", "other", "other_n").count().groupBy("class", "n").agg(F.max(F.struct("count", (-F.col("other")).alias("back"), "other", "other_n")).alias("x"))
-    return _ends(best.select("class", "n", "x.other", "x.other_n"))
+    """Every class with the smallest class of a list."""
+    return _best(lists, Window.partitionBy("h").orderBy("class").rowsBetween(Window.unboundedPreceding, 0), F.first, percent)
 
 
 def neighbours(lists: DataFrame, percent: int) -> DataFrame:
-    """Every class with the one before it in its lists, by size."""
-    order = Window.partitionBy("h").orderBy("n", "class")
-    return _ends(_with_window(lists, order, F.lag).where(possible(percent)))
+    """Every class with the one before it in a list, by size."""
+    return _best(lists, Window.partitionBy("h").orderBy("n", "class"), F.lag, percent)
 
 
 def leftovers(lists: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a list that lie in different components."""
+    """All pairs of a list that lie in different components and meet as often as they must."""
     other = lists.select("h", *[F.col(c).alias(f"other_{c}") for c in ("class", "n", "p", "label")]).withColumnRenamed("other_class", "other")
-    return _ends(lists.join(other, "h").where((F.col("label") < F.col("other_label")) & possible(percent)))
+    met = _pairs(lists.join(other, "h").where((F.col("label") < F.col("other_label")) & possible(percent)))
+    return met.where(F.col("met") >= 1 + F.floor(F.least("n_a", "n_b") / SHARED_EACH)).drop("met")
 
 
 def linked(docs: DataFrame, percent: int = PERCENT, fragments: int = FRAGMENTS) -> DataFrame:
@@ -271,7 +276,11 @@ def linked(docs: DataFrame, percent: int = PERCENT, fragments: int = FRAGMENTS)
     shared = postings.select(
         "*", (F.min(name).over(whole) < F.max(name).over(whole)).alias("_many"), F.coalesce((F.lag("k1").over(inside) == F.col("k1")) & (F.lag("k2").over(inside) == F.col("k2")), F.lit(False)).alias("_again")
     ).where("_many and not _again")
-    lists = stored(shared.join(classes.select("k1", "k2", "class"), ["k1", "k2"]).select("h", "class", "k1", "n", F.col("p").cast("long").alias("p")), "lists")
+    shared = stored(shared.select("h", "k1", "k2", "n", F.col("p").cast("long").alias("p")), "shared")
+    # a partner has at least the share t of a class's shingles, so this many lists are the least it can be met in
+    least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / SHARED_EACH)
+    often = shared.groupBy("k1", "k2", "n").count().where(F.col("count") >= least).select("k1", "k2").join(classes.select("k1", "k2", "class"), ["k1", "k2"])
+    lists = stored(shared.join(often, ["k1", "k2"]).select("h", "class", "k1", "n", "p"), "lists")
 
     wanted = name_filter(lists.select("k1").distinct())
     parts = segments(docs, level, fragment_bounds(counts, level, fragments), wanted).groupBy("k1", "k2", "fragment").agg(F.first("part").alias("part"))
