@@ -201,9 +201,14 @@ def _(spark, sf):
     return reshape.concat_history(h, h.where("epoch <= 9"))
 
 
-# Row-wise score functions: softmax terms of model 0 per row, as CTE ``sm``.
+# Row-wise score functions: softmax terms of every model's row (its own id each), as CTE ``sm``.
 SM = """sm AS (SELECT id, y, k, x, exp(x - max(x) OVER w) / sum(exp(x - m0)) OVER w AS p, x - (m0 + ln(sum(exp(x - m0)) OVER w)) AS lp
-    FROM (SELECT *, max(x) OVER (PARTITION BY id) AS m0 FROM logit_cells WHERE m = 0) WINDOW w AS (PARTITION BY id))"""
+    FROM (SELECT *, max(x) OVER (PARTITION BY id) AS m0 FROM (SELECT id * 3 + m AS id, y, k, x FROM logit_cells)) WINDOW w AS (PARTITION BY id))"""
+
+
+def all_models(spark, sf):
+    model = F.substring("model", 2, 1).cast("int")
+    return v.logits(spark, sf).select((F.col("id") * 3 + model).alias("id"), "y", F.col("logits").alias("x"))
 
 
 def first_model(spark, sf):
@@ -217,33 +222,33 @@ def first_model(spark, sf):
 )
 def _(spark, sf):
     x = F.col("x")
-    rows = first_model(spark, sf).select("id", F.posexplode(F.arrays_zip(L.softmax(x).alias("p"), L.log_softmax(x).alias("lp"))).alias("k", "_z"), L.argmax(x).alias("top"))
+    rows = all_models(spark, sf).select("id", F.posexplode(F.arrays_zip(L.softmax(x).alias("p"), L.log_softmax(x).alias("lp"))).alias("k", "_z"), L.argmax(x).alias("top"))
     return rows.select("id", "k", "_z.p", "_z.lp", "top")
 
 
 @check("f21_cross_entropy", "logit_cells", f"WITH {SM} SELECT id, {r6('-lp', 'loss')}, {r6('-lp * (y + 1) / 10', 'weighted')} FROM sm WHERE k = y")
 def _(spark, sf):
     x, y = F.col("x"), F.col("y")
-    return first_model(spark, sf).select("id", L.cross_entropy(x, y).alias("loss"), L.cross_entropy(x, y, (y + 1) / 10).alias("weighted"))
+    return all_models(spark, sf).select("id", L.cross_entropy(x, y).alias("loss"), L.cross_entropy(x, y, (y + 1) / 10).alias("weighted"))
 
 
 @check("f21_weighted_mean_loss", "logit_cells", f"WITH {SM} SELECT {r6('sum(-lp * (y + 1) / 10) / sum((y + 1) / 10)', 'loss')} FROM sm WHERE k = y")
 def _(spark, sf):
     w = (F.col("y") + 1) / 10
-    rows = first_model(spark, sf).select(L.cross_entropy(F.col("x"), F.col("y"), w).alias("loss"), w.alias("w"))
+    rows = all_models(spark, sf).select(L.cross_entropy(F.col("x"), F.col("y"), w).alias("loss"), w.alias("w"))
     return rows.agg(L.weighted_mean_loss(F.col("loss"), F.col("w")).alias("loss"))
 
 
 @check("f22_focal_loss", "logit_cells", f"WITH {SM} SELECT id, {r6('CASE WHEN y <> 3 THEN -pow(greatest(1 - p, 0), 2) * lp * (y + 1) / 10 END', 'loss')} FROM sm WHERE k = y")
 def _(spark, sf):
     x, y = F.col("x"), F.col("y")
-    return first_model(spark, sf).select("id", L.focal_loss(x, y, 2.0, (y + 1) / 10, ignore=3).alias("loss"))
+    return all_models(spark, sf).select("id", L.focal_loss(x, y, 2.0, (y + 1) / 10, ignore=3).alias("loss"))
 
 
 def shifted_sql(shift: str, extra: str = "") -> str:
-    """Cross entropy of model 0 after adding ``shift`` to every score."""
+    """Cross entropy of every model after adding ``shift`` to every score."""
     return f"""WITH n AS (SELECT label AS k, count(*) AS n, count(*) / (sum(count(*)) OVER ()) AS prior FROM embeddings GROUP BY 1),
-    z AS (SELECT id, y, l.k, x + {shift} AS x FROM logit_cells l JOIN n USING (k) WHERE m = 0), e AS (SELECT *, max(x) OVER (PARTITION BY id) AS m0 FROM z)
+    z AS (SELECT id * 3 + m AS id, y, l.k, x + {shift} AS x FROM logit_cells l JOIN n USING (k)), e AS (SELECT *, max(x) OVER (PARTITION BY id) AS m0 FROM z)
     SELECT id, {r6('max(m0) + ln(sum(exp(x - m0))) - max(x) FILTER (k = y)', 'loss')} FROM e GROUP BY id"""
 
 
@@ -255,14 +260,14 @@ def class_sizes(spark, sf):
 @check("f23_balanced_softmax_loss", "logit_cells", shifted_sql("ln(greatest(n, 1))"))
 def _(spark, sf):
     counts = encode.class_array(class_sizes(spark, sf), "n", "label")
-    rows = first_model(spark, sf).withColumn("c", counts)
+    rows = all_models(spark, sf).withColumn("c", counts)
     return rows.select("id", L.balanced_softmax_loss(F.col("x"), F.col("y"), F.col("c")).alias("loss"))
 
 
 @check("f24_logit_adjusted_loss", "logit_cells", shifted_sql("0.7 * ln(greatest(prior, 1e-12))"))
 def _(spark, sf):
     priors = encode.class_array(class_sizes(spark, sf), "prior", "label")
-    rows = first_model(spark, sf).withColumn("c", priors)
+    rows = all_models(spark, sf).withColumn("c", priors)
     return rows.select("id", L.logit_adjusted_loss(F.col("x"), F.col("y"), F.col("c"), 0.7).alias("loss"))
 
 
@@ -282,7 +287,7 @@ def _(spark, sf):
 @check("f26_multitask_loss", "logit_cells", f"WITH {SM} SELECT id, {r6('-lp + 0.4 * -lp * lp', 'loss')} FROM sm WHERE k = y")
 def _(spark, sf):
     main = L.cross_entropy(F.col("x"), F.col("y"))
-    return first_model(spark, sf).select("id", L.multitask_loss(main, -main * main, 0.4).alias("loss"))
+    return all_models(spark, sf).select("id", L.multitask_loss(main, -main * main, 0.4).alias("loss"))
 
 
 @check(
@@ -291,13 +296,14 @@ def _(spark, sf):
     f"""WITH tr AS (SELECT label, (label + vec_id % 2) % 3 AS g FROM embeddings WHERE label <> 7), n AS (SELECT c.label, gg.g, count(tr.g) AS n
       FROM (SELECT DISTINCT label FROM embeddings) c CROSS JOIN (SELECT unnest(range(0, 3)) AS g) gg LEFT JOIN tr ON tr.label = c.label AND tr.g = gg.g GROUP BY ALL),
     share AS (SELECT label AS k, g, CASE WHEN sum(n) OVER (PARTITION BY label) > 0 THEN n / (sum(n) OVER (PARTITION BY label)) ELSE 1 / 3 END AS s FROM n),
-    gp AS (SELECT id, k AS g, exp(x) / (sum(exp(x)) OVER (PARTITION BY id)) AS p FROM logit_cells WHERE m = 1 AND k < 3)
+    gx AS (SELECT id, k % 3 AS g, sum(x ORDER BY k) AS x FROM logit_cells WHERE m = 1 GROUP BY ALL),
+    gp AS (SELECT id, g, exp(x) / (sum(exp(x)) OVER (PARTITION BY id)) AS p FROM gx)
     SELECT id, k, {r6('any_value(x) + 0.5 * ln(greatest(sum(p * s), 1e-6))', 'x')} FROM logit_cells JOIN share USING (k) JOIN gp USING (id, g) WHERE m = 0 GROUP BY id, k""",
 )
 def _(spark, sf):
     rows = v.table(spark, sf, "embeddings").select(F.col("label").alias("label_id"), ((F.col("label") + F.col("vec_id") % 2) % 3).alias("group_id"))
     table = encode.class_group_compat(rows.where("label_id <> 7"), rows.select("label_id").distinct(), rows.select("group_id").distinct())
-    group = v.logits(spark, sf).where("model = 'm1'").select("id", F.slice("logits", 1, 3).alias("g"))
+    group = v.logits(spark, sf).where("model = 'm1'").select("id", F.array(*[sum((F.get("logits", F.lit(k)) for k in range(g + 3, 10, 3)), F.get("logits", F.lit(g))) for g in range(3)]).alias("g"))
     both = first_model(spark, sf).join(group, "id").withColumn("c", encode.compat_array(table))
     out = both.select("id", L.constrained_logits(F.col("x"), F.col("g"), F.col("c"), 0.5).alias("x"))
     return out.select("id", F.posexplode("x").alias("k", "x"))

@@ -102,13 +102,17 @@ def scene_boxes(spark, sf):
 
 
 def logits(spark, sf):
-    """Class scores of three models: blocks of ten embedding values."""
+    """Class scores of three models over all embedding values: score k of model m is the sum of the values at positions p with (p + m) % 10 = k."""
     vec = F.transform("embedding", lambda v: v.cast("double"))
     models = F.explode(F.sequence(F.lit(0), F.lit(2)))
+
+    def score(k):
+        return F.aggregate(F.filter("e", lambda v, p: (p + F.col("m")) % 10 == k), F.lit(0.0), lambda total, v: total + v)
+
     return (
         table(spark, sf, "embeddings")
         .select(F.col("vec_id").alias("id"), F.col("label").alias("y"), vec.alias("e"), models.alias("m"))
-        .select("id", "y", F.concat(F.lit("m"), F.col("m").cast("string")).alias("model"), F.slice("e", F.col("m") * 10 + 1, F.lit(10)).alias("logits"))
+        .select("id", "y", F.concat(F.lit("m"), F.col("m").cast("string")).alias("model"), F.array(*[score(k) for k in range(10)]).alias("logits"))
     )
 
 
@@ -139,8 +143,9 @@ VIEWS = {
   cast(s_suppkey % 10 AS double) + 0.8::DOUBLE AS maxx, cast(floor(s_suppkey / 10.0) AS double) + 0.8::DOUBLE AS maxy FROM supplier""",
     "scene_boxes": r"""SELECT n_nationkey AS scene_id, (n_nationkey % 5) * 2.0::DOUBLE AS minx, cast(floor(n_nationkey / 5.0) AS double) * 2.0::DOUBLE AS miny,
   (n_nationkey % 5) * 2.0::DOUBLE + 2.5::DOUBLE AS maxx, cast(floor(n_nationkey / 5.0) AS double) * 2.0::DOUBLE + 2.5::DOUBLE AS maxy FROM nation""",
-    "logit_cells": r"""SELECT vec_id AS id, label AS y, m, k, embedding[10 * m + k + 1]::DOUBLE AS x
-  FROM embeddings, (SELECT unnest(range(0, 3)) AS m), (SELECT unnest(range(0, 10)) AS k)""",
+    "logit_cells": r"""SELECT id, y, m, (p + m) % 10 AS k, sum(v ORDER BY p) AS x
+  FROM (SELECT vec_id AS id, label AS y, unnest(range(0, len(embedding))) AS p, unnest(embedding)::DOUBLE AS v FROM embeddings), (SELECT unnest(range(0, 3)) AS m)
+  GROUP BY ALL""",
     "training": r"""SELECT o.*, l.label, l.label_group FROM obs o JOIN parcel_labels l USING (parcel_id)""",
     # Weighted cells of the tabular filters, and of all rows.
     "agg40": r"""SELECT parcel_id, date, idx, sum(value_mean * px_count) / sum(px_count) AS value FROM obs

@@ -93,7 +93,7 @@ def rare_classes(counts: DataFrame, label: str = "label", q: float = 0.25, thres
     )
 
 
-def rare_weight(train: DataFrame, classes: DataFrame, rare: DataFrame, label: str = "label", power: float = 1.0, boost: float = 3.0) -> DataFrame:
+def rare_weight(train: DataFrame, classes: DataFrame, rare: DataFrame, label: str = "label", power: float = 1.0, boost: float = 2.0) -> DataFrame:
     """Weight 1, except boosted (1 / n_c) ** power, with mean ``boost``, for rare classes."""
     score = F.pow(1.0 / F.greatest(F.col("n"), F.lit(1)), F.lit(float(power)))
     table = class_grid(train, classes, label).join(rare.select(label, F.lit(True).alias("_rare")), label, "left")

@@ -45,6 +45,8 @@ def ensemble(scores: DataFrame, weights: DataFrame, key: str = "id") -> DataFram
     first = F.get(F.col("_p"), F.lit(0))["x"]
     rest = F.slice("_p", 2, F.size("_p"))
     total = F.aggregate(rest, first, lambda acc, m: F.zip_with(acc, m["x"], lambda a, b: a + b))
+    alike = F.forall(rest, lambda m: F.size(m["x"]) == F.size(first))
+    total = F.when(alike, total).otherwise(F.raise_error(F.lit("the models have different numbers of classes")))
     return parts.select(key, total.alias("logits")).withColumn("y_pred", argmax(F.col("logits")))
 
 

@@ -150,6 +150,6 @@ def decode_predictions(preds: DataFrame, labels: DataFrame, y_true: str = "y_tru
     return preds.join(truth, y_true, "left").join(guess, y_pred, "left")
 
 
-def rank_runs(runs: DataFrame, score: str = "test_macro_f1") -> DataFrame:
-    """Best run first; a run without a score ranks as -1."""
-    return runs.orderBy(F.coalesce(F.col(score), F.lit(-1.0)).desc())
+def rank_runs(runs: DataFrame, score: str = "test_macro_f1", name: str = "run") -> DataFrame:
+    """Best run first, equal ones by name; a run without a score ranks as -1."""
+    return runs.orderBy(F.coalesce(F.col(score), F.lit(-1.0)).desc(), name)

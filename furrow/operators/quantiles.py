@@ -17,10 +17,8 @@ from furrow.functions.draws import draw_key
 from furrow.session import small_side
 
 # Sketch accuracy and half-width of the slice sorted around each wanted rank.
-ACCURACY = 1_000
-SLICE = 0.002
-# Groups of at most this many rows may be held by one aggregation buffer.
-BOUNDED_ROWS = 50_000
+ACCURACY = 10_000
+SLICE = 0.0004
 
 
 def _zone(value: Column, cuts: Column, n: int) -> Column:
@@ -29,33 +27,29 @@ def _zone(value: Column, cuts: Column, n: int) -> Column:
     return reduce(lambda a, b: a + b, above)
 
 
-def _all_bounded(rows: DataFrame, by: Sequence[str]) -> bool:
-    largest = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return (largest or 0) <= BOUNDED_ROWS
+def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on columns of the same names, in which NULL equals NULL; the left side's columns stay."""
+    other = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on])
+    return left.join(other, same, how).drop(*[f"_r_{c}" for c in on])
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Iterable[float] = (0.5,)) -> DataFrame:
     """Linear-interpolated exact quantiles per key: keys, ``prob``, ``quantile``.
 
-    Groups that are counted to be small use the built-in percentile. Otherwise
-    a mergeable sketch proposes cut points, exact counts per zone find the zone that holds each
+    A mergeable sketch proposes cut points, exact counts per zone find the zone that holds each
     wanted rank, and only the values of those zones are combined and sorted. Poor cut points cost
-    time, never exactness. The groups themselves (not their rows) are a dictionary-size table.
+    time, never exactness. The groups themselves (not their rows) are a dictionary-size table. Infinities
+    are values like any other: between equal neighbours the quantile is that value.
     """
     keys, probs = list(keys), sorted(set(float(p) for p in probs))
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     if not keys:
         rows = rows.withColumn("_all", F.lit(0))
     by = keys or ["_all"]
-    if _all_bounded(rows, by):
-        found = F.arrays_zip(
-            F.array(*[F.lit(p) for p in probs]).alias("prob"), F.percentile("_v", F.array(*[F.lit(p) for p in probs])).alias("quantile")
-        )
-        return rows.groupBy(*by).agg(found.alias("_q")).select(*keys, F.explode("_q").alias("_q")).select(*keys, "_q.prob", "_q.quantile")
-
     around = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-SLICE, SLICE)})
     cuts = small_side(rows.groupBy(*by).agg(F.percentile_approx("_v", around, ACCURACY).alias("_cuts")))
-    zoned = rows.join(cuts, by).withColumn("_zone", _zone(F.col("_v"), F.col("_cuts"), len(around))).drop("_cuts")
+    zoned = join_null_safe(rows, cuts, by).withColumn("_zone", _zone(F.col("_v"), F.col("_cuts"), len(around))).drop("_cuts")
 
     before = Window.partitionBy(*by).orderBy("_zone").rowsBetween(Window.unboundedPreceding, -1)
     zones = (
@@ -76,20 +70,20 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Itera
     wanted = small_side(targets)
     up_to = Window.partitionBy(*by, "_zone").orderBy("_v")
     slices = (
-        zoned.join(wanted.select(*by, "_zone").distinct(), [*by, "_zone"], "left_semi")
+        join_null_safe(zoned, wanted.select(*by, "_zone").distinct(), [*by, "_zone"], "left_semi")
         .groupBy(*by, "_zone", "_v")
         .agg(F.count(F.lit(1)).alias("_in"))
         .withColumn("_to", F.sum("_in").over(up_to))
     )
     hit = (F.col("_rank") < F.col("_to")) & (F.col("_rank") >= F.col("_to") - F.col("_in"))
-    picked = slices.join(wanted, [*by, "_zone"]).where(hit)
+    picked = join_null_safe(slices, wanted, [*by, "_zone"]).where(hit)
     out = picked.groupBy(*by, "prob").agg(
         F.max(F.when(F.col("_side") == 0, F.col("_v"))).alias("_low"),
         F.max(F.when(F.col("_side") == 1, F.col("_v"))).alias("_high"),
         F.max("_part").alias("_part"),
     )
-    gap = F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")
-    return out.select(*keys, "prob", gap.alias("quantile"))
+    between = (1 - F.col("_part")) * F.col("_low") + F.col("_part") * F.col("_high")
+    return out.select(*keys, "prob", F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(between).alias("quantile"))
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "median") -> DataFrame:
@@ -122,11 +116,11 @@ def rank_cutoffs(df: DataFrame, by: Sequence[str], targets: DataFrame, seed, key
     )
     hit = (F.col("k") > F.col("_lo")) & (F.col("k") <= F.col("_lo") + F.col("_in"))
     wanted = small_side(
-        buckets.join(targets, by).where(hit).select(*by, "tag", "_b", (F.col("k") - F.col("_lo")).alias("_r"))
+        join_null_safe(buckets, targets, by).where(hit).select(*by, "tag", "_b", (F.col("k") - F.col("_lo")).alias("_r"))
     )
     order = Window.partitionBy(*by, "tag", "_b").orderBy("_h", key)
     return (
-        rows.join(wanted, [*by, "_b"])
+        join_null_safe(rows, wanted, [*by, "_b"])
         .withColumn("_rn", F.row_number().over(order))
         .where(F.col("_rn") == F.col("_r"))
         .select(*by, "tag", F.struct("_h", F.col(key).alias("_k")).alias("cut"))
@@ -145,4 +139,4 @@ def random_rank(df: DataFrame, by: Sequence[str], seed, key: str, out: str = "ra
     )
     order = Window.partitionBy(*by, "_b").orderBy("_h", key)
     ranked = rows.withColumn("_rn", F.row_number().over(order))
-    return ranked.join(offsets, [*by, "_b"]).withColumn(out, F.col("_rn") + F.col("_lo")).drop("_h", "_b", "_rn", "_lo")
+    return join_null_safe(ranked, offsets, [*by, "_b"]).withColumn(out, F.col("_rn") + F.col("_lo")).drop("_h", "_b", "_rn", "_lo")

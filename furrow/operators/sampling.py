@@ -51,7 +51,7 @@ def weighted_resample(train: DataFrame, classes: DataFrame, power: float = 1.0,
     return _resample(train, sampling_weight(train, classes, label, power), seed, label, key, n)
 
 
-def rare_resample(train: DataFrame, classes: DataFrame, rare: DataFrame, power: float = 1.0, boost: float = 3.0, seed: int = 42, label: str = "label", key: str = "parcel_id", n: int | None = None) -> DataFrame:
+def rare_resample(train: DataFrame, classes: DataFrame, rare: DataFrame, power: float = 1.0, boost: float = 2.0, seed: int = 42, label: str = "label", key: str = "parcel_id", n: int | None = None) -> DataFrame:
     return _resample(train, rare_weight(train, classes, rare, label, power, boost), seed, label, key, n)
 
 

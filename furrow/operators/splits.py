@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.functions.draws import uniform
-from furrow.operators.quantiles import rank_cutoffs, with_draw
+from furrow.operators.quantiles import join_null_safe, rank_cutoffs, with_draw
 from furrow.session import small_side
 
 # Search limits of the tile split.
@@ -29,7 +29,7 @@ def _assign(df: DataFrame, by: Sequence[str], targets: DataFrame, seed, key: str
     table = small_side(cuts.groupBy(*by).agg(*[F.max(F.when(F.col("tag") == n, F.col("cut"))).alias(f"_{n}") for n in names]))
     at = F.struct("_h", F.col(key).alias("_k"))
     split = reduce(lambda acc, n: F.when(at <= F.col(f"_{n}"), n).otherwise(acc), reversed(names), F.lit(rest))
-    joined = with_draw(df, seed, key).join(table, by, "left")
+    joined = join_null_safe(with_draw(df, seed, key), table, by, "left")
     return joined.withColumn("split", split).drop("_h", *[f"_{n}" for n in names])
 
 
@@ -165,7 +165,7 @@ def split_by_tile(df: DataFrame, test: float = 0.2, val: float = 0.1, seed: int
     if chosen is None:
         return split_by_parcel(df, test, val, seed, stratify, label, key)
     table = df.sparkSession.createDataFrame(list(chosen.items()), "tile string, split string")
-    return df.join(small_side(table), "tile")
+    return join_null_safe(df, small_side(table), ["tile"])
 
 
 def create_splits(df: DataFrame, method: str = "parcel", **kwargs) -> DataFrame:
@@ -207,7 +207,7 @@ def group_kfold(df: DataFrame, group: str = "tile", k: int = 5, val: float = 0.1
     """
     table = small_side(group_folds(df, group, k).select(group, "test_fold"))
     folds = F.explode(F.sequence(F.lit(1), F.lit(k)))
-    rows = df.select(key, group, label).join(table, group).withColumn("fold", folds)
+    rows = join_null_safe(df.select(key, group, label), table, [group]).withColumn("fold", folds)
     test = rows.where(F.col("fold") == F.col("test_fold")).withColumn("split", F.lit("test"))
     rest = rows.where(F.col("fold") != F.col("test_fold"))
     if val <= 0:
@@ -221,7 +221,7 @@ def group_kfold(df: DataFrame, group: str = "tile", k: int = 5, val: float = 0.1
         )
         table = small_side(classes.withColumn("_k", total).withColumn("_fits", fits))
         # A fold whose classes are too small is drawn as one group.
-        rest = rest.join(table.select("fold", label, "_fits"), ["fold", label]).withColumn(
+        rest = join_null_safe(rest, table.select("fold", label, "_fits"), ["fold", label]).withColumn(
             "_by", F.when(F.col("_fits"), F.col(label).cast("string")).otherwise(F.lit(""))
         )
         groups = table.groupBy("fold", F.when(F.col("_fits"), F.col(label).cast("string")).otherwise(F.lit("")).alias("_by")).agg(
@@ -245,5 +245,5 @@ def stratified_kfold(df: DataFrame, label: str = "label", k: int = 5, seed: int
     lists = small_side(cuts.groupBy(label).agg(F.collect_list("cut").alias("_cuts")))
     at = F.struct("_h", F.col(key).alias("_k"))
     fold = F.size(F.filter("_cuts", lambda c: at > c))
-    joined = with_draw(df, seed, key).join(lists, label, "left")
+    joined = join_null_safe(with_draw(df, seed, key), lists, [label], "left")
     return joined.withColumn("fold", F.coalesce(fold, F.lit(0))).drop("_h", "_cuts")

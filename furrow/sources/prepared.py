@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,7 +63,3 @@ def load_prepared(spark: SparkSession, path: str) -> Prepared:
         rows = rows.withColumn("group_id", F.lit(MISSING_GROUP))
     dates = [r[0] for r in axes.where("axis = 'date'").orderBy("pos").select(F.to_date("name")).collect()]
     return Prepared(rows, names("feature"), dates, table("label", "label_id", "label"), groups)
-
-
-def feature_columns(features: Sequence[str]) -> list:
-    return [F.transform("features", lambda step, i=i: F.get(step, F.lit(i))).alias(f) for i, f in enumerate(features)]

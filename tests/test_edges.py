@@ -209,9 +209,7 @@ def test_large_scores_do_not_overflow(spark):
     assert p[0] == pytest.approx(0.7310585786) and sum(p) == pytest.approx(1.0)
 
 
-@pytest.mark.parametrize("bounded", [0, 50_000])
-def test_quantiles_of_heavy_ties(spark, monkeypatch, bounded):
-    monkeypatch.setattr(quantiles, "BOUNDED_ROWS", bounded)
+def test_quantiles_of_heavy_ties(spark):
     df = spark.range(3000).select(F.when(F.col("id") % 3 != 0, 5.0).otherwise(F.col("id").cast("double")).alias("v"))
     out = {r["prob"]: r["quantile"] for r in quantiles.exact_quantiles(df, [], "v", [0.0, 0.5, 0.9, 1.0]).collect()}
     values = sorted(5.0 if n % 3 else float(n) for n in range(3000))
@@ -221,9 +219,29 @@ def test_quantiles_of_heavy_ties(spark, monkeypatch, bounded):
     assert out[0.9] == pytest.approx(low + (high - low) * 0.1)
 
 
-@pytest.mark.parametrize("bounded", [0, 50_000])
-def test_quantiles_of_one_value(spark, monkeypatch, bounded):
-    monkeypatch.setattr(quantiles, "BOUNDED_ROWS", bounded)
+def test_quantiles_equal_the_built_in_for_extreme_values(spark):
+    inf = float("inf")
+    groups = {"a": [inf] * 5 + [1.0] * 2, "b": [1e308, 1e308, -1e308, -1e308], "c": [-inf, 1.0, 2.0, inf], None: [1.0, 3.0, 10.0]}
+    df = spark.createDataFrame([(k, x) for k, xs in groups.items() for x in xs], "k string, v double")
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {(r["k"], r["prob"]): r["quantile"] for r in quantiles.exact_quantiles(df, ["k"], "v", probs).collect()}
+    want = {(r["k"], p): q for r in df.groupBy("k").agg(F.percentile("v", F.array(*[F.lit(p) for p in probs])).alias("q")).collect() for p, q in zip(probs, r["q"])}
+    assert {k: repr(x) for k, x in got.items()} == {k: repr(x) for k, x in want.items()}
+
+
+def test_splits_keep_rows_without_label_or_tile(spark):
+    rows = [(f"p{i}", None if i % 5 == 0 else f"c{i % 3}", None if i % 5 == 1 else f"T{i % 4}") for i in range(100)]
+    df = spark.createDataFrame(rows, "parcel_id string, label string, tile string")
+    sizes = lambda d: {r["split"]: r["count"] for r in d.groupBy("split").count().collect()}
+    assert sizes(splits.stratified_split(df)) == {"train": 80, "test": 20}
+    assert sum(sizes(splits.split_by_tile(df)).values()) == 100
+    folds = splits.group_kfold(df, k=3)
+    assert folds.count() == 300 and folds.where("split = 'test'").count() == 100
+    strata = {(r["label"], r["fold"]): r["count"] for r in splits.stratified_kfold(df, k=5).groupBy("label", "fold").count().collect()}
+    assert [strata[None, f] for f in range(5)] == [4] * 5
+
+
+def test_quantiles_of_one_value(spark):
     df = spark.createDataFrame([("a", 3.0), ("b", None)], "k string, v double")
     assert [(r["k"], r["quantile"]) for r in quantiles.exact_quantiles(df, ["k"], "v", [0.25]).collect()] == [("a", 3.0)]
 

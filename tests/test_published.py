@@ -8,17 +8,39 @@ from pyspark.sql import functions as F
 from furrow.operators import evaluate, importance, reshape
 
 # Class, support, hits and predictions of a published 25-class evaluation.
-CLASSES = """AVH 40 15 427|BDH 367 170 259|BOR 1688 926 3297|BTA 134 32 685|BTH 195 60 138|CEE 103 61 439|JAC 1341 398 1276
-LUZ 448 109 453|MDI 40 13 824|MLC 50 15 344|MLG 108 46 377|MLO 63 56 87|OLI 379 117 1129|ORH 174 94 268|PCH 52 36 108
-PPH 1594 335 584|PTR 634 12 64|SAI 57 30 686|SIN 54 36 2152|SNE 1736 20 111|SOG 64 42 286|SPH 1033 332 978|SPL 663 168 419
-VRC 11212 6257 6713|VRG 172 62 297"""
+CLASSES = [
+    ("AVH", 40, 15, 427),
+    ("BDH", 367, 170, 259),
+    ("BOR", 1688, 926, 3297),
+    ("BTA", 134, 32, 685),
+    ("BTH", 195, 60, 138),
+    ("CEE", 103, 61, 439),
+    ("JAC", 1341, 398, 1276),
+    ("LUZ", 448, 109, 453),
+    ("MDI", 40, 13, 824),
+    ("MLC", 50, 15, 344),
+    ("MLG", 108, 46, 377),
+    ("MLO", 63, 56, 87),
+    ("OLI", 379, 117, 1129),
+    ("ORH", 174, 94, 268),
+    ("PCH", 52, 36, 108),
+    ("PPH", 1594, 335, 584),
+    ("PTR", 634, 12, 64),
+    ("SAI", 57, 30, 686),
+    ("SIN", 54, 36, 2152),
+    ("SNE", 1736, 20, 111),
+    ("SOG", 64, 42, 286),
+    ("SPH", 1033, 332, 978),
+    ("SPL", 663, 168, 419),
+    ("VRC", 11212, 6257, 6713),
+    ("VRG", 172, 62, 297),
+]
 ACCURACY, MACRO_F1, WEIGHTED_F1 = 0.4214990402214187, 0.2632800875966831, 0.47628835003796355
 MACRO_PRECISION, MACRO_RECALL, WEIGHTED_PRECISION = 0.27152003885398296, 0.40519362360442945, 0.624241056418731
 
 
 def totals():
-    rows = [c.split() for c in CLASSES.replace("\n", "|").split("|")]
-    return [(n, int(s), int(h), int(p)) for n, s, h, p in rows]
+    return CLASSES
 
 
 @pytest.fixture(scope="module")
