@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.llm.common import by_text, mixed, shingle_hashes, stored, table, text_or_empty, word_hashes
+from furrow.llm.common import by_text, drop_shuffles, mixed, shingle_hashes, stored, table, text_or_empty, word_hashes
 from furrow.llm.components import components
 from furrow.llm.pieces import grouped
 
@@ -277,21 +277,27 @@ def linked(docs: DataFrame, percent: int = PERCENT, fragments: int = FRAGMENTS)
         "*", (F.min(name).over(whole) < F.max(name).over(whole)).alias("_many"), F.coalesce((F.lag("k1").over(inside) == F.col("k1")) & (F.lag("k2").over(inside) == F.col("k2")), F.lit(False)).alias("_again")
     ).where("_many and not _again")
     shared = stored(shared.select("h", "k1", "k2", "n", F.col("p").cast("long").alias("p")), "shared")
+    del postings
+    drop_shuffles(docs.sparkSession)  # the postings' shuffle is the largest
     # a partner has at least the share t of a class's shingles, so this many lists are the least it can be met in
     least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / SHARED_EACH)
     often = shared.groupBy("k1", "k2", "n").count().where(F.col("count") >= least).select("k1", "k2").join(classes.select("k1", "k2", "class"), ["k1", "k2"])
     lists = stored(shared.join(often, ["k1", "k2"]).select("h", "class", "k1", "n", "p"), "lists")
 
     wanted = name_filter(lists.select("k1").distinct())
-    parts = segments(docs, level, fragment_bounds(counts, level, fragments), wanted).groupBy("k1", "k2", "fragment").agg(F.first("part").alias("part"))
+    # dealt by the set's name at once, for the grouping and for the join
+    parts = segments(docs, level, fragment_bounds(counts, level, fragments), wanted).repartition("k1", "k2").groupBy("k1", "k2", "fragment").agg(F.first("part").alias("part"))
     parts = stored(parts.join(classes.select("k1", "k2", "class"), ["k1", "k2"]).select("class", "fragment", "part"), "parts")
 
+    drop_shuffles(docs.sparkSession)
     labels = docs.sparkSession.createDataFrame([], "node long, label long")
     for candidates in (stars, neighbours, leftovers):
         marked = lists.drop("k1").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
         found = counted(candidates(marked, percent), parts, percent)
         edges = found.select("a", "b").unionByName(labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")))
         labels = components(edges)
+        del marked, found, edges
+        drop_shuffles(docs.sparkSession)
 
     of_class = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     first = of_class.groupBy("label").agg(F.min("first_id").alias("component_id"))
