@@ -55,4 +55,5 @@ def test_awkward_tables(spark, tmp_path):
         docs = documents(spark, rows)
         sf = write_tables(spark, tmp_path / name, documents=docs, benchmark=spark.createDataFrame([(1, None), (2, "")], "item_id long, text string"))
         got = corpus_pipeline.run(spark, sf).collect()
-        assert sorted(repr(r["doc_id"]) for r in got) == ([] if not rows else ["30", "None"])
+        # 7 has eleven words, too few for the rule on function words, and breaks no other rule
+        assert sorted(repr(r["doc_id"]) for r in got) == ([] if not rows else ["30", "7", "None"])
