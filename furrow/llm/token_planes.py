@@ -9,16 +9,18 @@ place of its first id in its part. The number of all ids before a part follows f
 Spark writes the chunk rows as Parquet files, so a lost task is written again and half-written files never
 count, on any file system that Spark can write.
 
+The query encodes as the library does by default: an added token's string in a text, such as <|endoftext|>, is that token's id.
 A null or empty text has no ids but its end id. Null keys come first; equal keys are ordered by text.
 An empty table gives no chunks. The input's other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -84,9 +86,31 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(other)}
 
 
+def with_added(encode: Callable[[list[str]], list[bytes]], tokenizer, added: list[dict]) -> Callable[[list[str]], list[bytes]]:
+    """``encode`` for texts that are first cut at the tokenizer's added tokens, the longest at a place, as the library does."""
+    tokens = {t["content"]: struct.pack("<I", t["id"]) for t in added}
+    cut = regex.compile("(" + "|".join(map(regex.escape, sorted(tokens, key=len, reverse=True))) + ")").split
+    # tokens that take white space along or stand as words only, and those sought in normalized text, are left to the library
+    plain = tokenizer.normalizer is None and not any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added)
+
+    def whole(text: str) -> bytes:
+        found = tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(found)}I", *found)
+
+    def run(texts: list[str]) -> list[bytes]:
+        if not plain:
+            return [whole(t) for t in texts]
+        # ordinary parts and added tokens in turn; no part sees a space of another
+        parts = [cut(t) if any(x in t for x in tokens) else [t] for t in texts]
+        found = iter(encode([x for c in parts for x in c[::2]]))
+        return [b"".join(tokens[x] if k % 2 else next(found) for k, x in enumerate(c)) for c in parts]
+
+    return run
+
+
 @lru_cache(maxsize=2)
-def library_encoder(path: str) -> Encoded:
-    """Pieces to ids by the tokenizers library; strings of special tokens in a text are ordinary text.
+def library_encoder(path: str, added_tokens: bool = False) -> Callable[[list[str]], list[bytes]]:
+    """Texts to ids by the tokenizers library; strings of added tokens in a text are those tokens if ``added_tokens``, else ordinary text.
 
     The library's own splitting costs most of its time, so pieces are split here by the same pattern and the library's model
     merges each distinct word once.
@@ -115,16 +139,20 @@ def library_encoder(path: str) -> Encoded:
         get = words.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
-    return Encoded(encode)
+    added = []
+    if added_tokens:
+        with open(path, encoding="utf-8") as file:
+            added = json.load(file).get("added_tokens") or []
+    return with_added(Encoded(encode), tokenizer, added) if added else Encoded(encode)
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, layout: Layout = Layout()) -> None:
-    """Encode ``docs`` (doc_id, text) in key order and write the chunks."""
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, layout: Layout = Layout(), added_tokens: bool = False) -> None:
+    """Encode ``docs`` (doc_id, text) in key order and write the chunks; ``added_tokens`` as in library_encoder."""
     if layout.planes not in ("bit", "byte"):
         raise ValueError("planes are bit or byte")
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, pack = library_encoder(tokenizer), _compressor(layout.level)
+        encode, pack = library_encoder(tokenizer, added_tokens), _compressor(layout.level)
         part, number, before, held = TaskContext.get().partitionId(), 0, 0, 0
         keys, ids, schema = [], [], _arrow_schema()
         end = np.array([end_id], "<u4").tobytes()
@@ -202,5 +230,5 @@ def op1(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = new_path(spark, "token-planes")
-    write(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    write(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)
     return read_documents(spark, path)

@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ from tokenizers import Tokenizer
 import public_tokenizers
 from furrow.llm import token_planes
 from furrow.llm.token_planes import Layout
-from tests.llm.helpers import AWKWARD, SF, documents
+from tests.llm.helpers import AWKWARD, SF, documents, write_tables
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -55,3 +56,32 @@ def test_query_against_plain_encoding(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     got = [tuple(r) for r in token_planes.op1(spark, SF).orderBy("start").collect()]
     assert got == expected(rows)
+
+
+ADDED = ["a <|endoftext|> b<|endoftext|>", "x  <|endoftext|>  y", "<|endoftext|>", "<|endoftext|><|endoftext|> two", "<|endoftext| > not", "one <|endoftext|>\n\n 'll go", " <|endoftext|> "]
+
+
+def test_query_encodes_added_tokens_as_the_library(spark, tmp_path):
+    rows = [*AWKWARD, *((20 + i, t) for i, t in enumerate(ADDED))]
+    tokenizer = Tokenizer.from_file(PATH)
+    want, start = [], 0
+    for key, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        want.append((key, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    got = token_planes.op1(spark, write_tables(spark, tmp_path, documents=documents(spark, rows)))
+    assert [tuple(r) for r in got.orderBy("start").collect()] == want
+
+
+@pytest.mark.parametrize("flag", [None, "lstrip", "rstrip", "single_word"])
+def test_added_tokens_of_any_kind(tmp_path, flag):
+    with open(PATH, encoding="utf-8") as file:
+        stated = json.load(file)
+    if flag:
+        stated["added_tokens"][0][flag] = True
+    path = tmp_path / "tokenizer.json"
+    path.write_text(json.dumps(stated), encoding="utf-8")
+    tokenizer = Tokenizer.from_file(str(path))
+    texts = [*ADDED, "word<|endoftext|>word"]
+    got = token_planes.library_encoder(str(path), True)(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
