@@ -1,9 +1,11 @@
 """Benchmark decontamination: size-partitioned MinHash containment search.
 
-Test items are short and documents long, so the similarity of whole sets says nothing. Items are partitioned by
+Test items are short and documents long, so the similarity of whole sets says nothing. Items of at most SMALLEST shingles are
+looked up exactly: a document that has enough of such an item has one of any so many of its shingles as may be missing, and one
+more, and each shingle of a document is sought among these. None is missed. The others are partitioned by
 their number of shingles into classes that double. For a class of at most u shingles a document is covered by windows of 2u shingles
 that start every u, so an item that stands in the document lies whole in one of them, and item and window are of
-comparable size: an item of which eight tenths stand there agrees with its window in each MinHash value with a
+comparable size: an item has more than half its class's shingles, so one of which eight tenths stand there agrees with its window in each MinHash value with a
 chance of 0.19 or more, and in none of 64 values with a chance below 2e-6. Window minima are built from block minima, so each
 shingle is hashed once for all classes. Any agreement makes a candidate, which is then verified by exact containment: the share of
 the item's distinct shingles that the whole document has.
@@ -57,9 +59,9 @@ def fold(h: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """A block of items: their shingle sets, and for each size class the MinHash values to look for."""
+    """A block of items: their shingle sets, the shingles to look for of small ones, and for each size class of the others the MinHash values."""
 
-    def __init__(self, ids: list, texts: list[str | None]):
+    def __init__(self, ids: list, texts: list[str | None], threshold: float = THRESHOLD):
         words, counts = word_hashes(texts)
         self.ids, self.sets, self.width = [], [], []
         for key, w in zip(ids, by_text(words, counts), strict=True):
@@ -68,10 +70,22 @@ class Items:
                 self.sets.append(np.unique(shingle_hashes(w)))
                 self.width.append(min(len(w), SHINGLE_WORDS))
         self.classes: dict[int, list[tuple[int, list[int], np.ndarray, np.ndarray]]] = {}
+        self.small: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, int]] = {}
         groups: dict[tuple[int, int], list[int]] = {}
+        keys: dict[int, list[tuple[int, int]]] = {}
         for i, s in enumerate(self.sets):
-            size = max(SMALLEST, 1 << (len(s) - 1).bit_length())
-            groups.setdefault((self.width[i], size), []).append(i)
+            if len(s) <= SMALLEST:
+                least = next((n for n in range(1, len(s)) if n >= threshold * len(s)), len(s))
+                keys.setdefault(self.width[i], []).extend((int(h), i) for h in s[: len(s) - least + 1])
+            else:
+                groups.setdefault((self.width[i], 1 << (len(s) - 1).bit_length()), []).append(i)
+        for width, pairs in keys.items():
+            pairs.sort()
+            own = np.array([h for h, _ in pairs], np.uint64)
+            bits = max(TABLE_BITS, (8 * len(own)).bit_length())
+            lookup = np.zeros(1 << bits, bool)
+            lookup[(own >> np.uint64(64 - bits)).astype(np.int64)] = True
+            self.small[width] = own, np.array([i for _, i in pairs]), lookup, bits
         for (width, size), members in sorted(groups.items()):
             signatures = np.stack([(fold(self.sets[i])[None, :] * _FAMILY[:, None]).min(1) for i in members], axis=1)  # hashes x members
             lookup = np.zeros((HASHES, 1 << TABLE_BITS), bool)
@@ -84,8 +98,18 @@ class Items:
         return ((values * np.uint32(0x9E3779B1)) >> np.uint32(32 - TABLE_BITS)).astype(np.int64)
 
     def candidates(self, hashes: list[np.ndarray], width: int) -> set[tuple[int, int]]:
-        """(document, item) that agree in a MinHash value of a window of the document."""
+        """(document, item) that share a shingle to look for, or agree in a MinHash value of a window of the document."""
         found: set[tuple[int, int]] = set()
+        if width in self.small:
+            own, members, lookup, bits = self.small[width]
+            every = np.concatenate(hashes)
+            at = np.flatnonzero(lookup[(every >> np.uint64(64 - bits)).astype(np.int64)])
+            low, high = np.searchsorted(own, every[at]), np.searchsorted(own, every[at], side="right")
+            docs = np.searchsorted(np.cumsum([len(h) for h in hashes]), at, side="right")
+            for k in np.flatnonzero(high > low):
+                found.update((int(docs[k]), int(i)) for i in members[low[k] : high[k]])
+        if width not in self.classes:
+            return found
         classes = self.classes[width]
         align = max(SMALLEST, *(size for size, *_ in classes))  # documents start at multiples of the largest class
         padded = [np.pad(fold(h), (0, -len(h) % align), mode="edge") for h in hashes]
@@ -111,7 +135,7 @@ class Items:
     def contained(self, texts: list[np.ndarray], threshold: float) -> list[tuple[int, int, int]]:
         """(document, item, shared shingles) of the items that documents, given as word hashes, contain; exactly counted."""
         out = []
-        for width in self.classes:
+        for width in sorted(self.classes.keys() | self.small.keys()):
             long = [d for d, words in enumerate(texts) if len(words) >= width]
             if not long:
                 continue
@@ -127,18 +151,18 @@ class Items:
         return out
 
 
-def blocks_of(items: DataFrame, most: int = BLOCK_BYTES) -> Iterator[Items]:
+def blocks_of(items: DataFrame, most: int = BLOCK_BYTES, threshold: float = THRESHOLD) -> Iterator[Items]:
     """The items in blocks of at most ``most`` bytes of text (a longer item alone), one in the driver at a time."""
     ids, texts, held = [], [], 0
     for row in items.select("item_id", text_or_empty().alias("text")).toLocalIterator():
         if held and held + len(row["text"]) > most:
-            yield Items(ids, texts)
+            yield Items(ids, texts, threshold)
             ids, texts, held = [], [], 0
         ids.append(row["item_id"])
         texts.append(row["text"])
         held += len(row["text"])
     if ids:
-        yield Items(ids, texts)
+        yield Items(ids, texts, threshold)
 
 
 def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -162,7 +186,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -
 
         return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, schema)
 
-    found = [search(block) for block in blocks_of(items)]
+    found = [search(block) for block in blocks_of(items, threshold=threshold)]
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
 
 
