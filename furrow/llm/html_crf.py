@@ -37,7 +37,10 @@ DIMENSIONS = 1 << 13
 
 #: Fixed values of the HTML standard: elements whose text is never shown as page text, elements without an end tag, inline elements, and elements that
 #: a start tag of the same group ends.
+#: Of the hidden ones, those of RAW hold all up to their end tag or the page's end; without an end tag the others hide nothing.
 HIDDEN = "script style noscript template svg iframe object textarea select button title".split()
+RAW = frozenset("script style noscript iframe textarea title".split())
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 EMPTY = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -47,9 +50,10 @@ OTHER_WORDS = re.compile(r"(^|[^a-z])(ad|ads)([^a-z]|$)|advert|sponsor|promo|ban
 MAIN_WORDS = re.compile(r"article|content|post|entry|main|story|text|body|prose")
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{'|'.join(HIDDEN)})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attributes>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[/!?a-zA-Z][^>]*+>?",
-    re.S | re.I,
+    r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attributes>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[/!?a-zA-Z][^>]*+>?",
+    re.S,
 )
+_END_OF = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I) for tag in HIDDEN}
 _ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 
 
@@ -81,6 +85,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, tuple[int, ...], str]] = [("", (), "")]
     seen: dict[tuple[str, str], tuple[int, ...]] = {}
     parts: list[str] = []
+    unclosed: set[str] = set()  # hidden elements that have no further end tag
     link_chars = at = links = 0
 
     def flush() -> None:
@@ -102,18 +107,41 @@ def blocks(page: str) -> list[Block]:
             if stack[k][0] in SCOPES:
                 return
 
-    for m in _TOKEN.finditer(page):
+    def leave_head() -> None:
+        if stack[-1][0] == "head":
+            flush()
+            stack.pop()
+
+    def hidden_until(tag: str, start: int) -> int:
+        """Where the hidden element ends whose start tag ends at ``start``; -1 if it hides nothing."""
+        m = None if tag in unclosed else _END_OF[tag].search(page, start)
+        if m:
+            return m.end()
+        unclosed.add(tag)
+        return len(page) if tag in RAW else -1
+
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             piece = html.unescape(page[at : m.start()])
+            if not piece.isspace():
+                leave_head()
             parts.append(piece)
             link_chars += len(piece) * (links > 0)
         at = m.end()
         tag = m["tag"]
         if tag is None:
-            if m["raw"] is not None and m["raw"].lower() not in ("svg", "button"):
-                flush()
             continue
         tag = tag.lower()
+        if not m["end"] and tag not in HEAD:
+            leave_head()
+        if tag in _END_OF and not m["end"]:
+            if tag == "svg" and m["attributes"].endswith("/"):  # closes itself
+                continue
+            if (end := hidden_until(tag, at)) >= 0:
+                at = end
+                if tag not in ("svg", "button"):
+                    flush()
+                continue
         if tag == "br":
             parts.append(" ")
             continue
@@ -137,9 +165,12 @@ def blocks(page: str) -> list[Block]:
         scope = f"{tag} {bool(OTHER_WORDS.search(said)):d}{bool(MAIN_WORDS.search(said)):d}" if tag in SCOPES else stack[-1][2]
         stack.append((tag, tuple(dict.fromkeys(stack[-1][1] + seen[key])), scope))
     if at < len(page):
-        parts.append(html.unescape(page[at:]))
+        piece = html.unescape(page[at:])
+        if not piece.isspace():
+            leave_head()
+        parts.append(piece)
     flush()
-    return [b for b in out if "head" not in b.tags]
+    return out
 
 
 def own_features(chain: list[Block]) -> list[tuple[int, ...]]:

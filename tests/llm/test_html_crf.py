@@ -63,3 +63,25 @@ def test_awkward_rows(spark, field):
     assert [r["text"] for r in got if r["page_id"] == 7] == ["\n".join(["words of a page"] * 30000)] * 2
     assert all(r["text"] == "" for r in got if r["page_id"] in (1, 2))
     assert html_crf.extract(pages.limit(0), html_crf.fit(pages.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article><p>A</p><svg class=i/><p>B</p></article>", ["A", "B"]),
+        ("<p>A</p><svg viewBox='0 0 1 1' /><p>B</p><svg><text>no</text></svg><p>C", ["A", "B", "C"]),
+        ("<p>A</p><button-group><p>B</p></button-group><svg-icon></svg-icon><p>C</p>", ["A", "B", "C"]),
+        ("<p>A</p><button type=button><p>B</p><select><p>C</p>", ["A", "B", "C"]),
+        ("<p>A</p><script>no</script ><p>B</p><style>no</style/><p>C</p><script>no <p>no", ["A", "B", "C"]),
+        ("<html><head><title>no</title><meta charset=x><body><p>A</p><p>B", ["A", "B"]),
+        ("<html><head><title>no</title><link href=x><style>no</style>\n<div>A</div><p>B</p>", ["A", "B"]),
+        ("<head>\n<script>no</script>A</head><p>B", ["A", "B"]),
+        ("<head><title>no</title></head><body><header>A</header><p>B", ["A", "B"]),
+    ],
+)
+def test_no_rest_of_a_page_is_dropped(page, want):
+    assert [b.text for b in html_crf.blocks(page)] == want
+
+
+def test_many_unclosed_hidden_elements():
+    assert len(html_crf.blocks("<button><svg><p>x</p>" * 3000)) == 3000
