@@ -42,7 +42,8 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_HAS = re.compile(r"[0-9@]")
+#: What every text with a candidate has: the email generator asks for an at sign or one of these words, the others for digits.
+_HAS = re.compile(r"[0-9@]|\sat\s|[\[({<]\s?at\s?[\])}>]", re.I)
 
 #: Loose generators: whatever may be meant as such data.
 LOOSE = {
@@ -268,7 +269,7 @@ def fit(docs: DataFrame) -> Trees:
 
 def select(text: str, model: Trees) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """The base spans, and the further spans that the trees choose."""
-    if not _HAS.search(text) and not re.search(r"\bat\b.{1,80}\bdot\b|\[at\]|\(at\)", text, re.I):
+    if not _HAS.search(text):
         return [], []
     base = base_spans(text)
     found = [c for c in candidates(text) if not any(c[1] < b and a < c[2] for _, a, b in base)] if model.trees else []

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -71,3 +72,22 @@ def test_awkward_rows(spark, model):
     assert rows[41]["text"] == "at <IP> and 300.1.1.1" and rows[44]["text"] == "no data" and rows[5]["text"] is None
     assert pii_boost.find(documents(spark, []), model).count() == 0
     assert pii_boost.fit(documents(spark, [])).trees == []
+
+
+DISGUISED = ["jane at\nexample dot com", "jane [ at ] example.com", "jane{at}example.com", "jane.doe at example.com", "jane <AT> example dot com"]
+
+
+@pytest.mark.parametrize("address", DISGUISED)
+def test_disguised_address_needs_no_digit(address):
+    """Every candidate is scored, whatever else stands in the text."""
+    eager = pii_boost.Trees(edges=[np.zeros(1)] * pii_boost.FEATURES, trees=[[(-1, 0, 0, 0, 9.0)]], thresholds=[0.5] * 4)
+    text = f"Write to {address} today"
+    assert pii_boost.candidates(text)
+    assert pii_boost.select(text, eager)[1] and pii_boost.select(text + " 7", eager)[1]
+
+
+@settings(deadline=None)
+@given(st.lists(st.sampled_from(["at", "AT", "dot", "jo", "com", " ", "\n", "[", "]", "(", ")", "{", "}", "<", ">", "."]), max_size=14))
+def test_texts_without_candidates_alone_are_skipped(words):
+    text = "".join(words)
+    assert pii_boost._HAS.search(text) or not pii_boost.candidates(text)
