@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import gc
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from furrow.functions.arrays import bind
 from furrow.session import shared_folder
@@ -39,6 +43,30 @@ def drop_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def sampled(texts: DataFrame, most: int, part: Callable[[str, int], list | None], schema: str) -> list[Row]:
+    """``part`` of at most ``most`` hashed distinct texts of ``texts`` (one string column), in the order of their hashes.
+
+    ``part`` gets a text of any length and its hash where the text is read, and gives the values of ``schema`` in bounded size.
+    """
+    column = texts.columns[0]
+    distinct = texts.agg(F.approx_count_distinct(F.xxhash64(column)).alias("n")).first()["n"]
+    hashed = texts.select(F.xxhash64(column).alias("hash"), column)
+    drawn = hashed.where(F.pmod("hash", F.lit(1_000_000)) < min(1_000_000, 1_000_000 * 1.5 * most / max(distinct, 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[int] = set()  # of the few drawn
+        for batch in batches:
+            for i, key in enumerate(batch.column(0).to_pylist()):
+                if key not in known:
+                    known.add(key)
+                    if (values := part(batch.column(1)[i].as_py(), key)) is not None:
+                        yield pa.RecordBatch.from_pylist([dict(zip(names, [key, *values], strict=True))], to_arrow_schema(out))
+
+    out = StructType.fromDDL(f"hash long, {schema}")
+    names = out.fieldNames()
+    return drawn.mapInArrow(run, out).dropDuplicates(["hash"]).orderBy("hash").limit(most).collect()
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -28,11 +28,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.common import table, text_or_empty
+from furrow.llm.common import sampled, table, text_or_empty
 from furrow.llm.pieces import grouped
 
-#: Pages that a fit may use, layouts drawn for each, and the size of a page that can be a training page.
-SAMPLE_PAGES, LAYOUTS, SAMPLE_CHARS = 300, 4, 20_000
+#: Pages that a fit may use, layouts drawn for each, the blocks that it takes of a page in how many runs, and the length to which their texts are cut for layouts.
+SAMPLE_PAGES, LAYOUTS, PAGE_BLOCKS, RUNS, BLOCK_CHARS = 300, 4, 200, 4, 1000
 DIMENSIONS = 1 << 13
 
 #: Fixed values of the HTML standard: elements whose text is never shown as page text, elements without an end tag, inline elements, and elements that
@@ -235,19 +235,27 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
 
 
-def train(pages: list[tuple[list[Block], list[int]]], epochs: int = 10, rate: float = 0.3, shrink: float = 1e-4, seed: int = 3) -> Field:
-    """Conditional likelihood by AdaGrad, a page a step; marginals from the forward-backward recursions."""
+def rows_of(chain: list[Block]) -> list[list[int]]:
+    """The features of each block, in all."""
+    return [[*b.above, *own] for b, own in zip(chain, own_features(chain), strict=True)]
+
+
+def train(runs: list[tuple[list[list[int]], list[int], bool]], epochs: int = 10, rate: float = 0.3, shrink: float = 1e-4, seed: int = 3) -> Field:
+    """Conditional likelihood by AdaGrad, a run of blocks a step; marginals from the forward-backward recursions.
+
+    A run has features, labels, and whether it begins its page: only then it has a first state.
+    """
     field = Field(np.zeros((DIMENSIONS, 2)), np.zeros((2, 2)), np.zeros(2))
     sums = Field(np.full((DIMENSIONS, 2), 1e-6), np.full((2, 2), 1e-6), np.full(2, 1e-6))
-    ready = [([np.array(b.above + own) for b, own in zip(chain, own_features(chain), strict=True)], np.array(y)) for chain, y in pages if chain]
+    ready = [([np.array(r) for r in rows], np.array(y), begins) for rows, y, begins in runs if rows]
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         for k in rng.permutation(len(ready)):
-            rows, y = ready[k]
+            rows, y, begins = ready[k]
             n = len(y)
             e = np.array([field.weights[r].sum(0) for r in rows])
             a, b = np.empty((n, 2)), np.zeros((n, 2))
-            a[0] = e[0] + field.first
+            a[0] = e[0] + field.first * begins
             for t in range(1, n):
                 a[t] = e[t] + _log_sum(a[t - 1][:, None] + field.change, 0)
             for t in range(n - 2, -1, -1):
@@ -268,7 +276,7 @@ def train(pages: list[tuple[list[Block], list[int]]], epochs: int = 10, rate: fl
             gw += shrink * field.weights[used]
             sums.weights[used] += gw**2
             field.weights[used] -= rate * gw / np.sqrt(sums.weights[used])
-            for weights, squares, gradient in ((field.change, sums.change, change), (field.first, sums.first, slope[0])):
+            for weights, squares, gradient in ((field.change, sums.change, change), (field.first, sums.first, slope[0] * begins)):
                 squares += gradient**2
                 weights -= rate * gradient / np.sqrt(squares)
     return field
@@ -317,20 +325,45 @@ def laid_out(main: list[str], other: list[str], rng: random.Random) -> tuple[lis
     return [Block(b.text, tuple(f for f in b.above if f not in marker), b.link_chars, tuple(t for t in b.tags if t != "q"), b.scope) for b in chain], y
 
 
+def runs_of(y: list[int], key: int) -> list[tuple[int, int]]:
+    """Places of the page's blocks to learn from: all, or of more than PAGE_BLOCKS the first, the last, those around a hashed change of labels and those at a hashed place."""
+    n, each = len(y), PAGE_BLOCKS // RUNS
+    if n <= PAGE_BLOCKS:
+        return [(0, n)]
+    changes = [k for k in range(1, n) if y[k] != y[k - 1]] or [n // 2]
+    begins = sorted({0, n - each, max(0, min(changes[key % len(changes)] - each // 2, n - each)), key // 7 % (n - each + 1)})
+    out: list[tuple[int, int]] = []
+    for begin in begins:
+        if out and begin <= out[-1][1]:
+            out[-1] = out[-1][0], begin + each
+        else:
+            out.append((begin, begin + each))
+    return out
+
+
+def training_part(page: str, key: int) -> list | None:
+    """Runs of a page's blocks, labelled within the whole page: features, labels, beginnings and texts."""
+    chain = blocks(page)
+    if not chain:
+        return None
+    y, rows = labels_by_markup(chain), rows_of(chain)
+    runs = runs_of(y, key)
+    short = lambda t: t if len(t) <= BLOCK_CHARS else t[: BLOCK_CHARS // 2] + t[-BLOCK_CHARS // 2 :]
+    return [[rows[a:b] for a, b in runs], [y[a:b] for a, b in runs], [a == 0 for a, _ in runs], [[short(x.text) for x in chain[a:b]] for a, b in runs]]
+
+
 def fit(pages: DataFrame) -> Field:
-    """Train on a hashed sample of at most SAMPLE_PAGES pages of ``pages`` (html)."""
-    usable = pages.where((F.length("html") > 0) & (F.length("html") <= SAMPLE_CHARS)).select("html")
-    total = usable.count()
-    drawn = F.pmod(F.xxhash64("html"), F.lit(1_000_000)) < min(1_000_000, 1_000_000 * 1.5 * SAMPLE_PAGES / max(total, 1))
-    texts = sorted(r["html"] for r in usable.where(drawn).limit(SAMPLE_PAGES).collect())
+    """Train on a hashed sample of at most SAMPLE_PAGES distinct pages of ``pages`` (html), of any length."""
+    usable = pages.where(F.length("html") > 0).select("html")
     rng = random.Random(11)
     out = []
-    for text in texts:
-        chain = blocks(text)
-        y = labels_by_markup(chain)
-        out += [(chain, y)] * 2
-        main, other = [b.text for b, v in zip(chain, y, strict=True) if v], [b.text for b, v in zip(chain, y, strict=True) if not v]
-        out += [laid_out(main[:25], other, rng) for _ in range(LAYOUTS)]
+    for page in sampled(usable, SAMPLE_PAGES, training_part, "features array<array<array<int>>>, labels array<array<int>>, begins array<boolean>, texts array<array<string>>"):
+        out += list(zip(page["features"], page["labels"], page["begins"], strict=True)) * 2
+        said = [(t, v) for texts, y in zip(page["texts"], page["labels"], strict=True) for t, v in zip(texts, y, strict=True)]
+        main, other = [t for t, v in said if v], [t for t, v in said if not v]
+        for _ in range(LAYOUTS):
+            chain, y = laid_out(main[:25], other, rng)
+            out.append((rows_of(chain), y, True))
     return train(out)
 
 

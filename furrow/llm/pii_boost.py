@@ -26,11 +26,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.common import table, text_or_empty
+from furrow.llm.common import sampled, table, text_or_empty
 from furrow.llm.pieces import grouped
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents that a fit may use and their greatest length.
+#: Documents that a fit may use, and the length of the passage that it takes of a longer one.
 SAMPLE_ROWS, SAMPLE_CHARS = 2000, 20_000
 ROUNDS, DEPTH, RATE, BINS = 80, 3, 0.2, 16
 #: Share of true spans that calibration asks of what a threshold lets through.
@@ -258,13 +258,24 @@ def labelled(texts: list[str], seed: int = 9) -> tuple[np.ndarray, np.ndarray, n
     return np.array(x).reshape(-1, FEATURES), np.array(y), np.array(kinds, np.int64)
 
 
+def passage(text: str, key: int) -> str:
+    """At most SAMPLE_CHARS characters of ``text`` around a hashed base match, or else around a hashed digit or at sign; whole words."""
+    if len(text) <= SAMPLE_CHARS:
+        return text
+    places = [a for _, a, _ in base_spans(text)] or [m.start() for m in re.finditer("[0-9@]", text)]
+    begin = max(0, min(places[key % len(places)] - SAMPLE_CHARS // 2, len(text) - SAMPLE_CHARS))
+    end = begin + SAMPLE_CHARS
+    cut = text[begin:end]
+    if end < len(text):
+        cut = re.sub(r"\s\S{0,100}\Z", "", cut)
+    return re.sub(r"\A\S{0,100}\s", "", cut) if begin else cut
+
+
 def fit(docs: DataFrame) -> Trees:
-    """Train on a hashed sample of at most SAMPLE_ROWS documents that have a digit or an at sign."""
-    usable = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= SAMPLE_CHARS)).select("text")
-    total = usable.count()
-    drawn = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < min(1_000_000, 1_000_000 * 1.3 * SAMPLE_ROWS / max(total, 1))
-    texts = sorted(r["text"] for r in usable.where(drawn).limit(SAMPLE_ROWS).collect())
-    return train(*labelled(texts)) if texts else Trees()
+    """Train on a hashed sample of at most SAMPLE_ROWS distinct documents of any length that have a digit or an at sign."""
+    usable = docs.where(F.col("text").rlike("[0-9@]")).select("text")
+    texts = [r["text"] for r in sampled(usable, SAMPLE_ROWS, lambda text, key: [passage(text, key)], "text string")]
+    return train(*labelled(sorted(texts))) if texts else Trees()
 
 
 def select(text: str, model: Trees) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

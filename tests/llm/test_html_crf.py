@@ -85,3 +85,21 @@ def test_no_rest_of_a_page_is_dropped(page, want):
 
 def test_many_unclosed_hidden_elements():
     assert len(html_crf.blocks("<button><svg><p>x</p>" * 3000)) == 3000
+
+
+def test_long_pages_are_learned_from(spark):
+    body = lambda k: "".join(f"<p>Paragraph {i} of page {k} says what there is to say about it.</p>" for i in range(500))
+    pages = [(k, None, f"<body><nav><a href='/'>Home</a></nav><article>{body(k)}</article><footer>About {k}</footer></body>") for k in range(12)]
+    assert min(len(p[2]) for p in pages) > 20_000
+    table = spark.createDataFrame([*pages, *pages], "page_id long, url string, html string")
+    field = html_crf.fit(table)
+    for r in html_crf.extract(table, field).collect():
+        assert r["text"] == "\n".join(f"Paragraph {i} of page {r['page_id']} says what there is to say about it." for i in range(500))
+
+
+def test_runs_are_bounded():
+    for n in (1, 200, 201, 230, 5000):
+        for key in (-(2**63), -3, 0, 2**63 - 1):
+            runs = html_crf.runs_of([0] * (n // 2) + [1] * (n - n // 2), key)
+            assert runs[0][0] == 0 and runs[-1][1] == n and sum(b - a for a, b in runs) <= 200
+            assert all(b < c for (_, b), (c, _) in zip(runs, runs[1:]))

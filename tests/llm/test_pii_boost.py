@@ -91,3 +91,13 @@ def test_disguised_address_needs_no_digit(address):
 def test_texts_without_candidates_alone_are_skipped(words):
     text = "".join(words)
     assert pii_boost._HAS.search(text) or not pii_boost.candidates(text)
+
+
+def test_long_documents_are_learned_from(spark):
+    rng = random.Random(4)
+    filler = "some words without any data in them " * 700
+    mail = lambda k: f"{filler}Write to jo{k}@mail{k}.example.com or call +1 (437) 555-{rng.randint(1000, 9999)} now. {filler}"
+    docs = documents(spark, [(k, mail(k)) for k in range(60)])
+    model = pii_boost.fit(docs)
+    assert model.trees
+    assert len(pii_boost.passage(mail(1), -5)) <= pii_boost.SAMPLE_CHARS and "jo1@mail1.example.com" in pii_boost.passage(mail(1), 2)
