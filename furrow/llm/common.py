@@ -37,6 +37,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def emptied(*tables: DataFrame) -> None:
+    """Delete the rows of tables that ``stored`` wrote and that nothing reads any more: an empty table takes their place."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in sorted({path.rsplit("/", 1)[0] for path in df.inputFiles()}):
+            spark.createDataFrame([], "gone int").coalesce(1).write.mode("overwrite").parquet(folder)
+
+
 def drop_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of steps that nothing refers to any more; it acts on collected garbage alone."""
     gc.collect()

@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from furrow.llm import bpe_segments, containment, html_crf, language_cnn, ngram_join, pii_boost, quality_gam, quality_rules, slot_shards, token_planes
+from furrow.llm import (
+    bpe_segments,
+    containment,
+    filter_audit,
+    html_crf,
+    language_cnn,
+    ngram_join,
+    pii_boost,
+    quality_gam,
+    quality_rules,
+    slot_shards,
+    token_planes,
+    whitening,
+)
 
 QUERIES = {
     "op1_token_planes": token_planes.op1,
@@ -15,7 +28,10 @@ QUERIES = {
     "op8_containment_search": containment.op8,
     "op9_additive_model": quality_gam.op9,
     "op10_ngram_join": ngram_join.op10,
+    "op12_embedding_whitening": whitening.op12,
+    "op13_filter_audit": filter_audit.op13,
 }
 ORACLES = {
     "op6_quality_rules": quality_rules.sql(),
+    "op13_filter_audit": filter_audit.sql(),
 }
