@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.common import stored
+from furrow.llm.common import emptied, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,6 +27,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == known:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
-        known = seen
-        now = stored(_star(_star(now, True), False), "edges")
+            break
+        known, before = seen, now
+        now = stored(_star(_star(before, True), False), "edges")
+        emptied(before)
+    labels = stored(now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()), "labels")
+    emptied(now)
+    return labels

@@ -12,6 +12,7 @@ from furrow.llm import (
     pii_boost,
     quality_gam,
     quality_rules,
+    simhash_index,
     slot_shards,
     token_planes,
     whitening,
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_containment_search": containment.op8,
     "op9_additive_model": quality_gam.op9,
     "op10_ngram_join": ngram_join.op10,
+    "op11_simhash_index": simhash_index.op11,
     "op12_embedding_whitening": whitening.op12,
     "op13_filter_audit": filter_audit.op13,
 }
