@@ -1,9 +1,14 @@
-"""Exact nearest neighbours by pivots.
+"""Nearest neighbours without a big group anywhere.
 
-Points are assigned to the nearest of a few pivots. Distances between pivots and the extent of
-each cell bound how far a neighbour can be, so a point is compared only in the cells it can
-matter to. Pivots decide the amount of work, never the result. Cells are cut into blocks of
-limited size, and each pair of blocks returns only its nearest rows, not its pairs.
+Exact: points are assigned to the nearest of a few pivots, which are drawn from all groups together, so their number doesn't
+grow with the data. Distances between pivots and the extent of each cell bound how far a neighbour can be, so a point is compared only
+in the cells it can matter to. Pivots decide the amount of work, never the result.
+
+Buckets: every point falls into one bucket of each of several tables, by the signs of hashed projections; only
+points that share a bucket are compared. The result is approximate and costs less than all pairs whatever the vectors.
+
+Either way a cell or bucket is cut into blocks of limited size, a pair of blocks is one matrix product, and returns
+only the nearest rows of each query, which are merged by key.
 """
 
 from __future__ import annotations
@@ -16,11 +21,13 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.operators.quantiles import rank_cutoffs, with_draw
-from furrow.session import cut_lineage, small_side
+from furrow.functions.draws import draw_key
+from furrow.session import cut_lineage
 
-MAX_PIVOTS = 256
+MAX_PIVOTS = 64
 BLOCK_ROWS = 2_000
+#: Of the bucket index: more tables find more, more bits compare less.
+TABLES, BITS = 12, 3
 # Slack on every bound, so that rounding never prunes a neighbour.
 SLACK = 1e-9
 
@@ -37,108 +44,142 @@ def _distances(point: np.ndarray, to: np.ndarray) -> np.ndarray:
     return np.sqrt(np.einsum("ij,ij->i", gap, gap))
 
 
-def _pivots(points: DataFrame, seed) -> dict[str, np.ndarray]:
-    """About sqrt(n) random points of each group, at most ``MAX_PIVOTS``."""
-    sizes = points.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    wanted = F.least(F.ceil(F.sqrt("n")), F.lit(MAX_PIVOTS)).cast("long")
-    cuts = rank_cutoffs(points, ["g"], small_side(sizes.select("g", F.lit("pivot").alias("tag"), wanted.alias("k"))), seed, "key")
-    at = F.struct("_h", F.col("key").alias("_k"))
-    rows = with_draw(points, seed, "key").join(small_side(cuts), "g").where(at <= F.col("cut")).select("g", "key", "vec").collect()
-    groups: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r["g"], r["key"])):
-        groups.setdefault(r["g"], []).append(r["vec"])
-    return {g: np.array(vs, dtype=float) for g, vs in groups.items()}
+def _pivots(points: DataFrame, seed) -> np.ndarray:
+    """``MAX_PIVOTS`` random points, whatever their group."""
+    drawn = points.select(draw_key(seed, "key").alias("_h"), "key", "vec").orderBy("_h", "key").limit(MAX_PIVOTS)
+    return np.array([r["vec"] for r in drawn.collect()], dtype=float)
 
 
-def _assign(points: DataFrame, pivots) -> DataFrame:
+def _assign(points: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Add the nearest pivot ``cell`` and the distance ``d`` to it."""
 
     @F.pandas_udf("cell int, d double")
-    def nearest(g: pd.Series, vec: pd.Series) -> pd.DataFrame:
+    def nearest(vec: pd.Series) -> pd.DataFrame:
         x = _stack(vec)
         cell, dist = np.zeros(len(x), dtype=np.int32), np.full(len(x), np.inf)
-        for name in g.unique():
-            rows = np.flatnonzero((g == name).to_numpy())
-            for i, p in enumerate(pivots.value[name]):
-                d = _distances(p, x[rows])
-                closer = d < dist[rows]
-                dist[rows[closer]], cell[rows[closer]] = d[closer], i
+        for i, p in enumerate(pivots):
+            d = _distances(p, x)
+            closer = d < dist
+            dist[closer], cell[closer] = d[closer], i
         return pd.DataFrame({"cell": cell, "d": dist})
 
     # Otherwise a join on ``cell`` repeats the function in a filter pushed down to the scan.
     nearest = nearest.asNondeterministic()
-    return points.withColumn("_a", nearest("g", "vec")).select("*", "_a.*").drop("_a")
+    return points.withColumn("_a", nearest("vec")).select("*", "_a.*").drop("_a")
+
 
+def _reach(cells: DataFrame, pivots: np.ndarray, k: int) -> DataFrame:
+    """(g, cell, at, low, high): points of ``cell`` this far from their pivot can matter to queries of cell ``at``.
 
-def _reach(cells: DataFrame, pivots: dict[str, np.ndarray], k: int):
-    """Per group: the range of pivot distances in cell j that can matter to queries of cell i."""
+    A group has one row for each pivot here, so the bounds of a group are worked out in one place, and no group's anywhere else.
+    """
     nearest = Window.partitionBy("g", "cell").orderBy("d", "key")
     few = cells.withColumn("_rn", F.row_number().over(nearest)).where(F.col("_rn") <= k)
     lists = few.groupBy("g", "cell").agg(F.array_sort(F.collect_list("d")).alias("near"))
     extents = cells.where("is_query").groupBy("g", "cell").agg(F.max("d").alias("far"))
-    stats: dict[str, list] = {}
-    for r in lists.join(extents, ["g", "cell"], "left").collect():
-        stats.setdefault(r["g"], []).append(r)
-    bounds = {}
-    for g, p in pivots.items():
-        between = np.stack([_distances(x, p) for x in p])
-        near = np.full((len(p), k), np.inf)
-        far = np.full(len(p), -np.inf)
-        for r in stats[g]:
-            near[r["cell"], : len(r["near"])] = r["near"]
-            if r["far"] is not None:
-                far[r["cell"]] = r["far"]
-        low, high = np.full((len(p), len(p)), np.inf), np.full((len(p), len(p)), -np.inf)
-        for i in np.flatnonzero(np.isfinite(far)):
+    between = np.stack([_distances(x, pivots) for x in pivots]) if len(pivots) else np.zeros((0, 0))
+
+    def bounds(rows: pd.DataFrame) -> pd.DataFrame:
+        near = np.full((len(between), k), np.inf)
+        for cell, d in zip(rows["cell"], rows["near"]):
+            near[cell, : len(d)] = d
+        held = np.sort(rows["cell"].to_numpy())
+        out = []
+        for i, far in zip(rows["cell"], rows["far"]):
+            if np.isnan(far):
+                continue
             # No query of cell i has its k-th neighbour farther than this.
-            limit = np.partition((between[i][:, None] + near).ravel(), k - 1)[k - 1] + far[i]
-            slack = SLACK * (1.0 + between[i] + far[i])
-            low[:, i] = between[i] - far[i] - limit - slack
-            high[:, i] = between[i] + far[i] + limit + slack
-        bounds[g] = (low, high)
-    return bounds
+            limit = np.partition((between[i][:, None] + near).ravel(), k - 1)[k - 1] + far
+            slack = SLACK * (1.0 + between[i] + far)
+            low, high = between[i] - far - limit - slack, between[i] + far + limit + slack
+            out.append(pd.DataFrame({"cell": held, "at": i, "low": low[held], "high": high[held]}))
+        return pd.concat(out).assign(g=rows["g"].iloc[0]) if out else pd.DataFrame(columns=["cell", "at", "low", "high", "g"])
 
+    stats = lists.join(extents, ["g", "cell"], "left").select("g", "cell", "near", F.coalesce("far", F.lit(float("nan"))).alias("far"))
+    return stats.groupBy("g").applyInPandas(bounds, "cell int, at int, low double, high double, g string")
 
-def _spread(cells: DataFrame, bounds) -> DataFrame:
-    """One row per cell a point can matter to, as ``at``."""
 
-    @F.pandas_udf("array<int>")
-    def targets(g: pd.Series, cell: pd.Series, d: pd.Series) -> pd.Series:
-        out = []
-        for name, j, dist in zip(g, cell, d):
-            low, high = bounds.value[name]
-            out.append(np.flatnonzero((dist >= low[j]) & (dist <= high[j])).astype(np.int32))
-        return pd.Series(out)
+def _cells(every: DataFrame, k: int, seed) -> tuple[DataFrame, DataFrame]:
+    """Queries in their own cells and points in all cells they can matter to, as ``at``."""
+    pivots = _pivots(every, seed)
+    # Read several times, and Python work went into it: keep it.
+    cells = cut_lineage(_assign(every, pivots))
+    queries = cells.where("is_query").withColumn("at", F.col("cell").cast("long"))
+    reach = _reach(cells, pivots, k + 1)
+    other = reach.select(F.col("g").alias("_g"), F.col("cell").alias("_cell"), "low", "high", F.col("at").cast("long").alias("at"))
+    matters = (F.col("g") == F.col("_g")) & (F.col("cell") == F.col("_cell")) & F.col("d").between(F.col("low"), F.col("high"))
+    return queries, cut_lineage(cells.join(other, matters).select("g", "at", "key", "vec"))
 
-    targets = targets.asNondeterministic()
-    return cells.withColumn("at", F.explode(targets("g", "cell", "d")))
 
+def _buckets(every: DataFrame, seed, tables: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Queries and points in one bucket of each table, as ``at``."""
 
-def _blocks(queries: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Cut both sides of a cell into hashed blocks and pair every query block with every point block."""
+    @F.pandas_udf("array<long>")
+    def codes(vec: pd.Series) -> pd.Series:
+        x = _stack(vec)
+        planes = np.random.default_rng([seed & 0x7FFFFFFF, x.shape[1]]).normal(size=(x.shape[1], tables * bits))
+        sides = (x @ planes > 0).reshape(len(x), tables, bits)
+        return pd.Series(list((sides @ (1 << np.arange(bits)) + (np.arange(tables) << bits)).astype(np.int64)))
+
+    placed = cut_lineage(every.withColumn("at", F.explode(codes.asNondeterministic()("vec"))))
+    return placed.where("is_query"), placed
+
+
+def meetings(queries: DataFrame, points: DataFrame) -> DataFrame:
+    """(g, at, n_q, n_p): how many queries meet how many points. Their products add up to the pairs that are compared."""
     n_q = queries.groupBy("g", "at").agg(F.count(F.lit(1)).alias("n_q"))
     n_p = points.groupBy("g", "at").agg(F.count(F.lit(1)).alias("n_p"))
-    sizes = small_side(
-        n_q.join(n_p, ["g", "at"]).select(
-            "g", "at", F.ceil(F.col("n_q") / BLOCK_ROWS).alias("qs"), F.ceil(F.col("n_p") / BLOCK_ROWS).alias("ps")
-        )
-    )
-    at = F.pmod(F.xxhash64("key"), F.lit(2**31))
+    return n_q.join(n_p, ["g", "at"])
+
+
+def _blocks(queries: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cut both sides of a cell into hashed blocks and pair every query block with every point block."""
+    sizes = meetings(queries, points).select("g", "at", F.ceil(F.col("n_q") / BLOCK_ROWS).alias("qs"), F.ceil(F.col("n_p") / BLOCK_ROWS).alias("ps"))
+    hashed = F.pmod(F.xxhash64("key"), F.lit(2**31))
 
     def side(df: DataFrame, own: str, other: str, own_block: str, other_block: str) -> DataFrame:
-        cut = df.join(sizes, ["g", "at"]).withColumn(own_block, (at % F.col(own)).cast("int"))
+        cut = df.join(sizes, ["g", "at"]).withColumn(own_block, (hashed % F.col(own)).cast("int"))
         return cut.withColumn(other_block, F.explode(F.sequence(F.lit(0), F.col(other).cast("int") - 1))).select("g", "at", "qb", "pb", "key", "vec")
 
     return side(queries, "qs", "ps", "qb", "pb"), side(points, "ps", "qs", "pb", "qb")
 
 
-def nearest_neighbours(points: DataFrame, queries: DataFrame, k: int, by: str | None = None, key: str = "parcel_id", vec: str = "vec", seed: int = 42) -> DataFrame:
+def closest(names: np.ndarray, q: np.ndarray, keys: np.ndarray, p: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, point, distance) of the k nearest other points of each query; ties go to the smaller key.
+
+    A matrix product finds all pairs that can be among the k, rounding included; only their distances are taken exactly.
+    """
+    order = np.argsort(keys, kind="stable")
+    keys, p = keys[order], p[order]
+    qq, pp = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", p, p)
+    near = qq[:, None] + pp[None, :] - 2 * (q @ p.T)
+    at = np.minimum(np.searchsorted(keys, names), len(keys) - 1)
+    own = np.flatnonzero(keys[at] == names)
+    near[own, at[own]] = np.inf
+    if near.shape[1] > k:
+        limit = np.partition(near, k - 1, axis=1)[:, k - 1]
+        near = near <= (limit + SLACK * (1.0 + qq + pp.max()))[:, None]
+    else:
+        near = np.isfinite(near)
+    i, j = np.nonzero(near)
+    gap = p[j] - q[i]
+    distance = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+    order = np.lexsort((j, distance, i))
+    i, j, distance = i[order], j[order], distance[order]
+    first = np.searchsorted(i, i)  # where each query's run begins
+    kept = np.arange(len(i)) - first < k
+    return i[kept], keys[j[kept]], distance[kept]
+
+
+def nearest_neighbours(points: DataFrame, queries: DataFrame, k: int, by: str | None = None, key: str = "parcel_id", vec: str = "vec", seed: int = 42, method: str = "exact", tables: int = TABLES, bits: int = BITS) -> DataFrame:
     """The k nearest other points of each query, within its ``by`` group if given.
 
     ``queries`` are some of the ``points``. Returns (key, neighbour, distance, rank); ties go to
-    the smaller key. Fewer than k rows come back only where a group is that small.
+    the smaller key. Fewer than k rows come back only where a group is that small, or with the
+    approximate ``method="buckets"`` where so few points share a bucket.
     """
-    spark = points.sparkSession
+    if method not in ("exact", "buckets"):
+        raise ValueError(f"unknown method: {method}")
     group = F.col(by).cast("string") if by else F.lit("")
     cols = [group.alias("g"), F.col(key).cast("string").alias("key"), F.col(vec).alias("vec")]
     every = points.select(*cols)
@@ -149,30 +190,21 @@ def nearest_neighbours(points: DataFrame, queries: DataFrame, k: int, by: str |
     copies = Window.partitionBy("g", "vec").orderBy("key")
     few = every.withColumn("_c", F.row_number().over(copies)).where(F.col("_c") <= k + 1).drop("_c")
     flagged = few.join(asked.select("key", F.lit(True).alias("is_query")), "key", "left").withColumn("is_query", F.coalesce("is_query", F.lit(False)))
-
-    pivots = _pivots(few, seed)
-    # Both intermediate tables are read several times and hold Python work: keep them.
-    cells = cut_lineage(_assign(flagged, spark.sparkContext.broadcast(pivots)))
-    bounds = spark.sparkContext.broadcast(_reach(cells, pivots, k + 1))
-    own = cells.where("is_query").withColumn("at", F.col("cell"))
-    left, right = _blocks(own, cut_lineage(_spread(cells, bounds)))
+    left, right = _blocks(*(_cells(flagged, k, seed) if method == "exact" else _buckets(flagged, seed, tables, bits)))
 
     def compare(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(q) and len(p):
-            p = p.sort_values("key")
-            keys, x = p["key"].to_numpy(), _stack(p["vec"])
-            for name, v in zip(q["key"], q["vec"]):
-                d = _distances(np.asarray(v, dtype=float), x)
-                d[keys == name] = np.inf
-                top = np.argsort(d, kind="stable")[:k]
-                rows += [(name, keys[t], float(d[t])) for t in top if np.isfinite(d[t])]
-        return pd.DataFrame(rows, columns=["key", "neighbour", "distance"])
+        if not len(q) or not len(p):
+            return pd.DataFrame(columns=["key", "neighbour", "distance"])
+        names = q["key"].to_numpy(object)
+        i, neighbour, distance = closest(names, _stack(q["vec"]), p["key"].to_numpy(object), _stack(p["vec"]), k)
+        return pd.DataFrame({"key": names[i], "neighbour": neighbour, "distance": distance})
 
     ids = ["g", "at", "qb", "pb"]
     # Both sides stem from one table: fresh column identities keep the cogroup unambiguous.
     right = right.select(*[F.col(c).alias(c) for c in right.columns])
     found = left.groupBy(*ids).cogroup(right.groupBy(*ids)).applyInPandas(compare, "key string, neighbour string, distance double")
+    if method == "buckets":
+        found = found.groupBy("key", "neighbour").agg(F.min("distance").alias("distance"))  # met in several tables
 
     # Queries beyond the first k + 1 copies of a point: the first k copies are their neighbours.
     heads = few.groupBy("g", "vec").agg(F.slice(F.array_sort(F.collect_list("key")), 1, k).alias("_n"))
@@ -185,5 +217,3 @@ def nearest_neighbours(points: DataFrame, queries: DataFrame, k: int, by: str |
         .where(F.col("rank") <= k)
         .select(F.col("key").alias(key), "neighbour", "distance", "rank")
     )
-
-

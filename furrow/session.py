@@ -50,11 +50,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write to the cluster's checkpoint folder, so a lost executor restarts from there."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """Write to the shared folder and read back: a lost executor restarts from there, and later steps read only their columns."""
+    path = scratch_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the rows of tables that ``cut_lineage`` wrote and nothing reads any more: an empty table takes their place."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in sorted({path.rsplit("/", 1)[0] for path in df.inputFiles()}):
+            spark.createDataFrame([], "gone int").coalesce(1).write.mode("overwrite").parquet(folder)
 
 
 def scratch_path(spark: SparkSession) -> str:

@@ -288,3 +288,67 @@ def test_neighbours_across_many_blocks(spark, monkeypatch):
         d[n] = np.inf
         d[1::2] = np.inf
         assert [got[f"{n:03d}", k + 1] for k in range(3)] == [f"{m:03d}" for m in np.argsort(d, kind="stable")[:3]]
+
+
+def sphere(spark, n, dims, seed=5):
+    import numpy as np
+
+    x = np.random.default_rng(seed).normal(size=(n, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(f"{i:04d}", "abc"[i % 3], [float(v) for v in r]) for i, r in enumerate(x)]
+    return x, spark.createDataFrame(rows, "parcel_id string, label string, vec array<double>")
+
+
+def test_bucket_neighbours_find_most_with_fewer_pairs(spark):
+    import numpy as np
+
+    from furrow.operators import neighbours
+
+    x, points = sphere(spark, 900, 8)
+    flagged = points.select(F.lit("").alias("g"), F.col("parcel_id").alias("key"), "vec", F.lit(True).alias("is_query"))
+    met = neighbours.meetings(*neighbours._buckets(flagged, 42, 4, 5))
+    assert met.agg(F.sum(F.col("n_q") * F.col("n_p"))).first()[0] < 0.25 * 900 * 900
+    found = {(r["parcel_id"], r["neighbour"]): r["distance"] for r in nearest_neighbours(points, points, 5, method="buckets").collect()}
+    right = 0
+    for i in range(900):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        d[i] = np.inf
+        right += sum((f"{i:04d}", f"{j:04d}") in found for j in np.argsort(d)[:5])
+    assert right >= 0.9 * 4500
+    for (a, b), d in list(found.items())[:50]:
+        assert d == pytest.approx(float(np.linalg.norm(x[int(a)] - x[int(b)])))
+    with pytest.raises(ValueError):
+        nearest_neighbours(points, points, 5, method="other")
+
+
+def test_only_drawn_rows_are_searched(spark, monkeypatch):
+    """Nearly balanced classes: few draws, so far fewer pairs than rows squared."""
+    from furrow.operators import oversample
+
+    asked = []
+    real = oversample.nearest_neighbours
+    monkeypatch.setattr(oversample, "nearest_neighbours", lambda points, queries, *a, **b: asked.append(queries) or real(points, queries, *a, **b))
+    _, points = sphere(spark, 300, 4)
+    points = points.where("parcel_id > '0003'")  # a, b and c miss one, one and two rows
+    new = oversample.synthetic_rows(points, 3).collect()
+    short = sorted(r["label"] for r in new)
+    assert len(short) == len(new) < 5
+    assert asked[0].count() == len({r["base"] for r in new}) <= len(new)
+
+
+def test_close_pairs_survive_the_matrix_form():
+    """Far from the origin the matrix product rounds; distances and order are still exact."""
+    import numpy as np
+
+    from furrow.operators.neighbours import closest
+
+    rng = np.random.default_rng(1)
+    p = 1e6 + rng.normal(size=(400, 5)) * 1e-3
+    p[5] = p[7]
+    keys = np.array([f"{i:03d}" for i in range(400)], object)
+    q, near, distance = closest(keys, p, keys, p, 3)
+    for i in range(400):
+        d = np.sqrt(((p - p[i]) ** 2).sum(1))
+        d[i] = np.inf
+        want = np.argsort(d, kind="stable")[:3]
+        assert near[q == i].tolist() == keys[want].tolist() and np.allclose(distance[q == i], d[want], rtol=0, atol=1e-12)
