@@ -8,7 +8,8 @@ from furrow.checks import views as v
 from furrow.checks.registry import check
 from furrow.checks.views import r6, r6s
 from furrow.functions import logits as L
-from furrow.operators import aggregate, encode, ensemble, evaluate, models, oversample, reshape
+from furrow.operators import aggregate, encode, ensemble, evaluate, models, oversample, reshape, splits
+from furrow.operators.exact_tree import fit_exact_tree
 from furrow.operators.neighbours import nearest_neighbours
 
 LABELS = "labels_of AS (SELECT y_true AS label FROM preds UNION SELECT y_pred FROM preds UNION SELECT 10)"
@@ -317,38 +318,96 @@ def feature_rows(spark, sf):
     return v.table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("parcel_id"), F.col("label").alias("label_id"), *vec)
 
 
+def held_out(spark, sf):
+    """Vectors with a stratified fifth held out for testing, and a fifth of the rest for validation."""
+    rows = splits.stratified_split(feature_rows(spark, sf), "label_id", 0.2, 42)
+    return rows.withColumn("validation", (F.col("split") == "train") & (F.pmod(F.xxhash64("parcel_id"), F.lit(5)) == 0))
+
+
 @check("m1_random_forest")
 def _(spark, sf):
-    rows = feature_rows(spark, sf)
-    model = models.fit_random_forest(rows, FEATURES, trees=20, depth=5)
-    return model.transform(rows).select("parcel_id", "label_id", "prediction")
+    """The published 300 trees of depth 20; predictions for the rows held out."""
+    rows = held_out(spark, sf)
+    model = models.fit_random_forest(rows.where("split = 'train'"), FEATURES)
+    return model.transform(rows.where("split = 'test'")).select("parcel_id", "label_id", "prediction")
 
 
 @check("m2_boosted_trees")
 def _(spark, sf):
-    rows = feature_rows(spark, sf)
-    model = models.fit_boosted_trees(rows, FEATURES, n_rounds=2, depth=2)
-    return model.transform(rows).select("parcel_id", "label_id", "prediction")
+    rows = held_out(spark, sf)
+    model = models.fit_boosted_trees(rows.where("split = 'train'"), FEATURES, validation="validation", n_rounds=20, depth=3, patience=3)
+    return model.transform(rows.where("split = 'test'")).select("parcel_id", "label_id", "prediction")
 
 
 @check("m4_cv_macro_f1")
 def _(spark, sf):
-    return models.cv_macro_f1(feature_rows(spark, sf), FEATURES, models.fit_random_forest, k=3, trees=5, depth=3)
+    return models.cv_macro_f1(feature_rows(spark, sf), FEATURES, models.fit_random_forest, k=3)
 
 
 @check("m3_random_search")
 def _(spark, sf):
-    grid = {"trees": [4, 8], "depth": [2, 3]}
-    return models.random_search(feature_rows(spark, sf), FEATURES, models.fit_random_forest, grid, n=2, k=2)[2]
+    grid = {"trees": [100, 300, 500], "depth": [10, 20, 30], "min_rows": [1, 2, 4]}
+    return models.random_search(feature_rows(spark, sf), FEATURES, models.fit_random_forest, grid, n=10, k=3)[2]
+
+
+@check(
+    "m3_search_draws",
+    "",
+    """WITH d AS (SELECT i AS id, row_number() OVER (ORDER BY md5(i || '|42'), i) - 1 AS trial FROM range(0, 4 * 4 * 4 * 4 * 4 * 4 * 4) AS r(i)),
+    k AS (SELECT (count(*) // 50)::BIGINT AS n FROM embeddings)
+    SELECT trial::INTEGER AS trial, id, concat('depth=', [4, 6, 8, 10][id // 4096 % 4 + 1], ', feature_share=', [0.6, 0.7, 0.8, 1.0][id // 1024 % 4 + 1], ', min_gain=', [0.0, 0.1, 0.2, 0.5][id // 256 % 4 + 1],
+      ', min_rows=', [1, 2, 4, 6][id // 64 % 4 + 1], ', n_rounds=', [300, 500, 700, 900][id // 16 % 4 + 1], ', row_share=', [0.6, 0.7, 0.8, 1.0][id // 4 % 4 + 1], ', step=', [0.02, 0.03, 0.05, 0.08][id % 4 + 1]) AS params
+    FROM d WHERE trial < (SELECT n FROM k)""",
+)
+def _(spark, sf):
+    """A draw for each fifty rows of the table."""
+    return models.search_draws(spark, models.BOOSTING_GRID, v.table(spark, sf, "embeddings").count() // 50).drop("digits")
 
 
 @check("m5_feature_importance")
 def _(spark, sf):
     rows = feature_rows(spark, sf)
-    model = models.fit_random_forest(rows, FEATURES, trees=10, depth=4)
+    model = models.fit_random_forest(rows, FEATURES)
     return models.feature_importance(model, FEATURES, spark)
 
 
+def tree_sql(depth: int, min_rows: int) -> str:
+    """Levels of a tree by plain counting: for every node, feature and value, the class counts up to it."""
+    out = ["cells AS (SELECT vec_id, label AS y, f, embedding[f + 1]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(0, 64)) AS f))", "n0 AS (SELECT vec_id, label AS y, 1::BIGINT AS node FROM embeddings)"]
+    for level in range(depth + 1):
+        n = f"n{level}"
+        out.append(f"sizes{level} AS (SELECT node, sum(c)::BIGINT AS n, arg_max(y, c * 1000 - y) AS prediction FROM (SELECT node, y, count(*) AS c FROM {n} GROUP BY ALL) GROUP BY node)")
+        if level == depth:
+            out.append(f"b{level} AS (SELECT NULL::BIGINT AS node, NULL::BIGINT AS f, NULL::DOUBLE AS threshold, NULL::DOUBLE AS gain WHERE false)")
+            break
+        out.append(
+            f"""g{level} AS (SELECT a.node, a.f, a.v, k.y, (SELECT 0) + count(b.vec_id) AS c FROM (SELECT DISTINCT node, f, v FROM cells JOIN {n} USING (vec_id, y)) a CROSS JOIN (SELECT DISTINCT label AS y FROM embeddings) k
+      LEFT JOIN (SELECT node, f, v, y, vec_id FROM cells JOIN {n} USING (vec_id, y)) b ON b.node = a.node AND b.f = a.f AND b.v = a.v AND b.y = k.y GROUP BY ALL),
+    s{level} AS (SELECT node, f, v, y, sum(c) OVER (PARTITION BY node, f, y ORDER BY v) AS l, sum(c) OVER (PARTITION BY node, f, y) AS t FROM g{level}),
+    u{level} AS (SELECT node, f, v, lead(v) OVER (PARTITION BY node, f ORDER BY v) AS next, sum(l) AS nl, sum(t) AS n, sum(l * l)::DOUBLE AS ll, sum((t - l) * (t - l))::DOUBLE AS rr, sum(t * t)::DOUBLE AS tt FROM s{level} GROUP BY node, f, v),
+    x{level} AS (SELECT node, f, (v + next) / 2 AS threshold, round((1 - tt / (n * n)) - nl / n * (1 - ll / (nl * nl)) - (n - nl) / n * (1 - rr / ((n - nl) * (n - nl))), 10) AS gain
+      FROM u{level} WHERE next IS NOT NULL AND nl >= {min_rows} AND n - nl >= {min_rows}),
+    b{level} AS (SELECT node, f, threshold, gain FROM x{level} WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, threshold) = 1),
+    n{level + 1} AS (SELECT c.vec_id, c.y, b.node * 2 + (c.v > b.threshold)::INT AS node FROM {n} JOIN b{level} b USING (node) JOIN cells c ON c.vec_id = {n}.vec_id AND c.f = b.f)"""
+        )
+    nodes = " UNION ALL ".join(f"SELECT node, {i} AS depth, n, CASE WHEN f IS NULL THEN NULL ELSE 'e' || f END AS feature, threshold, coalesce(gain, 0) AS gain, prediction::VARCHAR AS prediction FROM sizes{i} LEFT JOIN b{i} USING (node)" for i in range(depth + 1))
+    return f"WITH {', '.join(out)}, nodes AS ({nodes})"
+
+
+@check("m1_exact_tree", "", f"{tree_sql(3, 2)} SELECT node, depth, n, feature, {r6('threshold', 'threshold')}, {r6('gain', 'gain')}, prediction FROM nodes")
+def _(spark, sf):
+    return fit_exact_tree(feature_rows(spark, sf), FEATURES, depth=3).table(spark)
+
+
+@check(
+    "m5_exact_importance",
+    "",
+    f"""{tree_sql(2, 5)} SELECT 'e' || f AS feature, {r6('coalesce(sum(n * gain), 0) / (SELECT sum(n * gain) FROM nodes)', 'importance')} FROM (SELECT unnest(range(0, 64)) AS f) LEFT JOIN nodes ON feature = 'e' || f GROUP BY f""",
+)
+def _(spark, sf):
+    return models.feature_importance(fit_exact_tree(feature_rows(spark, sf), FEATURES, depth=2, min_rows=5), FEATURES, spark)
+
+
 def vectors(spark, sf):
     vec = F.transform("embedding", lambda x: x.cast("double"))
     return v.table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("parcel_id"), F.col("label").alias("label"), vec.alias("vec"))
