@@ -156,7 +156,7 @@ def fit_boosted_trees(train: DataFrame, features: Sequence[str], label: str = "l
 
 
 def macro_f1(predicted: DataFrame, label: str = "label_id") -> float:
-    scored = predicted.select(F.col(label).cast("double").alias("y_true"), F.col("prediction").alias("y_pred"))
+    scored = predicted.select(F.col(label).cast("double").alias("y_true"), F.col("prediction").cast("double").alias("y_pred"))
     return scalar_metrics(scored).first()["f1_macro"]
 
 
