@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SMALL_ROWS = 20_000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def build_session(app: str = "furrow", master: str | None = None, **conf) -> SparkSession:
@@ -49,10 +52,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+@contextmanager
+def ending_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within this block Spark deletes the shuffle files of a query when the query ends, not when it collects garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+
+
+def cut_lineage(df: DataFrame, label: str = "furrow") -> DataFrame:
     """Write to the shared folder and read back: a lost executor restarts from there, and later steps read only their columns."""
-    path = scratch_path(df.sparkSession)
-    df.write.parquet(path)
+    path = scratch_path(df.sparkSession, label)
+    with ending_shuffles(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -64,6 +79,6 @@ def discard(*tables: DataFrame) -> None:
             spark.createDataFrame([], "gone int").coalesce(1).write.mode("overwrite").parquet(folder)
 
 
-def scratch_path(spark: SparkSession) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/furrow-{uuid.uuid4().hex}"
+def scratch_path(spark: SparkSession, label: str = "furrow") -> str:
+    """A path in the shared folder that no other run uses."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
