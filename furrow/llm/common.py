@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from furrow.functions.arrays import bind
-from furrow.session import shared_folder
+from furrow.session import cut_lineage, discard, scratch_path
 
 #: White space between words, as a regular expression class body.
 SPACE = r"\x20\x09-\x0D"
@@ -25,30 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def new_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a lost executor restarts from there."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def emptied(*tables: DataFrame) -> None:
-    """Delete the rows of tables that ``stored`` wrote and that nothing reads any more: an empty table takes their place."""
-    for df in tables:
-        spark = df.sparkSession
-        for folder in sorted({path.rsplit("/", 1)[0] for path in df.inputFiles()}):
-            spark.createDataFrame([], "gone int").coalesce(1).write.mode("overwrite").parquet(folder)
-
-
-def drop_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of steps that nothing refers to any more; it acts on collected garbage alone."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: Write a table to the shared folder and read it back; delete the rows of such a table; a new path there.
+stored, emptied, new_path = cut_lineage, discard, scratch_path
 
 
 def sampled(texts: DataFrame, most: int, part: Callable[[str, int], list | None], schema: str) -> list[Row]:

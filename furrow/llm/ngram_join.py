@@ -5,17 +5,20 @@ mass. The overlap of two documents is counted separately in every fragment and s
 
 Which pairs are counted follows from the order. Of two sets whose similarity reaches the threshold t, the prefixes of
 ``n - ceil(t n) + l`` shingles share at least the smaller l of the two, so only these prefixes meet, in a list for each shingle, and
-only pairs that meet so often are counted. l grows with n (a twentieth of it): passages that documents have in common don't
-make a pair. Documents with equal sets are one class and take part once. The lists are worked off in rounds, in which pairs of one
-component are left out: first every class with the smallest class it meets (its star), then with a neighbour in size,
-at last all pairs that still lie in different components. So a group of near copies costs about as many counts
-as members, and no link between components can be missed: the last round counts every pair that is left.
+only pairs that meet so often are counted, or as often as their two sizes ask for, which is more where the sizes are alike. l grows with
+n (a twentieth of it): passages that documents have in common don't make a pair. Documents with equal sets are one class and take part once.
+
+The lists are worked off in rounds, in which pairs of one component are left out. In a star round every class is compared with one
+other, in later rounds with a few, those it meets most often of the ones that hashes picked from its lists; rounds with other hashes go on
+while they still join components. So a group of near copies costs about as many counts as members. Lists that hold one component alone are done with.
+At last all pairs of a list that lie in different components are counted: a list's commonest component isn't compared with
+itself, however large, and no link between components can be missed.
 
 Shingles are 64-bit hashes of which 55 bits are kept, beside 8 bits of their frequency level; a false match within a pair of
 documents of a thousand shingles has a chance of about 3e-11.
 
 Null and empty texts have no shingles, link with nothing and keep their own id. Fewer than five words are one
-shingle. Null ids are never a component's id while another id is in it. Repeated rows are copies. Extra columns aren't read.
+shingle. A null id is no component's id while another id is in it. Repeated rows are copies. Extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -29,12 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.llm.common import by_text, drop_shuffles, mixed, shingle_hashes, stored, table, text_or_empty, word_hashes
+from furrow.llm.common import SPACE, by_text, emptied, mixed, shingle_hashes, stored, table, text_or_empty, word_hashes
 from furrow.llm.components import components
 from furrow.llm.pieces import grouped
 
 PERCENT = 80
-FRAGMENTS = 16
+FRAGMENTS = 8
 #: Buckets of the frequency sketch and counts in a row of it: the sketch's size doesn't depend on the data.
 BUCKET_BITS, BLOCK_BITS = 18, 12
 #: Bits of a shingle below its frequency level, and levels in an octave of frequency.
@@ -43,6 +46,10 @@ HASH_BITS, LEVEL_STEPS = 55, 4
 SHARED_EACH = 20
 #: Bits of the filter that names classes with partners: 16 for each class, at most 8 MB. A full filter passes everything.
 FILTER_BITS_EACH, FILTER_BITS_MOST = 16, 1 << 26
+#: Star rounds go on while a round joins more than one in so many of the classes it compared.
+WORTH = 50
+#: Others that a class is counted with in a star round at most.
+CENTRES = 16
 
 
 def text_shingles(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -119,7 +126,7 @@ def _keys(s: np.ndarray) -> tuple[int, int]:
 
 
 def profiles(docs: DataFrame, level: np.ndarray, percent: int) -> DataFrame:
-    """Row number, id, set size, set name and prefix of every document; a task gives the prefix of equal sets once."""
+    """Row number, id, name of the text, set size, set name and prefix of every document; a task gives the prefix of equal sets once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, seen = TaskContext.get().partitionId() << 33, set()
@@ -132,12 +139,18 @@ def profiles(docs: DataFrame, level: np.ndarray, percent: int) -> DataFrame:
                 seen.add(name)
             n = len(sets)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(row, row + n), pa.int64()), batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in names], pa.int64()), pa.array([k[1] for k in names], pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["row", "doc_id", "n", "k1", "k2", "prefix"],
+                [pa.array(range(row, row + n), pa.int64()), batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in names], pa.int64()), pa.array([k[1] for k in names], pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
+                ["row", "doc_id", "t", "n", "k1", "k2", "prefix"],
             )
             row += n
 
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, "row long, doc_id long, n long, k1 long, k2 long, prefix array<long>")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("t", text_name("text"))
+    return read.mapInArrow(run, "row long, doc_id long, t long, n long, k1 long, k2 long, prefix array<long>")
+
+
+def text_name(column: str = "text"):
+    """A 64-bit name of a text; nulls count as empty."""
+    return F.xxhash64(text_or_empty(column))
 
 
 def segments(docs: DataFrame, level: np.ndarray, bounds: np.ndarray, wanted: np.ndarray) -> DataFrame:
@@ -237,88 +250,173 @@ def _pairs(df: DataFrame) -> DataFrame:
     return df.groupBy(pick("class", "other").alias("a"), pick("other", "class").alias("b"), pick("n", "other_n").alias("n_a"), pick("other_n", "n").alias("n_b")).agg(F.count("*").alias("met"))
 
 
-def _best(lists: DataFrame, order, pick, percent: int) -> DataFrame:
-    """Every class with that one of the classes picked in its lists that it meets most often."""
-    picked = lists.withColumn("_o", pick(F.struct("class", "n", "p", "label")).over(order)).where("_o is not null and _o.label <> label")
-    met = picked.select("class", "n", "p", F.col("_o.class").alias("other"), F.col("_o.n").alias("other_n"), F.col("_o.p").alias("other_p")).where(possible(percent))
+def star(lists: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Every class with those of its lists' centres that it meets most often: one in the first turn, more in later ones.
+
+    The centres are of the list's commonest component, the members with the least of some hashes: what has not joined a large group
+    yet meets others of its members in every turn.
+    """
+    tries = min(CENTRES, 4**turn)
+    member = lambda i: F.struct(F.xxhash64("class", F.lit(turn), F.lit(i)).alias("hash"), "class", "n", "p")
+    drawn = F.array(*[F.min(member(i)) for i in range(tries)])
+    own = lists.groupBy("h", "label").agg(F.count("*").alias("k"), drawn.alias("drawn"))
+    order = F.struct("k", F.xxhash64("label", F.lit(turn)).alias("hash"))
+    centres = own.groupBy("h").agg(F.max_by(F.struct("label", F.transform("drawn", lambda m: m.dropFields("hash")).alias("drawn")), order).alias("c"))
+    centres = centres.select("h", F.col("c.label").alias("other_label"), F.array_distinct("c.drawn").alias("drawn"))
+    others = lists.join(centres, "h").where(F.col("label") != F.col("other_label")).select("class", "n", "p", F.explode("drawn").alias("c"))
+    met = others.select("class", "n", "p", F.col("c.class").alias("other"), F.col("c.n").alias("other_n"), F.col("c.p").alias("other_p")).where(possible(percent))
     counts = met.groupBy("class", "n", "other", "other_n").count()
-    best = counts.groupBy("class", "n").agg(F.max(F.struct("count", (-F.col("other")).alias("back"), "other", "other_n")).alias("x"))
-    return _pairs(best.select("class", "n", "x.other", "x.other_n")).drop("met")
+    place = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("count"), "other"))
+    return _pairs(counts.withColumn("place", place).where(F.col("place") <= tries).select("class", "n", "other", "other_n")).drop("met")
 
 
-def stars(lists: DataFrame, percent: int) -> DataFrame:
-    """Every class with the smallest class of a list."""
-    return _best(lists, Window.partitionBy("h").orderBy("class").rowsBetween(Window.unboundedPreceding, 0), F.first, percent)
+def leftovers(lists: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a list that lie in different components and meet as often as they must.
 
+    At least one of such a pair isn't of the list's commonest component: those classes look for their others, so a component that
+    fills a list meets only the few that are left.
+    """
+    common = lists.groupBy("h", "label").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("label", F.struct("k", "label")).alias("common"))
+    marked = lists.join(common, "h").withColumn("rare", F.col("label") != F.col("common")).drop("common")
+    other = marked.select("h", *[F.col(c).alias(f"other_{c}") for c in ("class", "n", "p", "label", "rare")]).withColumnRenamed("other_class", "other")
+    once = ~F.col("other_rare") | (F.col("class") < F.col("other"))
+    met = _pairs(marked.where("rare").join(other, "h").where((F.col("label") != F.col("other_label")) & once & possible(percent)))
+    return met.where(F.col("met") >= least_met(percent)).drop("met")
 
-def neighbours(lists: DataFrame, percent: int) -> DataFrame:
-    """Every class with the one before it in a list, by size."""
-    return _best(lists, Window.partitionBy("h").orderBy("n", "class"), F.lag, percent)
 
+def least_met(percent: int):
+    """In how many lists a similar pair (n_a, n_b) meets at least.
 
-def leftovers(lists: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a list that lie in different components and meet as often as they must."""
-    other = lists.select("h", *[F.col(c).alias(f"other_{c}") for c in ("class", "n", "p", "label")]).withColumnRenamed("other_class", "other")
-    met = _pairs(lists.join(other, "h").where((F.col("label") < F.col("other_label")) & possible(percent)))
-    return met.where(F.col("met") >= 1 + F.floor(F.least("n_a", "n_b") / SHARED_EACH)).drop("met")
+    It shares some number of shingles at least, so each set misses few of the other's. Of the prefix that ends first in the global
+    order, every shingle that the other set has lies in the other prefix too: all of it but those few.
+    """
 
+    def kept(n: str):  # what the prefix is longer than the rest by which the set may exceed the overlap
+        return F.least(F.col(n), F.col(n) - F.ceil(F.col(n) * percent / 100) + 1 + F.floor(F.col(n) / SHARED_EACH)) - F.col(n)
 
-def linked(docs: DataFrame, percent: int = PERCENT, fragments: int = FRAGMENTS) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
+    overlap = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
+    return F.greatest(1 + F.floor(F.least("n_a", "n_b") / SHARED_EACH), F.least(kept("n_a"), kept("n_b")) + overlap)
+
+
+def open_lists(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """The lists that hold more than one component, of classes with enough of them to have a partner there, with their labels; stored."""
+    marked = lists.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    mixed_ones = marked.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("h")
+    held = stored(marked.join(mixed_ones, "h", "left_semi").select("h", "class", "n", "p", "label"), "mixed")
+    out = stored(held.join(often(held, percent), "class", "left_semi"), "open")
+    emptied(held)
+    return out
+
+
+def often(lists: DataFrame, percent: int) -> DataFrame:
+    """The classes in so many lists that they may have a partner: it has at least the share of their shingles, and they meet it so often."""
+    least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / SHARED_EACH)
+    return lists.groupBy("class", "n").agg(F.count("*").alias("lists")).where(F.col("lists") >= least).select("class")
+
+
+def class_lists(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(h, class, k1, n, p): the classes whose prefixes share a shingle with others often enough to have a partner; stored."""
+    postings = rows.where("prefix is not null").select("row", F.posexplode("prefix").alias("p", "h"))
+    several = stored(postings.groupBy("h").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high").select("h"), "several")
+    shared = stored(postings.join(several, "h", "left_semi").select("h", "row", F.col("p").cast("long").alias("p")), "shared")
+    named = rows.where("prefix is not null").select("row", "k1", "k2", "n").join(classes.select("k1", "k2", "class"), ["k1", "k2"]).select("row", "class", "k1", "n")
+    # several tasks may have given a class's prefix
+    met = stored(shared.join(named, "row").groupBy("h", "class", "k1", "n", "p").agg(F.count("*").alias("rows")).drop("rows"), "met")
+    lists = stored(met.join(often(met, percent), "class", "left_semi"), "lists")
+    emptied(several, shared, met)
+    return lists
+
+
+def components_of(lists: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """(node, label) of the classes that link; stored."""
+    spark = lists.sparkSession
+    labels = stored(spark.createDataFrame([], "node long, label long"), "labels")
+    now = open_lists(lists.drop("k1"), labels, percent)
+    turn, last = 0, False
+    while True:
+        pairs = stored(leftovers(now, percent) if last else star(now, percent, turn), "pairs")
+        found = stored(counted(pairs, parts, percent), "found")
+        compared, joined = pairs.count(), found.count()
+        before = labels
+        if joined:
+            edges = found.select("a", "b").unionByName(labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")))
+            labels = components(edges)
+            emptied(before)
+            if not last:
+                earlier, now = now, open_lists(now.drop("label"), labels, percent)
+                emptied(earlier)
+        emptied(pairs, found)
+        if last:
+            emptied(now)
+            return labels
+        last = joined * WORTH <= compared  # also if there was nothing to compare
+        turn += 1
+
+
+def members(docs: DataFrame, percent: int = PERCENT, fragments: int = FRAGMENTS) -> DataFrame:
+    """doc_id, t (name of the text), n and label (a component's name, null without shingles) of every row of ``docs``; stored."""
     counts = sketch(docs)
     level = levels(counts)
     rows = stored(profiles(docs, level, percent), "profiles")
-    classes = stored(rows.where("n > 0").groupBy("k1", "k2").agg(F.min("row").alias("class"), F.min("doc_id").alias("first_id")), "classes")
-
-    name = F.struct("k1", "k2")
-    whole, inside = Window.partitionBy("h"), Window.partitionBy("h").orderBy("k1", "k2")
-    postings = rows.where("prefix is not null").select("k1", "k2", "n", F.posexplode("prefix").alias("p", "h"))
-    shared = postings.select(
-        "*", (F.min(name).over(whole) < F.max(name).over(whole)).alias("_many"), F.coalesce((F.lag("k1").over(inside) == F.col("k1")) & (F.lag("k2").over(inside) == F.col("k2")), F.lit(False)).alias("_again")
-    ).where("_many and not _again")
-    shared = stored(shared.select("h", "k1", "k2", "n", F.col("p").cast("long").alias("p")), "shared")
-    del postings
-    drop_shuffles(docs.sparkSession)  # the postings' shuffle is the largest
-    # a partner has at least the share t of a class's shingles, so this many lists are the least it can be met in
-    least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / SHARED_EACH)
-    often = shared.groupBy("k1", "k2", "n").count().where(F.col("count") >= least).select("k1", "k2").join(classes.select("k1", "k2", "class"), ["k1", "k2"])
-    lists = stored(shared.join(often, ["k1", "k2"]).select("h", "class", "k1", "n", "p"), "lists")
+    classes = stored(rows.where("n > 0").groupBy("k1", "k2").agg(F.min("row").alias("class")), "classes")
+    lists = class_lists(rows, classes, percent)
+    slim = stored(rows.drop("prefix", "row"), "rows")
+    emptied(rows)
 
     wanted = name_filter(lists.select("k1").distinct())
     # dealt by the set's name at once, for the grouping and for the join
     parts = segments(docs, level, fragment_bounds(counts, level, fragments), wanted).repartition("k1", "k2").groupBy("k1", "k2", "fragment").agg(F.first("part").alias("part"))
     parts = stored(parts.join(classes.select("k1", "k2", "class"), ["k1", "k2"]).select("class", "fragment", "part"), "parts")
+    labels = components_of(lists, parts, percent)
+
+    of_class = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").select("k1", "k2", F.coalesce("label", "class").alias("label"))
+    out = stored(slim.join(of_class, ["k1", "k2"], "left").select("doc_id", "t", "n", F.when(F.col("n") > 0, F.col("label")).alias("label")), "members")
+    emptied(classes, lists, slim, parts, labels)
+    return out
 
-    drop_shuffles(docs.sparkSession)
-    labels = docs.sparkSession.createDataFrame([], "node long, label long")
-    for candidates in (stars, neighbours, leftovers):
-        marked = lists.drop("k1").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-        found = counted(candidates(marked, percent), parts, percent)
-        edges = found.select("a", "b").unionByName(labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")))
-        labels = components(edges)
-        del marked, found, edges
-        drop_shuffles(docs.sparkSession)
 
-    of_class = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    first = of_class.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    of_class = of_class.join(first, "label").select("k1", "k2", "component_id")
-    out = lambda df, component: df.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
-    return out(rows.where("n > 0").join(of_class, ["k1", "k2"]), F.col("component_id")).unionByName(out(rows.where("n = 0"), F.col("doc_id")))
+def linked(docs: DataFrame, percent: int = PERCENT, fragments: int = FRAGMENTS) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
+    rows = members(docs, percent, fragments)
+    first = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    out = rows.join(first, "label", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One document of each group, the one with the group's smallest id, with all its columns.
+    """One document of each group with all its columns: the one with the smallest id, then the smallest name of its text.
 
-    Rows without an id stay. An id that several rows share stays if any of them is its group's first, and of such rows those
-    that are equal in all columns stay once.
+    Rows without an id come last in a group. Of rows with equal id and text one stays. Rows without words link with nothing and all stay.
     """
-    found = stored(linked(docs, percent).where("doc_id is not null"), "linked")
-    ids = found.groupBy("doc_id").agg(F.every(F.col("doc_id") != F.col("component_id")).alias("gone"), F.count("*").alias("rows"))
-    repeated = ids.where("rows > 1 and not gone").select("doc_id")
-    kept = docs.join(ids.where("gone").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
-    if repeated.isEmpty():
-        return kept
-    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates())
+    found = members(docs, percent)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t")
+    best = stored(found.where("label is not null").groupBy("label").agg(F.min(order).alias("b")).select(F.col("b.doc_id").alias("_id"), F.col("b.t").alias("_t")), "best")
+    emptied(found)
+    worded = text_or_empty().rlike(f"[^{SPACE}]")
+    names = docs.columns
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("doc_id").cast("long").alias("_own"), text_name().alias("_name"), worded.alias("_worded"))
+    # equal rows meet once a task, so that even a third of all rows leaves no big group behind
+    mine = once(named.where("_worded"))
+    same = (F.col("_name") == F.col("_t")) & F.col("_own").eqNullSafe(F.col("_id"))
+    kept = mine.join(best, same).withColumn("_place", F.row_number().over(Window.partitionBy("_name", "_own").orderBy(F.lit(0)))).where("_place = 1")
+    back = lambda df: df.select(*[F.col("_row").getField(c).alias(c) for c in names])
+    return back(kept).unionByName(back(named.where("not _worded")))
+
+
+def once(rows: DataFrame) -> DataFrame:
+    """``rows`` (_own, _name and more) without those that repeat an earlier one of their task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
+        for batch in batches:
+            keys = list(zip(batch.column("_own").to_pylist(), batch.column("_name").to_pylist(), strict=True))
+            new = []
+            for key in keys:
+                new.append(key not in seen)
+                seen.add(key)
+            yield batch.filter(pa.array(new, pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
