@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.functions.draws import uniform
 from furrow.operators.quantiles import join_null_safe, rank_cutoffs, with_draw
-from furrow.session import small_side
+from furrow.session import cut_lineage, small_side
 
 # Search limits of the tile split.
 EXHAUSTIVE_TILES = 12
@@ -175,29 +176,60 @@ def create_splits(df: DataFrame, method: str = "parcel", **kwargs) -> DataFrame:
     return methods[method](df, **kwargs)
 
 
+def deal(loads: list[int], size: int, count: int) -> list[tuple[int, int, list[int]]]:
+    """Deal ``count`` groups of one size, each to the lightest fold (of equals the first); adds to ``loads``.
+
+    Returns phases (start, length, folds): within a phase the folds take turns. The lightest folds, those within one size of the
+    lightest, lap each other until the next fold is reached, so the number of phases depends on the number of folds alone.
+    """
+    phases: list[tuple[int, int, list[int]]] = []
+    done = 0
+    while done < count:
+        order = sorted(range(len(loads)), key=lambda j: (loads[j], j))
+        lightest = order[0]
+        turn = [j for j in order if (loads[j], j) < (loads[lightest] + size, lightest)] or [lightest]
+        rest = order[len(turn):]
+        laps = (count - done) // len(turn) if not rest else min((loads[rest[0]] - loads[turn[-1]]) // size, (count - done) // len(turn))
+        if laps:
+            taken = laps * len(turn)
+            for j in turn:
+                loads[j] += laps * size
+        else:
+            taken, turn = 1, [lightest]
+            loads[lightest] += size
+        phases.append((done, taken, turn))
+        done += taken
+    return phases
+
+
 def group_folds(df: DataFrame, group: str = "tile", k: int = 5) -> DataFrame:
-    """Fold (1..k) of each group: largest group first, always into the lightest fold."""
+    """Fold (1..k) of each group: largest group first (of equals by name), always into the lightest fold.
+
+    Groups of one size form a run. The walk over the runs keeps nothing but the k loads, and there are at most as many runs as the square root
+    of twice the rows; a group then finds its fold by its place in its run.
+    """
+    spark = df.sparkSession
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    ordered = sizes.agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("neg"), F.col(group).alias("g")))).alias("_g")
-    )
-    if ordered.select(F.size("_g")).first()[0] < k:
+    # Sorted once and stored with its partition, so that places are counted per partition.
+    ordered = cut_lineage(sizes.orderBy(F.desc("n"), group).withColumn("_part", F.spark_partition_id()))
+    counts = ordered.groupBy("n", "_part").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("n"), "_part").collect()  # runs and partitions
+    if sum(r["c"] for r in counts) < k:
         raise ValueError(f"fewer groups than folds: {k}")
-
-    def place(acc: Column, x: Column) -> Column:
-        at = F.array_position(acc["loads"], F.array_min(acc["loads"])).cast("int")
-        loads = F.transform(acc["loads"], lambda v, i: F.when(i == at - 1, v - x["neg"]).otherwise(v))
-        return F.struct(loads.alias("loads"), F.concat(acc["folds"], F.array(at)).alias("folds"))
-
-    start = F.struct(
-        F.array_repeat(F.lit(0).cast("long"), k).alias("loads"), F.array().cast("array<int>").alias("folds")
-    )
-    folds = F.aggregate("_g", start, place, lambda acc: acc["folds"])
-    return (
-        ordered.withColumn("_f", folds)
-        .select(F.explode(F.arrays_zip("_g", "_f")).alias("_p"))
-        .select(F.col("_p._g.g").alias(group), F.col("_p._f").alias("test_fold"), (-F.col("_p._g.neg")).alias("n"))
-    )
+    loads, runs, places = [0] * k, [], []
+    for n, rows in groupby(counts, key=lambda r: r["n"]):
+        place = 0
+        for r in rows:
+            places.append((n, r["_part"], place))
+            place += r["c"]
+        runs.append((n, [(start, length, turn) for start, length, turn in deal(loads, n, place)]))
+    runs = spark.createDataFrame(runs, "n long, phases array<struct<start: long, length: long, turn: array<int>>>")
+    places = spark.createDataFrame(places, "n long, _part int, place long")
+    inside = Window.partitionBy("n", "_part").orderBy(group)
+    placed = ordered.withColumn("_at", F.row_number().over(inside) - 1).join(places, ["n", "_part"]).withColumn("_at", F.col("_at") + F.col("place"))
+    phase = F.get(F.filter("phases", lambda p: (p["start"] <= F.col("_at")) & (F.col("_at") < p["start"] + p["length"])), F.lit(0))
+    found = placed.join(runs, "n").withColumn("_p", phase)
+    turn = F.pmod(F.col("_at") - F.col("_p.start"), F.size("_p.turn").cast("long")).cast("int")
+    return found.select(group, (F.get("_p.turn", turn) + 1).alias("test_fold"), "n")
 
 
 def group_kfold(df: DataFrame, group: str = "tile", k: int = 5, val: float = 0.1, seed: int = 42, label: str = "label", key: str = "parcel_id") -> DataFrame:

@@ -352,3 +352,47 @@ def test_close_pairs_survive_the_matrix_form():
         d[i] = np.inf
         want = np.argsort(d, kind="stable")[:3]
         assert near[q == i].tolist() == keys[want].tolist() and np.allclose(distance[q == i], d[want], rtol=0, atol=1e-12)
+
+
+def greedy(sizes, k):
+    """Folds by walking over every group."""
+    loads, folds = [0] * k, []
+    for n in sizes:
+        at = loads.index(min(loads))
+        loads[at] += n
+        folds.append(at)
+    return loads, folds
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 7])
+def test_dealing_in_phases_equals_a_walk(k):
+    import random
+
+    rng = random.Random(k)
+    for _ in range(200):
+        start = [rng.choice([0, 0, 3, 50, rng.randrange(200)]) for _ in range(k)]
+        size, count = rng.randint(1, 9), rng.randint(1, 120)
+        loads, want = list(start), []
+        for _ in range(count):
+            at = loads.index(min(loads))
+            loads[at] += size
+            want.append(at)
+        got = list(start)
+        phases = splits.deal(got, size, count)
+        assert [turn[i % len(turn)] for _, length, turn in phases for i in range(length)] == want and got == loads
+        assert len(phases) <= 4 * k * k + 4
+
+
+def test_a_million_groups_get_folds_in_few_phases():
+    loads = [0] * 5
+    phases = [splits.deal(loads, n, 1_000_000 // n) for n in (1000, 10, 3, 1)]
+    assert sum(map(len, phases)) < 200 and max(loads) - min(loads) <= 1
+
+
+def test_folds_of_many_groups_equal_the_walk(spark):
+    sizes = {f"t{i:04d}": 1 + i * i % 7 + (40 if i % 50 == 0 else 0) for i in range(600)}
+    df = spark.createDataFrame([(t,) for t, n in sizes.items() for _ in range(n)], "tile string").repartition(6)
+    got = {r["tile"]: (r["test_fold"], r["n"]) for r in splits.group_folds(df, "tile", 4).collect()}
+    order = sorted(sizes, key=lambda t: (-sizes[t], t))
+    _, folds = greedy([sizes[t] for t in order], 4)
+    assert got == {t: (f + 1, sizes[t]) for t, f in zip(order, folds, strict=True)}
