@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from furrow.llm.common import sampled, table, text_or_empty
 from furrow.llm.pieces import grouped
@@ -33,25 +35,31 @@ KINDS = ("email", "ip", "card", "phone")
 #: Documents that a fit may use, and the length of the passage that it takes of a longer one.
 SAMPLE_ROWS, SAMPLE_CHARS = 2000, 20_000
 ROUNDS, DEPTH, RATE, BINS = 80, 3, 0.2, 16
+#: Disguised copies wanted of each kind, and made of one base match at most: a kind that is rare in the sample is learned as well.
+COPIES, COPIES_MOST = 400, 60
 #: Share of true spans that calibration asks of what a threshold lets through.
 PRECISION = 0.995
 CONTEXT = 30
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: A match begins where a run of digits does: the run before it is taken whole. So nothing is tried twice, however long a run is.
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: What every text with a candidate has: the email generator asks for an at sign or one of these words, the others for digits.
 _HAS = re.compile(r"[0-9@]|\sat\s|[\[({<]\s?at\s?[\])}>]", re.I)
 
-#: Loose generators: whatever may be meant as such data.
-LOOSE = {
-    "email": [re.compile(r"[\w.%+-]{1,64}\s?(?:@|[\[({<]\s?(?:at|@)\s?[\])}>]|\sat\s)\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\.|[\[({<]\s?(?:dot|\.)\s?[\])}>]|\sdot\s)\s?[A-Za-z0-9-]{2,24}){1,4}", re.I)],
-    "ip": [re.compile(r"[0-9]{1,3}(?:\s?[\[({]?\s?(?:\.|dot|,)\s?[\])}]?\s?[0-9]{1,3}){3}", re.I)],
-    "card": [re.compile(r"[0-9](?:[\x20./_-]{0,2}[0-9]){12,18}")],
-    "phone": [re.compile(r"\(?\+?[0-9](?:[\x20()./-]{0,2}[0-9]){6,14}")],
+#: Loose generators: whatever may be meant as such data. Of numbers, what may stand between two groups of digits.
+LOOSE_EMAIL = re.compile(r"[\w.%+-]{1,64}\s?(?:@|[\[({<]\s?(?:at|@)\s?[\])}>]|\sat\s)\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\.|[\[({<]\s?(?:dot|\.)\s?[\])}>]|\sdot\s)\s?[A-Za-z0-9-]{2,24}){1,4}", re.I)
+_GROUP = re.compile(r"[0-9]+")
+_BETWEEN = {
+    1: re.compile(r"\s?[\[({]?\s?(?:\.|dot|,)\s?[\])}]?\s?", re.I),
+    2: re.compile(r"[\x20./_-]{1,2}"),
+    3: re.compile(r"[\x20()./-]{1,2}"),
 }
+#: Least and most digits of the spans of groups that are proposed.
+_DIGITS = {2: (13, 19), 3: (7, 15)}
 CUES = {
     "email": r"e-?mail|mail|contact|write|courriel|correo|@",
     "ip": r"\bip\b|server|host|address|adresse|login",
@@ -89,7 +97,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             end = m.end()
         at = text.find("@", max(at + 1, end))
     for m in _IP.finditer(text):
-        if all(len(p) <= 300 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (part.lstrip("0") for part in m[0].split("."))):
             out.append((1, m.start(), m.end()))
     for m in _CARD.finditer(text):
         d = _digits(m[0])
@@ -101,11 +109,44 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int, int]]:
-    """All loose proposals; they may overlap one another and the base spans."""
-    return [(k, m.start(), m.end()) for k, kind in enumerate(KINDS) for pattern in LOOSE[kind] for m in pattern.finditer(text)]
-
-
-FEATURES = 24
+    """All loose proposals; they may overlap one another and the base spans.
+
+    Of numbers, every admissible run of whole digit groups is proposed: any start, and any end that the kind's number of digits allows.
+    """
+    out = [(0, m.start(), m.end()) for m in LOOSE_EMAIL.finditer(text)]
+    groups = [(m.start(), m.end()) for m in _GROUP.finditer(text)]
+    for kind, between in _BETWEEN.items():
+        joined_on = [after - end <= 9 and bool(between.fullmatch(text, end, after)) for (_, end), (after, _) in zip(groups, groups[1:])] + [False]
+        for i, (start, _) in enumerate(groups):
+            n = 0
+            for j in range(i, len(groups)):
+                size = groups[j][1] - groups[j][0]
+                n += size
+                if kind == 1:
+                    if size > 3:
+                        break
+                    if j - i == 3:
+                        out.append((1, start, groups[j][1]))
+                        break
+                else:
+                    low, high = _DIGITS[kind]
+                    if n > high:
+                        break
+                    if n >= low:
+                        out.append((kind, _with_sign(text, start) if kind == 3 else start, groups[j][1]))
+                if not joined_on[j]:
+                    break
+    return out
+
+
+def _with_sign(text: str, start: int) -> int:
+    """Where a phone number begins: a plus sign or bracket in front belongs to it."""
+    return start - 1 if text[start - 1 : start] in ("+", "(") else start
+
+
+FEATURES = 26
+#: Frequent ends of a domain.
+TOPS = ("com", "org", "net", "edu", "gov", "info", "io", "eu", "de", "fr", "es", "uk", "ch", "at")
 
 
 def features(text: str, kind: int, start: int, end: int) -> list[float]:
@@ -121,6 +162,7 @@ def features(text: str, kind: int, start: int, end: int) -> list[float]:
         float(bool(re.search(r"\bat\b", s, re.I))), float(bool(re.search(r"\bdot\b", s, re.I))), float(s.count(".")), float(s.count("-")), float(s.count(" ")), float(s.count("/") + s.count(",") + s.count("_")),
         float(left.isalnum()), float(right.isalnum() or right in (".", "-") and text[end + 1 : end + 2].isdigit()), float(all(len(g) < 4 and int(g) <= 255 for g in groups) and len(groups) == 4),
         float(bool(_CUES[KINDS[kind]].search(before))), float(bool(_NUMBERED.search(around))), float(len(set(d))), float(s[:1] == "0"),
+        float(re.search(r"[A-Za-z]*\Z", s)[0].lower() in TOPS), float(len(re.search(r"[^\W\d]*\Z", s)[0])),
     ]
 
 
@@ -220,6 +262,22 @@ def disguised(kind: int, s: str, rng: random.Random) -> str:
     return rng.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "{} {} {}", "({}){}-{}"]).format(d[:3], d[3:6], d[6:])
 
 
+def made_up(kind: int, rng: random.Random) -> str:
+    """Data of a kind that is nobody's but looks like somebody's: documents of one origin write theirs much alike."""
+    n = lambda k: "".join(rng.choices("0123456789", k=k))
+    word = lambda low, high: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", weights=[8, 2, 3, 4, 12, 2, 2, 6, 7, 1, 1, 4, 2, 7, 8, 2, 1, 6, 6, 9, 3, 1, 2, 1, 2, 1], k=rng.randint(low, high)))
+    if kind == 0:
+        name = rng.choice(["", "", word(1, 8) + rng.choice("._-")]) + word(2, 9) + rng.choice(["", "", "", n(rng.randint(1, 4))])
+        labels = [word(3, 10) + rng.choice(["", "", "", n(1), n(2)]) for _ in range(rng.choice([1, 1, 1, 2]))]
+        return f"{name}@{'.'.join([*labels, rng.choice(TOPS)])}"
+    if kind == 1:
+        return ".".join(str(rng.randint(0, 255)) for _ in range(4))
+    if kind == 2:
+        d = n(15)
+        return d + next(c for c in "0123456789" if luhn(d + c))
+    return f"+{rng.randint(1, 99)}{rng.randint(2, 9)}{n(9)}"
+
+
 def no_data(rng: random.Random) -> str:
     """A number that is nobody's."""
     n = lambda k: "".join(rng.choices("0123456789", k=k))
@@ -245,16 +303,20 @@ def labelled(texts: list[str], seed: int = 9) -> tuple[np.ndarray, np.ndarray, n
             y.append(float(any(k == kk and a <= aa and bb <= b and b - a <= bb - aa + 2 for kk, aa, bb in true)))
             kinds.append(k)
 
-    for text in texts:
-        base = base_spans(text)
+    found = [(text, base_spans(text)) for text in texts]
+    seen = [sum(k == kind for _, base in found for k, _, _ in base) for kind in range(len(KINDS))]
+    copies = [min(COPIES_MOST, max(2, -(-COPIES // max(1, n)))) for n in seen]
+    for text, base in found:
         take(text, base)
         for k, a, b in base:
-            cue = rng.choice(["", "", rng.choice(re.sub(r"[^a-z|]", "", CUES[KINDS[k]]).split("|")) + " "])
-            new = cue + disguised(k, text[a:b], rng)
-            take(text[:a] + new + text[b:], [(k, a + len(cue), a + len(new))], (a, a + len(new)))
-            for _ in range(2):
+            before, after = text[max(0, a - 200) : a], text[b : b + 200]  # wider than any candidate's context
+            for _ in range(copies[k]):
+                cue = rng.choice(["", "", rng.choice(re.sub(r"[^a-z|]", "", CUES[KINDS[k]]).split("|")) + " "])
+                new = cue + disguised(k, text[a:b] if rng.random() < 0.3 else made_up(k, rng), rng)
+                at = (len(before), len(before) + len(new))
+                take(before + new + after, [(k, at[0] + len(cue), at[1])], at)
                 new = no_data(rng)
-                take(text[:a] + new + text[b:], [], (a, a + len(new)))
+                take(before + new + after, [], (len(before), len(before) + len(new)))
     return np.array(x).reshape(-1, FEATURES), np.array(y), np.array(kinds, np.int64)
 
 
@@ -283,15 +345,38 @@ def select(text: str, model: Trees) -> tuple[list[tuple[int, int, int]], list[tu
     if not _HAS.search(text):
         return [], []
     base = base_spans(text)
-    found = [c for c in candidates(text) if not any(c[1] < b and a < c[2] for _, a, b in base)] if model.trees else []
+    free = Taken()
+    for _, a, b in base:
+        free.add(a, b)
+    found = [c for c in candidates(text) if free.free(c[1], c[2])] if model.trees else []
     if not found:
         return base, []
-    p = model.scores(np.array([features(text, *c) for c in found]))
-    taken: list[tuple[int, int, int]] = []
+    more: list[tuple[int, int, int]] = []
+    p = np.concatenate([model.scores(np.array([features(text, *c) for c in found[i : i + 4096]])) for i in range(0, len(found), 4096)])
     for i in np.argsort(-p, kind="stable"):
-        if p[i] >= model.thresholds[found[i][0]] and not any(found[i][1] < b and a < found[i][2] for _, a, b in taken):
-            taken.append(found[i])
-    return base, sorted(taken)
+        if p[i] >= model.thresholds[found[i][0]] and free.free(*found[i][1:]):
+            free.add(*found[i][1:])
+            more.append(found[i])
+    return base, sorted(more)
+
+
+class Taken:
+    """Spans that are taken, as sorted disjoint intervals."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def free(self, a: int, b: int) -> bool:
+        """Whether nothing taken overlaps the span."""
+        i = bisect_right(self.ends, a)
+        return i == len(self.starts) or self.starts[i] >= b
+
+    def add(self, a: int, b: int) -> None:
+        i, j = bisect_left(self.ends, a), bisect_right(self.starts, b)
+        if i < j:  # what it meets becomes one interval with it
+            a, b = min(a, self.starts[i]), max(b, self.ends[j - 1])
+        self.starts[i:j], self.ends[i:j] = [a], [b]
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -300,8 +385,9 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 def find(docs: DataFrame, model: Trees, keep: tuple[str, ...] = ("doc_id",), redacted: bool = False) -> DataFrame:
     """The kept columns, counts of base spans, their digest and all spans; with ``redacted`` also the text without them."""
-    kept = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), *(f"n_{k} long" for k in KINDS), "base_sha256 string, spans string", *["redacted string"] * redacted])
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("_text"))
+    made = StructType.fromDDL(", ".join([*(f"n_{k} long" for k in KINDS), "base_sha256 string, spans string", *["redacted string"] * redacted]))
+    schema = StructType([*kept.schema.fields[:-1], *made.fields])
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of trees
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,9 +424,9 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 def redact_documents(docs: DataFrame, model: Trees) -> DataFrame:
     """``docs`` with personal data replaced in ``text`` and ``n_chars``, if there, counted anew."""
     others = [c for c in docs.columns if c != "text"]
-    numbered = docs.select(F.struct(*[F.col(c) for c in others]).alias("_row") if others else F.struct(F.lit(0).alias("_")).alias("_row"), F.col("text"))
+    numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row") if others else F.struct(F.lit(0).alias("_")).alias("_row"), F.col("text"))
     out = find(numbered, model, keep=("_row",), redacted=True)
-    columns = {c: F.col("_row")[c] for c in others} | {"text": F.col("redacted")}
+    columns = {c: F.col("_row").getField(c) for c in others} | {"text": F.col("redacted")}
     if "n_chars" in docs.columns:
         columns["n_chars"] = F.length("redacted").cast(docs.schema["n_chars"].dataType)
     return out.select(*[columns[c].alias(c) for c in docs.columns])

@@ -1,10 +1,12 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from furrow.llm import pii_boost
 from tests.llm.helpers import AWKWARD, SF, documents
@@ -101,3 +103,44 @@ def test_long_documents_are_learned_from(spark):
     model = pii_boost.fit(docs)
     assert model.trees
     assert len(pii_boost.passage(mail(1), -5)) <= pii_boost.SAMPLE_CHARS and "jo1@mail1.example.com" in pii_boost.passage(mail(1), 2)
+
+
+def test_overlapping_proposals_hold_the_true_span():
+    for text, kind, want in [("order 12 4012888888881881 now", 2, "4012888888881881"), ("437 555 0689 2024", 3, "437 555 0689"), ("7 4012/8888/8888/1881", 2, "4012/8888/8888/1881"), ("1 81.12.200.7", 1, "81.12.200.7")]:
+        assert want in {text[a:b] for k, a, b in pii_boost.candidates(text) if k == kind}
+
+
+def test_long_runs_take_linear_time():
+    start = time.time()
+    assert pii_boost.base_spans("1" * 1_000_000) == [] and pii_boost.candidates("7" * 200_000) == []
+    many = "call 437 555 0689 or 1.2.3.4 and a1@b.cd; " * 20_000
+    eager = pii_boost.Trees(edges=[np.zeros(1)] * pii_boost.FEATURES, trees=[[(-1, 0, 0, 0, 5.0)]], thresholds=[0.5] * 4)
+    base, more = pii_boost.select(many, eager)
+    assert len(base) == 40_000 and len(more) == 20_000
+    assert time.time() - start < 60
+
+
+def test_zeros_in_front_of_an_address_part():
+    text = "0" * 301 + ".1.2.3 and 256.1.1.1 and 1.2.3.4.5.6.7.8 and 00.0.000.255"
+    assert [(k, text[a:b][-12:]) for k, a, b in pii_boost.base_spans(text) if k == 1] == [(1, "000000.1.2.3"), (1, "1.2.3.4"), (1, "5.6.7.8"), (1, "00.0.000.255")]
+
+
+def test_taken_spans_against_a_plain_list():
+    rng = random.Random(4)
+    for _ in range(50):
+        taken, plain = pii_boost.Taken(), []
+        for _ in range(60):
+            a = rng.randrange(300)
+            b = a + rng.randint(1, 20)
+            assert taken.free(a, b) == (not any(a < y and x < b for x, y in plain))
+            if rng.random() < 0.5:
+                taken.add(a, b)
+                plain.append((a, b))
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    docs = documents(spark, [(1, "mail ann7@example.org now"), (2, None)]).withColumn("a b", F.lit(1)).withColumn("a.b", F.lit(2)).withColumn("spans", F.lit("mine")).withColumn("n_ip", F.lit(5))
+    out = pii_boost.redact_documents(docs, pii_boost.Trees())
+    assert out.columns == docs.columns
+    rows = {r["doc_id"]: r for r in out.collect()}
+    assert rows[1]["text"] == "mail <EMAIL> now" and (rows[1]["a b"], rows[1]["a.b"], rows[1]["spans"], rows[1]["n_ip"]) == (1, 2, "mine", 5) and rows[2]["text"] is None
