@@ -20,7 +20,7 @@ import random
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,10 @@ from furrow.llm.pieces import grouped
 
 #: Pages that a fit may use, layouts drawn for each, the blocks that it takes of a page in how many runs, and the length to which their texts are cut for layouts.
 SAMPLE_PAGES, LAYOUTS, PAGE_BLOCKS, RUNS, BLOCK_CHARS = 300, 4, 200, 4, 1000
+#: Least characters of a block that counts as main on a page without labels.
+LIKELY_CHARS = 80
+#: A character for private use that marks main text while a layout is made.
+MARK = "\ue000"
 DIMENSIONS = 1 << 13
 
 #: Fixed values of the HTML standard: elements whose text is never shown as page text, elements without an end tag, inline elements, and elements that
@@ -62,8 +66,9 @@ class Block:
     text: str
     above: tuple[int, ...]  # features of all ancestors
     link_chars: int
-    tags: tuple[str, ...]
+    tags: frozenset[str]  # of all ancestors
     scope: str  # the innermost sectioning element, and what its attributes say
+    inside: str  # the innermost element that is not inline
 
 
 def _number(feature: str) -> int:
@@ -82,8 +87,11 @@ def _of_element(tag: str, attributes: str) -> tuple[int, ...]:
 def blocks(page: str) -> list[Block]:
     """The page's leaf blocks in order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[int, ...], str]] = [("", (), "")]
+    stack: list[tuple[str, tuple[int, ...], str, frozenset[str], str]] = [("", (), "", frozenset(), "")]
+    places: dict[str, list[int]] = {}  # of the open elements of each tag in the stack
+    scopes = [0]  # places of the open sectioning elements
     seen: dict[tuple[str, str], tuple[int, ...]] = {}
+    known: dict[tuple[str, str], frozenset[int]] = {}
     parts: list[str] = []
     unclosed: set[str] = set()  # hidden elements that have no further end tag
     link_chars = at = links = 0
@@ -93,24 +101,29 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, stack[-1][1], link_chars, tuple(t for t, *_ in stack[1:]), stack[-1][2]))
+                out.append(Block(text, stack[-1][1], link_chars, stack[-1][3], stack[-1][2], stack[-1][4]))
             parts, link_chars = [], 0
 
+    def leave(k: int) -> None:
+        """End the open elements from place ``k`` on; every element is ended once."""
+        nonlocal links
+        while len(stack) > k:
+            tag = stack.pop()[0]
+            places[tag].pop()
+            links -= tag == "a"
+            if tag in SCOPES:
+                scopes.pop()
+
     def close(names: set[str] | frozenset[str]) -> None:
         """End the innermost of the named elements that its scope holds."""
-        nonlocal links
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in names:
-                links -= sum(t == "a" for t, *_ in stack[k:])
-                del stack[k:]
-                return
-            if stack[k][0] in SCOPES:
-                return
+        k = max((places[t][-1] for t in names if places.get(t)), default=0)
+        if k and k >= scopes[-1]:
+            leave(k)
 
     def leave_head() -> None:
         if stack[-1][0] == "head":
             flush()
-            stack.pop()
+            leave(len(stack) - 1)
 
     def hidden_until(tag: str, start: int) -> int:
         """Where the hidden element ends whose start tag ends at ``start``; -1 if it hides nothing."""
@@ -148,10 +161,8 @@ def blocks(page: str) -> list[Block]:
         if tag not in INLINE:
             flush()
         if m["end"]:
-            if any(t == tag for t, *_ in stack):
-                k = max(k for k, (t, *_) in enumerate(stack) if t == tag)
-                links -= sum(t == "a" for t, *_ in stack[k:])
-                del stack[k:]
+            if places.get(tag):
+                leave(places[tag][-1])
             continue
         if tag in EMPTY:
             continue
@@ -160,10 +171,17 @@ def blocks(page: str) -> list[Block]:
         key = tag, m["attributes"]
         if key not in seen:
             seen[key] = _of_element(*key)
+            known[key] = frozenset(seen[key])
         links += tag == "a"
         said = " ".join(_ATTRIBUTE.findall(m["attributes"])).lower() if m["attributes"] else ""
         scope = f"{tag} {bool(OTHER_WORDS.search(said)):d}{bool(MAIN_WORDS.search(said)):d}" if tag in SCOPES else stack[-1][2]
-        stack.append((tag, tuple(dict.fromkeys(stack[-1][1] + seen[key])), scope))
+        places.setdefault(tag, []).append(len(stack))
+        if tag in SCOPES:
+            scopes.append(len(stack))
+        _, above, _, tags, inside = stack[-1]
+        if not known[key] <= set(above):  # else the element adds nothing, and shares what its parent has
+            above = tuple(dict.fromkeys(above + seen[key]))
+        stack.append((tag, above, scope, tags if tag in tags else tags | {tag}, inside if tag in INLINE else tag))
     if at < len(page):
         piece = html.unescape(page[at:])
         if not piece.isspace():
@@ -185,7 +203,7 @@ def own_features(chain: list[Block]) -> list[tuple[int, ...]]:
             f"ends {b.text[-1] if b.text[-1] in '.!?:;,|' else 'else'}",
             f"place {min(4, 5 * k // len(chain))}",
             f"scope {b.scope}",
-            f"inside {next((t for t in reversed(b.tags) if t not in INLINE), '')}",
+            f"inside {b.inside}",
         ]
         if "©" in b.text:
             names.append("copyright")
@@ -287,11 +305,12 @@ def train(runs: list[tuple[list[list[int]], list[int], bool]], epochs: int = 10,
 
 def labels_by_markup(chain: list[Block]) -> list[int]:
     """Main is what stands in an article and in no menu, header, footer, side element or form of it."""
-    return [int("article" in b.tags and not {"nav", "aside", "footer", "form", "header"} & set(b.tags)) for b in chain]
+    return [int("article" in b.tags and not {"nav", "aside", "footer", "form", "header"} & b.tags) for b in chain]
 
 
 def laid_out(main: list[str], other: list[str], rng: random.Random) -> tuple[list[Block], list[int]]:
     """The same blocks in another page, and their labels there."""
+    main, other = [t.replace(MARK, "") for t in main], [t.replace(MARK, "") for t in other]
     line = lambda: html.escape(rng.choice(other or ["More"]))
     short = lambda: html.escape(" ".join(rng.choice(main + other or ["more"]).split()[: rng.randint(1, 4)]))
     menu = lambda: "".join(f"<li><a href='/x'>{short()}</a></li>" for _ in range(rng.randint(2, 8)))
@@ -313,16 +332,13 @@ def laid_out(main: list[str], other: list[str], rng: random.Random) -> tuple[lis
         lambda: f"<div id='footer'><p>{line()}</p></div>",
     ]
     some = lambda most: "".join(rng.choice(notes)() for _ in range(rng.randint(0, most)))
-    body = [rng.choice(["<p>{}</p>", "<p>{}", "<p><b>{}</b></p>", "<div>{}</div>", "<blockquote>{}</blockquote>", "<ul><li>{}</li></ul>", "<h2>{}</h2>"] if rng.random() < 0.2 else ["<p>{}</p>"]).format(f"<q data-main>{html.escape(t)}</q>") for t in main]
+    body = [rng.choice(["<p>{}</p>", "<p>{}", "<p><b>{}</b></p>", "<div>{}</div>", "<blockquote>{}</blockquote>", "<ul><li>{}</li></ul>", "<h2>{}</h2>"] if rng.random() < 0.2 else ["<p>{}</p>"]).format(MARK + html.escape(t)) for t in main]
     for _ in range(rng.randint(0, 2)):
         body.insert(rng.randint(0, len(body)), rng.choice(notes)())
     tag, attributes = rng.choice([("article", ""), ("article", " class='post'"), ("main", ""), ("div", " class='content'"), ("div", " id='main-content'"), ("section", " class='entry-content'"), ("div", " class='story-body'")])
     page = f"<html><body>{some(4)}<{tag}{attributes}>{''.join(body)}</{tag}>{some(4)}</body></html>"
     chain = blocks(page)
-    # the marker element tells the labels and takes no part in the features
-    marker = set(_of_element("q", " data-main"))
-    y = [int("q" in b.tags) for b in chain]
-    return [Block(b.text, tuple(f for f in b.above if f not in marker), b.link_chars, tuple(t for t in b.tags if t != "q"), b.scope) for b in chain], y
+    return [replace(b, text=b.text.replace(MARK, "")) for b in chain], [int(MARK in b.text) for b in chain]
 
 
 def runs_of(y: list[int], key: int) -> list[tuple[int, int]]:
@@ -341,27 +357,42 @@ def runs_of(y: list[int], key: int) -> list[tuple[int, int]]:
     return out
 
 
+def likely(chain: list[Block]) -> list[int]:
+    """Of a page without labels: long blocks with few links count as main. Only layouts made of their texts are learned from."""
+    return [int(len(b.text) >= LIKELY_CHARS and 4 * b.link_chars <= len(b.text)) for b in chain]
+
+
 def training_part(page: str, key: int) -> list | None:
-    """Runs of a page's blocks, labelled within the whole page: features, labels, beginnings and texts."""
+    """Runs of a page's blocks: whether the page is labelled, features, labels within the whole page, beginnings and texts."""
     chain = blocks(page)
     if not chain:
         return None
-    y, rows = labels_by_markup(chain), rows_of(chain)
+    labelled = any("article" in b.tags for b in chain)
+    y, rows = labels_by_markup(chain) if labelled else likely(chain), rows_of(chain)
     runs = runs_of(y, key)
     short = lambda t: t if len(t) <= BLOCK_CHARS else t[: BLOCK_CHARS // 2] + t[-BLOCK_CHARS // 2 :]
-    return [[rows[a:b] for a, b in runs], [y[a:b] for a, b in runs], [a == 0 for a, _ in runs], [[short(x.text) for x in chain[a:b]] for a, b in runs]]
+    return [labelled, [rows[a:b] for a, b in runs], [y[a:b] for a, b in runs], [a == 0 for a, _ in runs], [[short(x.text) for x in chain[a:b]] for a, b in runs]]
 
 
 def fit(pages: DataFrame) -> Field:
-    """Train on a hashed sample of at most SAMPLE_PAGES distinct pages of ``pages`` (html), of any length."""
+    """Train on a hashed sample of at most SAMPLE_PAGES distinct pages of ``pages`` (html), of any length.
+
+    A page without an article element carries no label: such pages are left out. Where no page is labelled, the field learns from
+    layouts that are made of the pages' texts.
+    """
     usable = pages.where(F.length("html") > 0).select("html")
+    schema = "labelled boolean, features array<array<array<int>>>, labels array<array<int>>, begins array<boolean>, texts array<array<string>>"
+    marked = usable.where(F.lower("html").contains("<article"))
+    found = [p for p in sampled(marked, SAMPLE_PAGES, training_part, schema) if p["labelled"]]
+    found = found or sampled(usable, SAMPLE_PAGES, training_part, schema)
     rng = random.Random(11)
     out = []
-    for page in sampled(usable, SAMPLE_PAGES, training_part, "features array<array<array<int>>>, labels array<array<int>>, begins array<boolean>, texts array<array<string>>"):
-        out += list(zip(page["features"], page["labels"], page["begins"], strict=True)) * 2
+    for page in found:
+        if page["labelled"]:
+            out += list(zip(page["features"], page["labels"], page["begins"], strict=True)) * 2
         said = [(t, v) for texts, y in zip(page["texts"], page["labels"], strict=True) for t, v in zip(texts, y, strict=True)]
         main, other = [t for t, v in said if v], [t for t, v in said if not v]
-        for _ in range(LAYOUTS):
+        for _ in range(LAYOUTS if page["labelled"] else 3 * LAYOUTS):
             chain, y = laid_out(main[:25], other, rng)
             out.append((rows_of(chain), y, True))
     return train(out)

@@ -2,6 +2,8 @@ import html
 import random
 import re
 
+import time
+
 import pytest
 
 from furrow.llm import html_crf
@@ -103,3 +105,32 @@ def test_runs_are_bounded():
             runs = html_crf.runs_of([0] * (n // 2) + [1] * (n - n // 2), key)
             assert runs[0][0] == 0 and runs[-1][1] == n and sum(b - a for a, b in runs) <= 200
             assert all(b < c for (_, b), (c, _) in zip(runs, runs[1:]))
+
+
+def test_nesting_takes_linear_time():
+    start = time.time()
+    for page in ("<div>x" * 100_000, "<b>" * 100_000 + "<p>x" * 100_000 + "</b>" * 100_000, "<div class='a'><p>x" * 100_000 + "</p></div>" * 100_000):
+        assert len(html_crf.blocks(page)) == 100_000
+    assert time.time() - start < 60
+
+
+def foreign(k, n=6):
+    """A page without an article element."""
+    body = "".join(f"<p>Paragraph {i} of page {k} tells the reader at some length what there is to be said about matter {i * k}.</p>" for i in range(n))
+    return f"<html><body><nav><a href='/'>Home</a> <a href='/n'>News</a></nav><div class='content'>{body}</div><div class='sidebar'><a href='/x'>Also read this</a></div><footer>About us {k}</footer></body></html>"
+
+
+def wanted(k, n=6):
+    return "\n".join(f"Paragraph {i} of page {k} tells the reader at some length what there is to be said about matter {i * k}." for i in range(n))
+
+
+def test_pages_without_labels(spark):
+    """No page has an article element, or half of them: none comes out empty."""
+    rows = [(k, None, foreign(k)) for k in range(60)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_crf.extract(table, html_crf.fit(table)).collect()}
+    assert sum(got[k] == wanted(k) for k in got) >= 54 and all(got.values())
+    half = [(k, None, h.replace("<div class='content'>", "<article>").replace("</div><div class='sidebar'>", "</article><div class='sidebar'>") if k % 2 else h) for k, _, h in rows]
+    table = spark.createDataFrame(half, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_crf.extract(table, html_crf.fit(table)).collect()}
+    assert sum(got[k] == wanted(k) for k in got) >= 54 and all(got.values())
