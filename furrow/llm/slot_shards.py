@@ -5,8 +5,9 @@ which shard owns each slot. Rebalancing edits that table: a slot stays where it
 share, and only the rest moves. Records never move one by one, and the table's size depends on the slot
 count alone.
 
-The law is ``bytes``: the shards' sizes are near equal. A record is its key, or its text where the key is null,
-so repeated keys share a slot; null texts count one byte. Empty tables give an empty result. The input's other
+The law is ``bytes``: the shards' sizes are near equal. A record is its key and its text's checksum, or its text where the key is
+null. Equal records share a slot unless together they exceed a slot's share: such a hot record's rows are dealt to as many
+slots as it has shares. Null texts count one byte. Empty tables give an empty result. The input's other
 columns are not read, so extra or clashing columns don't matter.
 """
 
@@ -15,22 +16,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.llm.common import let, new_path
+from furrow.llm.common import let, new_path, stored
 
 SLOTS = 4096
 SHARDS = 16
 
 
 def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """Key, size, checksum and virtual slot of every record."""
+    """Key, size, checksum and virtual slot of every record; stored, so that a hot record's rows keep their slots."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64(text)).otherwise(F.xxhash64(F.col("doc_id")))
-    return docs.select(
-        "doc_id",
-        (F.octet_length(text).cast("long") + 1).alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.pmod(key, F.lit(slots)).cast("int").alias("virtual_slot"),
-    )
+    records = docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("_text"))
+    name = F.when(F.col("doc_id").isNull(), F.xxhash64("_text")).otherwise(F.xxhash64("doc_id", "text_crc32"))
+    # _row tells a hot record's rows apart
+    named = stored(records.select("doc_id", "size", "text_crc32", name.alias("_name"), F.monotonically_increasing_id().alias("_row")), "records")
+    share = named.agg((F.sum("size") / slots).alias("share"))
+    hot = named.groupBy("_name").agg(F.sum("size").alias("_bytes")).crossJoin(F.broadcast(share)).where("_bytes > share")  # share is one row
+    dealt = hot.select("_name", F.ceil(F.col("_bytes") / F.col("share")).alias("_parts"))  # fewer rows than slots: each has more than a slot's share
+    part = F.coalesce(F.pmod("_row", F.col("_parts")), F.lit(0).cast("long"))
+    slot = F.pmod(F.xxhash64("_name", part), F.lit(slots)).cast("int")
+    return named.join(F.broadcast(dealt), "_name", "left").select("doc_id", "size", "text_crc32", slot.alias("virtual_slot"))
 
 
 def slot_bytes(records: DataFrame) -> DataFrame:

@@ -77,3 +77,15 @@ def test_awkward_slots(spark, tmp_path):
     rows = slot_shards.op5(spark, write_tables(spark, tmp_path / "a", documents=docs)).collect()
     assert sorted((repr(r["doc_id"]), r["size"]) for r in rows) == sorted((repr(k), len((t or "").encode()) + 1) for k, t in [*AWKWARD, (None, None), (None, "no key")])
     assert slot_shards.op5(spark, write_tables(spark, tmp_path / "b", documents=documents(spark, []))).count() == 0
+
+
+def test_hot_keys_are_dealt_to_many_slots(spark, tmp_path):
+    """A third of the rows under one id, a third equal rows without one: the shards' sizes stay near equal."""
+    rows = [(7, f"text {i} " * 20) for i in range(1000)] + [(None, "the same text again " * 8)] * 1000 + [(100 + i, f"other {i} " * 20) for i in range(1000)]
+    out = slot_shards.op5(spark, write_tables(spark, tmp_path, documents=documents(spark, rows).repartition(5))).collect()
+    sizes, shards = Counter(), defaultdict(list)
+    for r in out:
+        sizes[r["shard"]] += r["size"]
+        shards[r["shard"]].append(r["slot"])
+    assert len(out) == 3000 and len(sizes) == 16 and max(sizes.values()) - min(sizes.values()) <= 200
+    assert all(sorted(s) == list(range(len(s))) for s in shards.values())
