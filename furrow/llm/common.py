@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -51,6 +51,22 @@ def sampled(texts: DataFrame, most: int, part: Callable[[str, int], list | None]
     return drawn.mapInArrow(run, out).dropDuplicates(["hash"]).orderBy("hash").limit(most).collect()
 
 
+def drawn_apart(rows: DataFrame, by: str, names: list[str], most: int) -> DataFrame:
+    """At most ``most`` distinct rows (by a hash of ``names``), shared out evenly over the values of ``by``: of each the first in the order of hashes.
+
+    Neither copies nor the order of rows nor the share of a value change what is drawn. The groups themselves are few.
+    """
+    hashed = rows.withColumn("_hash", F.xxhash64(*names))
+    sizes = {r[by]: r["n"] for r in hashed.groupBy(by).agg(F.approx_count_distinct("_hash").alias("n")).collect()}  # the values of ``by``
+    if not sizes:
+        return hashed.drop("_hash").limit(0)
+    each = max(1, most // len(sizes))
+    share = F.create_map(*[F.lit(x) for value, n in sizes.items() for x in (value, int(min(1_000_000, 1_000_000 * 1.5 * each / n)) + 1)])
+    some = hashed.where(F.pmod("_hash", F.lit(1_000_000)) < share[F.col(by)]).dropDuplicates([by, "_hash"])
+    place = F.row_number().over(Window.partitionBy(by).orderBy("_hash"))
+    return some.withColumn("_place", place).where(F.col("_place") <= each).drop("_hash", "_place")
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

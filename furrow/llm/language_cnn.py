@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.common import table, text_or_empty
+from furrow.llm.common import drawn_apart, table, text_or_empty
 from furrow.llm.pieces import grouped
 
 UNKNOWN = "und"
@@ -126,16 +126,15 @@ def train(texts: list[str], labels: list[str], epochs: int = 8, rate: float = 3e
 
 
 def fit(labelled: DataFrame) -> Network | None:
-    """Train on ``labelled`` (text, lang): a hashed sample of at most SAMPLE_ROWS texts, a part of each."""
-    usable = labelled.where("text is not null and lang is not null")
-    total = usable.count()
-    if not total:
-        return None
-    drawn = F.pmod(F.xxhash64("text", "lang"), F.lit(1_000_000)) < min(1_000_000, 1_000_000 * 1.2 * SAMPLE_ROWS / total)
+    """Train on ``labelled`` (text, lang): a hashed sample of at most SAMPLE_ROWS distinct texts, as many of each language, a part of each."""
+    usable = labelled.where("text is not null and lang is not null").select("text", "lang")
     begin = 1 + F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))).cast("int")
-    sample = usable.where(drawn).select(F.substring(F.col("text"), begin, F.lit(SAMPLE_CHARS)).alias("text"), "lang").limit(SAMPLE_ROWS).toPandas()
+    parts = drawn_apart(usable, "lang", ["text"], SAMPLE_ROWS).select(F.substring(F.col("text"), begin, F.lit(SAMPLE_CHARS)).alias("text"), "lang")
+    sample = parts.toPandas()
+    if not len(sample):
+        return None
     sample = sample.sort_values(["lang", "text"])  # the order of rows must not change the weights
-    return train(sample["text"].tolist(), sample["lang"].tolist()) if len(sample) else None
+    return train(sample["text"].tolist(), sample["lang"].tolist())
 
 
 def predict(docs: DataFrame, network: Network | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

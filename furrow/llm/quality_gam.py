@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.common import by_text, shingle_hashes, stored, table, text_or_empty, word_hashes
+from furrow.llm.common import drawn_apart, by_text, shingle_hashes, stored, table, text_or_empty, word_hashes
 from furrow.llm.pieces import grouped
 
 SAMPLE_ROWS = 20_000
@@ -168,16 +168,18 @@ def with_features(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataF
 
 
 def fit(labelled: DataFrame) -> Model:
-    """Train on ``labelled`` (features, label 0 or 1): a hashed sample of at most SAMPLE_ROWS rows."""
-    usable = labelled.where("label is not null")
-    total = usable.count()
-    drawn = F.pmod(F.xxhash64("features", "label"), F.lit(1_000_000)) < min(1_000_000, 1_000_000 * 1.1 * SAMPLE_ROWS / max(total, 1))
-    sample = usable.where(drawn).select("features", F.col("label").cast("double").alias("label")).limit(SAMPLE_ROWS).toPandas()
+    """Train on ``labelled`` (features, label 0 or 1): a hashed sample of at most SAMPLE_ROWS distinct rows, as many of each label."""
+    usable = labelled.where("label is not null").select("features", F.col("label").cast("double").alias("label"))
+    sample = drawn_apart(usable, "label", ["features"], SAMPLE_ROWS).toPandas()
     if sample.empty:
         return Model()
     x, y = np.stack(sample["features"].to_numpy()), sample["label"].to_numpy()
     order = np.lexsort((*x.T, y))
-    return train(x[order], y[order])
+    model = train(x[order], y[order])
+    shares = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}  # two labels
+    if len(shares) == 2:  # the sample holds as many of both: the scores are moved to the rows' own share
+        model.base += float(np.log(shares[1.0] / shares[0.0]) - np.log(max(y.sum(), 1) / max((1 - y).sum(), 1)))
+    return model
 
 
 def score(rows: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
