@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from furrow.llm.common import text_or_empty
 from furrow.llm.pieces import Encoded, grouped
@@ -205,12 +206,14 @@ def decode(ids: list[int], vocabulary: Ranks) -> bytes:
 def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """Add ids, their number, their digest and the digest of what they decode to.
 
-    ``keep`` names columns that stay; the new ones are n_tokens, ids_sha256, decoded_sha256 and ids.
+    ``keep`` names columns that stay; the new ones are n_tokens, ids_sha256, decoded_sha256 and ids. A kept column of such a name is replaced.
     """
-    kept = docs.select(*[F.col(c) for c in keep], text_or_empty().alias("_text"))
-    kept_columns = len(keep)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    schema = ", ".join(filter(None, [kinds, "n_tokens long, ids_sha256 string, decoded_sha256 string", "ids array<int>" if ids else ""]))
+    made = StructType.fromDDL("n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)
+    keep = tuple(c for c in keep if c not in made.names)
+    packed = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(0).alias("_"))  # columns of any name
+    kept = docs.select(packed.alias("_row"), text_or_empty().alias("_text"))
+    kept_columns = 1
+    schema = StructType([*kept.schema.fields[:-1], *made.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, to_ids = encoder(path, pattern)
@@ -233,7 +236,8 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True, keep: tup
                     out, names = [*out, pa.array(arrays, pa.list_(pa.int32()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(out, names)
 
-    return kept.mapInArrow(run, schema)
+    out = kept.mapInArrow(run, schema)
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in keep], *made.names)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 import hashlib
 
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from furrow.llm import pii_boost, quality_rules
 from tests.llm.helpers import AWKWARD, SF, documents, write_tables
@@ -53,7 +55,10 @@ def test_awkward_tables(spark, tmp_path):
     more = [(30, "The first of the documents that is long enough to stay in the corpus for good."), (30, "The first of the documents that is long enough to stay in the corpus for good."), (None, "and a text without an id that is long enough to stay here for the test of it")]
     for name, rows in (("awkward", AWKWARD + more), ("empty", [])):
         docs = documents(spark, rows)
+        for other in ("a b", "a.b", "ids", "n_tokens", "label", "_row", "fp", "spans"):
+            docs = docs.withColumn(other, F.lit(f"my {other}"))
         sf = write_tables(spark, tmp_path / name, documents=docs, benchmark=spark.createDataFrame([(1, None), (2, "")], "item_id long, text string"))
         got = corpus_pipeline.run(spark, sf).collect()
         # 7 has eleven words, too few for the rule on function words, and breaks no other rule
         assert sorted(repr(r["doc_id"]) for r in got) == ([] if not rows else ["30", "7", "None"])
+        assert all((r["a b"], r["a.b"], r["label"], r["_row"], r["spans"]) == ("my a b", "my a.b", "my label", "my _row", "my spans") and len(r["ids"]) == r["n_tokens"] for r in got)
