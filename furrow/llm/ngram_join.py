@@ -47,7 +47,7 @@ SHARED_EACH = 20
 #: Bits of the filter that names classes with partners: 16 for each class, at most 8 MB. A full filter passes everything.
 FILTER_BITS_EACH, FILTER_BITS_MOST = 16, 1 << 26
 #: Star rounds go on while a round joins more than one in so many of the classes it compared.
-WORTH = 50
+WORTH = 400
 #: Others that a class is counted with in a star round at most.
 CENTRES = 16
 
