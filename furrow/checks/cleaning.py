@@ -11,8 +11,8 @@ from furrow.functions import text
 from furrow.operators import aggregate, clean, encode, joins, phenology, reshape
 from furrow.plans.long_table import build_training
 from furrow.schemas import OBSERVATIONS
-from furrow.session import cut_lineage
-from furrow.sources.readers import clean_training, typed
+from furrow.session import cut_lineage, scratch_path
+from furrow.sources.readers import read_labels, read_observations, read_training
 from furrow.sources.writers import dataset_summary, ingest_summary
 from furrow.operators.splits import stratified_split
 from furrow.operators.timegrid import to_tensor
@@ -20,9 +20,16 @@ from furrow.operators.timegrid import to_tensor
 OBS = f"cast(date AS varchar) AS date, tile, parcel_id, idx, {r6('value_mean', 'value_mean')}, px_count, {r6('cloud_scene', 'cloud_scene')}"
 
 
+def as_csv(spark, rows):
+    """The rows as a CSV file with a header; spaces around values stay."""
+    path = scratch_path(spark)
+    rows.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return path
+
+
 @check("s1_read_observations", "obs", f"SELECT {OBS} FROM obs")
 def _(spark, sf):
-    return typed(v.obs(spark, sf), OBSERVATIONS)
+    return read_observations(spark, as_csv(spark, v.obs(spark, sf)))
 
 
 @check(
@@ -31,7 +38,8 @@ def _(spark, sf):
     "SELECT trim(parcel_id) AS parcel_id, arg_min(label, input_seq) AS label FROM labels_raw WHERE label IS NOT NULL GROUP BY 1",
 )
 def _(spark, sf):
-    return aggregate.first_label(v.labels_raw(spark, sf).withColumn("parcel_id", text.strip("parcel_id")))
+    rows = read_labels(spark, as_csv(spark, v.labels_raw(spark, sf).orderBy("input_seq")))
+    return aggregate.first_label(rows.withColumn("parcel_id", text.strip("parcel_id")))
 
 
 @check(
@@ -41,7 +49,7 @@ def _(spark, sf):
     WHERE idx IN ('CLICK', 'VIEW') AND px_count >= 10 AND cloud_scene <= 60""",
 )
 def _(spark, sf):
-    rows = clean_training(v.training(spark, sf), ["click", " view "], 10, 60.0)
+    rows = read_training(spark, as_csv(spark, v.training(spark, sf)), ["click", " view "], 10, 60.0)
     return rows.select(*[f.name for f in OBSERVATIONS.fields], "label", "label_group")
 
 

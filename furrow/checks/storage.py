@@ -34,8 +34,9 @@ def _(spark, sf):
 def _(spark, sf):
     path = scratch_path(spark)
     rows = v.training(spark, sf)
-    writers.append_training(rows.where("cloud_scene <= 40"), path)
-    writers.append_training(rows.where("cloud_scene > 40"), path)
+    writers.append_training(rows.where("cloud_scene <= 40"), path, "clear")
+    for _ in range(2):  # a batch that is tried again adds nothing
+        writers.append_training(rows.where("cloud_scene > 40"), path, "cloudy")
     cols = ["date", "tile", "parcel_id", "idx", "value_mean", "px_count", "cloud_scene", "label", "label_group"]
     return spark.read.parquet(path).select(*cols)
 

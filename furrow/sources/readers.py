@@ -22,6 +22,15 @@ def _scan(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     return df.withColumnsRenamed({k: v for k, v in CSV_NAMES.items() if k in df.columns})
 
 
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``line``: the lines of a CSV file that have more or fewer values than its header; the scans read what such a line holds."""
+    names = spark.read.option("header", True).csv(path).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_line"]])
+    rows = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line").csv(path)
+    # Only with the other columns does the scan parse every line.
+    return rows.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("_all"), "_line").where("_line IS NOT NULL AND _all IS NOT NULL").select(F.col("_line").alias("line"))
+
+
 def require_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
     missing = [n for n in names if n not in df.columns]
     if missing:

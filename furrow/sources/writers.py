@@ -19,12 +19,13 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
-def append_training(df: DataFrame, path: str) -> None:
-    """Append to the training table, one folder per tile.
+def append_training(df: DataFrame, path: str, batch: str) -> None:
+    """Add a batch to the training table, one folder per tile and batch. A batch that is written again takes its own place.
 
     The rebalance hint gathers small tiles into few files and splits a tile that holds most rows.
     """
-    df.hint("rebalance", "tile").write.mode("append").partitionBy("tile").parquet(path)
+    rows = df.withColumn("batch", F.lit(batch)).hint("rebalance", "tile")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tile", "batch").parquet(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -396,3 +396,11 @@ def test_folds_of_many_groups_equal_the_walk(spark):
     order = sorted(sizes, key=lambda t: (-sizes[t], t))
     _, folds = greedy([sizes[t] for t in order], 4)
     assert got == {t: (f + 1, sizes[t]) for t, f in zip(order, folds, strict=True)}
+
+
+def test_lines_of_the_wrong_length_are_named(spark, tmp_path):
+    from furrow.sources.readers import bad_lines
+
+    path = tmp_path / "rows.csv"
+    path.write_text("a,b,c\n1,2,3\n4,5\n6,7,8,9\n,,\n")
+    assert sorted(r["line"] for r in bad_lines(spark, str(path)).collect()) == ["4,5", "6,7,8,9"]

@@ -60,8 +60,9 @@ def test_sinks(spark, obs, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p")).exceptAll(few).count() == 0
     writers.write_csv(few, str(tmp_path / "c"))
     assert readers.read_observations(spark, str(tmp_path / "c")).select(few.columns).exceptAll(few).count() == 0
-    writers.append_training(few, str(tmp_path / "t"))
-    writers.append_training(few, str(tmp_path / "t"))
+    writers.append_training(few, str(tmp_path / "t"), "one")
+    writers.append_training(few, str(tmp_path / "t"), "two")
+    writers.append_training(few, str(tmp_path / "t"), "two")  # tried again
     assert spark.read.parquet(str(tmp_path / "t")).count() == 400
     assert {d.name for d in (tmp_path / "t").glob("tile=*")} == {f"tile={r[0]}" for r in few.select("tile").distinct().collect()}
     writers.write_json(few.select(F.struct("tile", "idx").alias("s")), str(tmp_path / "j"))
