@@ -71,6 +71,16 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def words_sql(column: str = "text") -> str:
+    """A text's words in DuckDB's SQL, A-Z as a-z."""
+    return f"regexp_extract_all(translate(coalesce({column}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^{SPACE}]+')"
+
+
+def shingles_sql(width: str) -> str:
+    """All runs of ``width`` words of the list ``w``, in DuckDB's SQL."""
+    return f"[array_to_string(w[j:j + {width} - 1], ' ') for j in range(1, len(w) - {width} + 2)]"
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once for the row."""
     return bind(value, body)

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.common import SHINGLE_WORDS, by_text, shingle_hashes, table, text_or_empty, word_hashes
+from furrow.llm.common import SHINGLE_WORDS, by_text, shingle_hashes, shingles_sql, table, text_or_empty, word_hashes, words_sql
 from furrow.llm.pieces import grouped
 
 THRESHOLD = 0.8
@@ -203,3 +203,23 @@ def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
 
 def op8(spark, sf_dir: str) -> DataFrame:
     return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumn("containment", F.col("shared") / F.col("item_shingles"))
+
+
+def sql() -> str:
+    """The same rows by joining all runs of words."""
+    return f"""
+WITH items AS (
+    SELECT row_number() OVER () AS i, item_id, w, least({SHINGLE_WORDS}, len(w)) AS k FROM (SELECT item_id, {words_sql()} AS w FROM benchmark) WHERE len(w) > 0
+), item_sets AS (
+    SELECT DISTINCT i, item_id, k, unnest({shingles_sql("k")}) AS s FROM items
+), sizes AS (
+    SELECT i, item_id, count(*) AS n FROM item_sets GROUP BY i, item_id
+), docs AS (
+    SELECT row_number() OVER () AS d, doc_id, {words_sql()} AS w FROM documents
+), doc_sets AS (
+    SELECT DISTINCT d, doc_id, k, unnest({shingles_sql("k")}) AS s FROM docs, (SELECT DISTINCT k FROM items) WHERE len(w) >= k
+), hits AS (
+    SELECT d, doc_id, i, count(*) AS shared FROM doc_sets JOIN item_sets USING (k, s) GROUP BY d, doc_id, i
+)
+SELECT doc_id, item_id, shared::BIGINT AS shared, n::BIGINT AS item_shingles, shared::DOUBLE / n AS containment FROM hits JOIN sizes USING (i) WHERE shared >= {THRESHOLD} * n
+"""

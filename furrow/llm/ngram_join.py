@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.llm.common import SPACE, by_text, emptied, mixed, shingle_hashes, stored, table, text_or_empty, word_hashes
+from furrow.llm.common import SHINGLE_WORDS, SPACE, by_text, emptied, mixed, shingle_hashes, shingles_sql, stored, table, text_or_empty, word_hashes, words_sql
 from furrow.llm.components import components
 from furrow.llm.pieces import grouped
 
@@ -421,3 +421,25 @@ def once(rows: DataFrame) -> DataFrame:
 
 def op10(spark, sf_dir: str) -> DataFrame:
     return linked(table(spark, sf_dir, "documents"))
+
+
+def sql() -> str:
+    """The same rows by joining all shingles of all sets."""
+    return f"""
+WITH RECURSIVE rows_of AS (
+    SELECT row_number() OVER () AS r, doc_id, {words_sql()} AS w FROM documents
+), sets AS (
+    SELECT DISTINCT r, unnest({shingles_sql(f"least({SHINGLE_WORDS}, len(w))")}) AS s FROM rows_of WHERE len(w) > 0
+), sizes AS (
+    SELECT r, count(*) AS n FROM sets GROUP BY r
+), shared AS (
+    SELECT a.r AS a, b.r AS b, count(*) AS both_have FROM sets a JOIN sets b ON a.s = b.s AND a.r <> b.r GROUP BY a.r, b.r
+), links AS (
+    SELECT a, b FROM shared JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE 100 * both_have >= {PERCENT} * (x.n + y.n - both_have)
+), reached AS (
+    SELECT r, r AS other FROM rows_of UNION SELECT reached.r, links.b FROM reached JOIN links ON links.a = reached.other
+), firsts AS (
+    SELECT reached.r, min(o.doc_id) AS component_id FROM reached JOIN rows_of o ON o.r = reached.other GROUP BY reached.r
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM rows_of JOIN firsts USING (r) LEFT JOIN sizes USING (r)
+"""

@@ -35,5 +35,7 @@ QUERIES = {
 }
 ORACLES = {
     "op6_quality_rules": quality_rules.sql(),
+    "op8_containment_search": containment.sql(),
+    "op10_ngram_join": ngram_join.sql(),
     "op13_filter_audit": filter_audit.sql(),
 }
