@@ -45,7 +45,7 @@ def _(spark, sf):
 @check(
     "s3_read_training",
     "training",
-    f"""SELECT {OBS}, label, label_group FROM training
+    f"""SELECT {OBS}, label, nullif(label_group, '') AS label_group FROM training
     WHERE idx IN ('CLICK', 'VIEW') AND px_count >= 10 AND cloud_scene <= 60""",
 )
 def _(spark, sf):
