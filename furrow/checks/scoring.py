@@ -346,7 +346,7 @@ def _(spark, sf):
 
 @check("m3_random_search")
 def _(spark, sf):
-    grid = {"trees": [100, 300, 500], "depth": [10, 20, 30], "min_rows": [1, 2, 4]}
+    grid = {"trees": [10, 20, 40], "depth": [5, 10, 20], "min_rows": [1, 2, 4]}
     return models.random_search(feature_rows(spark, sf), FEATURES, models.fit_random_forest, grid, n=10, k=3)[2]
 
 
