@@ -47,7 +47,7 @@ SHARED_EACH = 20
 #: Bits of the filter that names classes with partners: 16 for each class, at most 8 MB. A full filter passes everything.
 FILTER_BITS_EACH, FILTER_BITS_MOST = 16, 1 << 26
 #: Star rounds go on while a round joins more than one in so many of the classes it compared.
-WORTH = 400
+WORTH = 50
 #: Others that a class is counted with in a star round at most.
 CENTRES = 16
 
@@ -274,18 +274,25 @@ def leftovers(lists: DataFrame, percent: int) -> DataFrame:
     """All pairs of a list that lie in different components and meet as often as they must.
 
     At least one of such a pair isn't of the list's commonest component: those classes look for their others, so a component that
-    fills a list meets only the few that are left.
+    fills a list meets only the few that are left. Lists have an order too, short ones first. A pair is taken up only in a list that may be
+    the first it meets in: either class has so many lists from there on as the pair must share. That leaves the head of each class's lists.
     """
-    common = lists.groupBy("h", "label").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("label", F.struct("k", "label")).alias("common"))
-    marked = lists.join(common, "h").withColumn("rare", F.col("label") != F.col("common")).drop("common")
-    other = marked.select("h", *[F.col(c).alias(f"other_{c}") for c in ("class", "n", "p", "label", "rare")]).withColumnRenamed("other_class", "other")
+    sizes = lists.groupBy("h", "label").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("label", F.struct("k", "label")).alias("common"), F.sum("k").alias("size"))
+    own = Window.partitionBy("class").orderBy(F.desc("size"), F.desc("h"))  # a class's lists are no more than its prefix
+    marked = lists.join(sizes, "h").withColumn("rare", F.col("label") != F.col("common")).withColumn("rest", F.row_number().over(own))
+    heads = marked.where(F.col("rest") >= fewest_met(percent)).drop("common", "size")
+    other = heads.select("h", *[F.col(c).alias(f"other_{c}") for c in ("class", "n", "p", "label", "rare", "rest")]).withColumnRenamed("other_class", "other")
     once = ~F.col("other_rare") | (F.col("class") < F.col("other"))
-    met = _pairs(marked.where("rare").join(other, "h").where((F.col("label") != F.col("other_label")) & once & possible(percent)))
-    return met.where(F.col("met") >= least_met(percent)).drop("met")
+    first = F.least("rest", "other_rest") >= least_met(percent, "n", "other_n")
+    met = _pairs(heads.where("rare").join(other, "h").where((F.col("label") != F.col("other_label")) & once & first & possible(percent))).drop("met")
+    whole = lists.groupBy("class").agg(F.collect_list("h").alias("hs"))
+    left, right = whole.select(F.col("class").alias("a"), F.col("hs").alias("hs_a")), whole.select(F.col("class").alias("b"), F.col("hs").alias("hs_b"))
+    shared = F.size(F.array_intersect("hs_a", "hs_b"))
+    return met.join(left, "a").join(right, "b").where(shared >= least_met(percent, "n_a", "n_b")).select("a", "b", "n_a", "n_b")
 
 
-def least_met(percent: int):
-    """In how many lists a similar pair (n_a, n_b) meets at least.
+def least_met(percent: int, a: str, b: str):
+    """In how many lists a similar pair of sizes ``a`` and ``b`` meets at least.
 
     It shares some number of shingles at least, so each set misses few of the other's. Of the prefix that ends first in the global
     order, every shingle that the other set has lies in the other prefix too: all of it but those few.
@@ -294,8 +301,13 @@ def least_met(percent: int):
     def kept(n: str):  # what the prefix is longer than the rest by which the set may exceed the overlap
         return F.least(F.col(n), F.col(n) - F.ceil(F.col(n) * percent / 100) + 1 + F.floor(F.col(n) / SHARED_EACH)) - F.col(n)
 
-    overlap = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
-    return F.greatest(1 + F.floor(F.least("n_a", "n_b") / SHARED_EACH), F.least(kept("n_a"), kept("n_b")) + overlap)
+    overlap = F.ceil((F.col(a) + F.col(b)) * percent / (100 + percent))
+    return F.greatest(1 + F.floor(F.least(a, b) / SHARED_EACH), F.least(kept(a), kept(b)) + overlap)
+
+
+def fewest_met(percent: int):
+    """In how many lists a class of size n meets any partner at least: it has at least the share of n of its shingles."""
+    return 1 + F.floor(F.ceil(F.col("n") * percent / 100) / SHARED_EACH)
 
 
 def open_lists(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -310,8 +322,7 @@ def open_lists(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 
 def often(lists: DataFrame, percent: int) -> DataFrame:
     """The classes in so many lists that they may have a partner: it has at least the share of their shingles, and they meet it so often."""
-    least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / SHARED_EACH)
-    return lists.groupBy("class", "n").agg(F.count("*").alias("lists")).where(F.col("lists") >= least).select("class")
+    return lists.groupBy("class", "n").agg(F.count("*").alias("lists")).where(F.col("lists") >= fewest_met(percent)).select("class")
 
 
 def class_lists(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
