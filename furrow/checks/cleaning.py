@@ -18,6 +18,9 @@ from furrow.operators.splits import stratified_split
 from furrow.operators.timegrid import to_tensor
 
 OBS = f"cast(date AS varchar) AS date, tile, parcel_id, idx, {r6('value_mean', 'value_mean')}, px_count, {r6('cloud_scene', 'cloud_scene')}"
+NAMES = ["CLICK", "ERROR", "PURCHASE", "SIGNUP", "VIEW"]
+#: The mean value of each index as a column.
+WIDE_SQL = ", ".join(f"""avg(value) FILTER (idx = '{n}') AS "{n}\"""" for n in NAMES)
 
 
 def as_csv(spark, rows):
@@ -79,17 +82,16 @@ def _(spark, sf):
     "training",
     """WITH p AS (SELECT parcel_id, any_value(label) AS label, any_value(label_group) AS g FROM training GROUP BY 1),
     n AS (SELECT count(*) AS n FROM p)
-    SELECT (SELECT n FROM n) AS n_parcels, (SELECT count(DISTINCT date) FROM training) AS n_steps, 2 AS n_features,
+    SELECT (SELECT n FROM n) AS n_parcels, (SELECT count(DISTINCT date) FROM training) AS n_steps, (SELECT count(DISTINCT idx) FROM training) AS n_features,
     (SELECT count(DISTINCT label) FROM p) AS n_classes, (SELECT count(DISTINCT nullif(g, '')) FROM p) AS n_groups,
     (SELECT n - ceil(n * 0.2::DOUBLE) FROM n)::BIGINT AS n_train, 0 AS n_val, (SELECT ceil(n * 0.2::DOUBLE) FROM n)::BIGINT AS n_test""",
 )
 def _(spark, sf):
     rows = v.training(spark, sf)
     binned = aggregate.bin_aggregate(rows)
-    names = ["CLICK", "VIEW"]
-    steps = binned.groupBy("parcel_id", "date").agg(*reshape.index_columns(names, "value_mean"), *aggregate.quality_columns())
+    steps = binned.groupBy("parcel_id", "date").agg(*reshape.index_columns(NAMES, "value_mean"), *aggregate.quality_columns())
     ids = cut_lineage(encode.encode_labels(encode.encode_labels(aggregate.parcel_texts(binned)), "label_group", "group_id"))
-    arrays = to_tensor(steps, names, reshape.date_list(rows))
+    arrays = to_tensor(steps, NAMES, reshape.date_list(rows))
     return dataset_summary(arrays.join(stratified_split(ids), "parcel_id"))
 
 
@@ -213,11 +215,10 @@ def _(spark, sf):
 
 def dense(spark, sf):
     """Dense training cells: one row per parcel and date of the grid."""
-    names = ["CLICK", "ERROR", "PURCHASE", "SIGNUP", "VIEW"]
     binned = aggregate.bin_aggregate(v.training(spark, sf))
-    steps = binned.groupBy("parcel_id", "date").agg(*reshape.index_columns(names, "value_mean"), *aggregate.quality_columns())
+    steps = binned.groupBy("parcel_id", "date").agg(*reshape.index_columns(NAMES, "value_mean"), *aggregate.quality_columns())
     full = joins.densify(steps.withColumn("observed", F.lit(True)), reshape.date_list(binned))
-    fills = {n: F.coalesce(n, F.lit(0.0)) for n in names}
+    fills = {n: F.coalesce(n, F.lit(0.0)) for n in NAMES}
     return full.withColumns(
         fills
         | {
@@ -244,11 +245,11 @@ PHENO = """SELECT parcel_id, idx, avg(value) AS mean FROM agg40 GROUP BY ALL"""
 @check(
     "j1_join_features",
     "agg40 parcel_labels",
-    f"""SELECT l.parcel_id, label, label_group, {r6("avg(value) FILTER (idx = 'CLICK')", '"CLICK"')}, {r6("avg(value) FILTER (idx = 'VIEW')", '"VIEW"')}
+    f"""SELECT l.parcel_id, label, label_group, {', '.join(r6(f"avg(value) FILTER (idx = '{n}')", f'"{n}"') for n in NAMES)}
     FROM parcel_labels l JOIN agg40 a ON a.parcel_id = l.parcel_id GROUP BY ALL""",
 )
 def _(spark, sf):
-    wide = reshape.pivot_index(cells40(spark, sf), ["CLICK", "VIEW"], ["parcel_id"])
+    wide = reshape.pivot_index(cells40(spark, sf), NAMES, ["parcel_id"])
     return joins.join_features(v.parcel_labels(spark, sf), wide)
 
 
@@ -260,12 +261,12 @@ def cells40(spark, sf):
 @check(
     "j2_add_phenology",
     "agg40 parcel_labels",
-    f"""SELECT l.parcel_id, label, {r6('m', '"VIEW__mean"')}, {r6('x', '"VIEW__max"')} FROM parcel_labels l
-    LEFT JOIN (SELECT parcel_id, avg(value) AS m, max(value) AS x FROM agg40 WHERE idx = 'VIEW' GROUP BY 1) USING (parcel_id)""",
+    f"""SELECT l.parcel_id, label, {', '.join(f"""{r6(f"avg(value) FILTER (idx = '{n}')", f'"{n}__mean"')}, {r6(f"max(value) FILTER (idx = '{n}')", f'"{n}__max"')}""" for n in NAMES)}
+    FROM parcel_labels l LEFT JOIN agg40 USING (parcel_id) GROUP BY l.parcel_id, label""",
 )
 def _(spark, sf):
-    stats = reshape.pivot_phenology(phenology.phenology(cells40(spark, sf)), ["VIEW"])
-    return joins.add_phenology(v.parcel_labels(spark, sf), stats).select("parcel_id", "label", "VIEW__mean", "VIEW__max")
+    stats = reshape.pivot_phenology(phenology.phenology(cells40(spark, sf)), NAMES)
+    return joins.add_phenology(v.parcel_labels(spark, sf), stats).select("parcel_id", "label", *[f"{n}__{s}" for n in NAMES for s in ("mean", "max")])
 
 
 @check("j4_attach_label", "obs parcel_labels", f"SELECT {OBS}, label FROM obs JOIN parcel_labels USING (parcel_id)")
@@ -298,13 +299,13 @@ def _(spark, sf):
 @check(
     "j10_densify",
     "agg40",
-    f"""SELECT p.parcel_id, g.t, cast(g.date AS varchar) AS date, {r6('w."VIEW"', '"VIEW"')} FROM (SELECT DISTINCT parcel_id FROM agg40) p
+    f"""SELECT p.parcel_id, g.t, cast(g.date AS varchar) AS date, {', '.join(r6(f'w."{n}"', f'"{n}"') for n in NAMES)} FROM (SELECT DISTINCT parcel_id FROM agg40) p
     CROSS JOIN (SELECT date, row_number() OVER (ORDER BY date) - 1 AS t FROM (SELECT DISTINCT date FROM agg40)) g
-    LEFT JOIN (SELECT parcel_id, date, avg(value) FILTER (idx = 'VIEW') AS "VIEW" FROM agg40 GROUP BY ALL) w ON w.parcel_id = p.parcel_id AND w.date = g.date""",
+    LEFT JOIN (SELECT parcel_id, date, {WIDE_SQL} FROM agg40 GROUP BY ALL) w ON w.parcel_id = p.parcel_id AND w.date = g.date""",
 )
 def _(spark, sf):
     agg = cells40(spark, sf)
-    return joins.densify(reshape.pivot_index(agg, ["VIEW"]), reshape.date_list(agg))
+    return joins.densify(reshape.pivot_index(agg, NAMES), reshape.date_list(agg))
 
 
 @check(

@@ -7,14 +7,14 @@ import datetime
 from pyspark.sql import functions as F
 
 from furrow.checks import views as v
-from furrow.checks.cleaning import cells40, dense
+from furrow.checks.cleaning import NAMES, WIDE_SQL, cells40, dense
 from furrow.checks.registry import check
 from furrow.checks.views import r6, r6s
 from furrow.functions import quality, text
-from furrow.operators import aggregate, clean, gapfill, importance, phenology, reshape, scaling, timegrid
+from furrow.operators import aggregate, clean, gapfill, importance, joins, phenology, reshape, scaling, timegrid
 from furrow.operators.quantiles import exact_quantiles
 
-NAMES = ["CLICK", "ERROR", "PURCHASE", "SIGNUP", "VIEW"]
+QUOTED = ", ".join(f'"{n}"' for n in NAMES)
 CELL = "parcel_id, cast(date AS varchar) AS date, idx"
 
 
@@ -105,13 +105,13 @@ SUMMARY = ", ".join(
     {r6(f'arg_max(pos, struct_pack(v := "{n}", p := -pos)) / greatest(count(*) - 1, 1)', f'"{n}_peak_pos"')},
     {r6(f'coalesce(sum(0.5 * ("{n}" + "n{n}") * (nd - dayofyear(date))), 0)', f'"{n}_auc"')},
     {r6(f'(arg_max("{n}", pos) - arg_min("{n}", pos)) / greatest(count(*) - 1, 1)', f'"{n}_mean_diff"')}"""
-    for n in ("CLICK", "VIEW")
+    for n in NAMES
 )
 
-INTERLEAVED = """WITH dates AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS dp FROM (SELECT DISTINCT date FROM agg40)),
-    names AS (SELECT * FROM (VALUES ('CLICK', 0), ('VIEW', 1)) AS n(idx, ip)),
-    grid AS (SELECT date, idx, dp * 2 + ip AS pos FROM dates CROSS JOIN names),
-    dense AS (SELECT p.parcel_id, g.date, g.idx, g.pos, a.value FROM (SELECT DISTINCT parcel_id FROM agg40 WHERE idx IN ('CLICK', 'VIEW')) p CROSS JOIN grid g
+INTERLEAVED = f"""WITH dates AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS dp FROM (SELECT DISTINCT date FROM agg40)),
+    names AS (SELECT * FROM (VALUES {', '.join(f"('{n}', {i})" for i, n in enumerate(NAMES))}) AS n(idx, ip)),
+    grid AS (SELECT date, idx, dp * {len(NAMES)} + ip AS pos FROM dates CROSS JOIN names),
+    dense AS (SELECT p.parcel_id, g.date, g.idx, g.pos, a.value FROM (SELECT DISTINCT parcel_id FROM agg40) p CROSS JOIN grid g
       LEFT JOIN agg40 a ON a.parcel_id = p.parcel_id AND a.date = g.date AND a.idx = g.idx),
     near AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN pos END IGNORE NULLS) OVER b AS p0, last_value(value IGNORE NULLS) OVER b AS v0,
       first_value(CASE WHEN value IS NOT NULL THEN pos END IGNORE NULLS) OVER f AS p1, first_value(value IGNORE NULLS) OVER f AS v1 FROM dense
@@ -119,17 +119,16 @@ INTERLEAVED = """WITH dates AS (SELECT date, row_number() OVER (ORDER BY date) -
       f AS (PARTITION BY parcel_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
     filled AS (SELECT parcel_id, date, idx, CASE WHEN value IS NOT NULL THEN value WHEN p0 IS NULL THEN v1 WHEN p1 IS NULL THEN v0
       ELSE v0 + (v1 - v0) / (p1 - p0) * (pos - p0) END AS value FROM near),
-    wide AS (SELECT parcel_id, date, avg(value) FILTER (idx = 'CLICK') AS "CLICK", avg(value) FILTER (idx = 'VIEW') AS "VIEW" FROM filled GROUP BY ALL),
-    valid AS (SELECT * FROM wide WHERE "CLICK" <> "VIEW"),
-    steps AS (SELECT *, row_number() OVER w - 1 AS pos, lead("CLICK") OVER w AS "nCLICK", lead("VIEW") OVER w AS "nVIEW", lead(dayofyear(date)) OVER w AS nd
+    wide AS (SELECT parcel_id, date, {WIDE_SQL} FROM filled GROUP BY ALL),
+    valid AS (SELECT * FROM wide WHERE greatest({QUOTED}) <> least({QUOTED})),
+    steps AS (SELECT *, row_number() OVER w - 1 AS pos, {', '.join(f'lead("{n}") OVER w AS "n{n}"' for n in NAMES)}, lead(dayofyear(date)) OVER w AS nd
       FROM valid WINDOW w AS (PARTITION BY parcel_id ORDER BY date))
     """
 
 
 def interleaved(spark, sf):
     agg = cells40(spark, sf)
-    own = clean.keep_indices(agg, ["CLICK", "VIEW"])
-    return gapfill.interpolate_interleaved(own, reshape.date_list(agg), ["CLICK", "VIEW"])
+    return gapfill.interpolate_interleaved(agg, reshape.date_list(agg), NAMES)
 
 
 @check("w7_interpolate_interleaved", "agg40", INTERLEAVED + f"SELECT {CELL}, {r6('value', 'value')} FROM filled")
@@ -138,17 +137,17 @@ def _(spark, sf):
 
 
 def valid_steps(spark, sf):
-    return phenology.drop_padding(reshape.pivot_index(interleaved(spark, sf), ["CLICK", "VIEW"]), ["CLICK", "VIEW"])
+    return phenology.drop_padding(reshape.pivot_index(interleaved(spark, sf), NAMES), NAMES)
 
 
-@check("w8_drop_padding", "agg40", INTERLEAVED + f"SELECT parcel_id, cast(date AS varchar) AS date, {r6s('CLICK VIEW')} FROM valid")
+@check("w8_drop_padding", "agg40", INTERLEAVED + f"SELECT parcel_id, cast(date AS varchar) AS date, {r6s(' '.join(NAMES))} FROM valid")
 def _(spark, sf):
     return valid_steps(spark, sf)
 
 
 @check("a10_temporal_summary", "agg40", INTERLEAVED + f"SELECT parcel_id, count(*) AS n_valid_dates, {SUMMARY} FROM steps GROUP BY 1")
 def _(spark, sf):
-    return phenology.temporal_summary(valid_steps(spark, sf), ["CLICK", "VIEW"])
+    return phenology.temporal_summary(valid_steps(spark, sf), NAMES)
 
 
 @check(
@@ -156,16 +155,17 @@ def _(spark, sf):
     "agg40",
     INTERLEAVED
     + "SELECT parcel_id, "
-    + r6('coalesce(sum(0.5 * ("VIEW" + "nVIEW") * (nd - dayofyear(date))), 0)', '"VIEW_auc"')
-    + ", "
-    + r6('arg_max(pos, struct_pack(v := "VIEW", p := -pos)) / greatest(count(*) - 1, 1)', '"VIEW_peak_pos"')
-    + ", "
-    + r6('(arg_max("VIEW", pos) - arg_min("VIEW", pos)) / greatest(count(*) - 1, 1)', '"VIEW_mean_diff"')
+    + ", ".join(
+        f"""{r6(f'coalesce(sum(0.5 * ("{n}" + "n{n}") * (nd - dayofyear(date))), 0)', f'"{n}_auc"')},
+        {r6(f'arg_max(pos, struct_pack(v := "{n}", p := -pos)) / greatest(count(*) - 1, 1)', f'"{n}_peak_pos"')},
+        {r6(f'(arg_max("{n}", pos) - arg_min("{n}", pos)) / greatest(count(*) - 1, 1)', f'"{n}_mean_diff"')}"""
+        for n in NAMES
+    )
     + " FROM steps GROUP BY 1",
 )
 def _(spark, sf):
-    out = phenology.temporal_summary(valid_steps(spark, sf).select("parcel_id", "date", "VIEW"), ["VIEW"])
-    return out.select("parcel_id", "VIEW_auc", "VIEW_peak_pos", "VIEW_mean_diff")
+    out = phenology.temporal_summary(valid_steps(spark, sf), NAMES)
+    return out.select("parcel_id", *[f"{n}_{shape}" for n in NAMES for shape in ("auc", "peak_pos", "mean_diff")])
 
 
 FILLED = """WITH slots AS (SELECT idx, date, row_number() OVER (PARTITION BY idx ORDER BY date) - 1 AS pos FROM (SELECT DISTINCT idx, date FROM agg40)),
@@ -220,12 +220,11 @@ def _(spark, sf):
 @check(
     "a12_index_correlation",
     "agg40",
-    f"""WITH w AS (SELECT parcel_id, date, avg(value) FILTER (idx = 'CLICK') AS "CLICK", avg(value) FILTER (idx = 'VIEW') AS "VIEW" FROM agg40 GROUP BY ALL)
-    SELECT 'CLICK' AS a, 'CLICK' AS b, {r6('corr("CLICK", "CLICK")', 'corr')} FROM w UNION ALL SELECT 'VIEW', 'VIEW', {r6('corr("VIEW", "VIEW")', 'corr')} FROM w
-    UNION ALL SELECT 'CLICK', 'VIEW', {r6('corr("CLICK", "VIEW")', 'corr')} FROM w UNION ALL SELECT 'VIEW', 'CLICK', {r6('corr("CLICK", "VIEW")', 'corr')} FROM w""",
+    f"WITH w AS (SELECT parcel_id, date, {WIDE_SQL} FROM agg40 GROUP BY ALL) "
+    + " UNION ALL ".join(f"""SELECT '{a}' AS a, '{b}' AS b, {r6(f'corr("{a}", "{b}")', 'corr')} FROM w""" for a in NAMES for b in NAMES),
 )
 def _(spark, sf):
-    return aggregate.index_correlation(reshape.pivot_index(cells40(spark, sf), ["CLICK", "VIEW"]), ["CLICK", "VIEW"])
+    return aggregate.index_correlation(reshape.pivot_index(cells40(spark, sf), NAMES), NAMES)
 
 
 @check(
@@ -272,12 +271,12 @@ def _(spark, sf):
 @check(
     "f18_standardise",
     "cells",
-    f"""WITH s AS (SELECT avg("VIEW") AS m, stddev_pop("VIEW") AS d FROM cells WHERE observed AND {SPLIT} = 'train')
-    SELECT parcel_id, t, {r6('CASE WHEN observed THEN ("VIEW" - m) / d ELSE 0 END', '"VIEW"')} FROM cells, s""",
+    f"""WITH s AS (SELECT {', '.join(f'avg("{n}") AS "m{n}", stddev_pop("{n}") AS "d{n}"' for n in NAMES)} FROM cells WHERE observed AND {SPLIT} = 'train')
+    SELECT parcel_id, t, {', '.join(r6(f'CASE WHEN observed THEN ("{n}" - "m{n}") / "d{n}" ELSE 0 END', f'"{n}"') for n in NAMES)} FROM cells, s""",
 )
 def _(spark, sf):
     rows = split_cells(spark, sf)
-    return scaling.apply_scaler(rows, scaling.fit_masked_scaler(rows, ["VIEW"])).select("parcel_id", "t", "VIEW")
+    return scaling.apply_scaler(rows, scaling.fit_masked_scaler(rows, NAMES)).select("parcel_id", "t", *NAMES)
 
 
 @check(
@@ -329,11 +328,13 @@ def _(spark, sf):
 @check(
     "w12_observed_mask",
     "agg40",
-    """SELECT parcel_id, cast(date AS varchar) AS date, count(*) FILTER (idx IN ('CLICK', 'VIEW')) > 0 AS observed FROM agg40 GROUP BY parcel_id, agg40.date""",
+    """SELECT p.parcel_id, cast(d.date AS varchar) AS date, count(a.value) > 0 AS observed FROM (SELECT DISTINCT parcel_id FROM agg40) p
+    CROSS JOIN (SELECT DISTINCT date FROM agg40) d LEFT JOIN agg40 a ON a.parcel_id = p.parcel_id AND a.date = d.date GROUP BY p.parcel_id, d.date""",
 )
 def _(spark, sf):
-    wide = reshape.pivot_index(cells40(spark, sf), ["CLICK", "VIEW"])
-    return wide.select("parcel_id", "date", timegrid.observed(["CLICK", "VIEW"]).alias("observed"))
+    agg = cells40(spark, sf)
+    wide = joins.densify(reshape.pivot_index(agg, NAMES), reshape.date_list(agg))
+    return wide.select("parcel_id", "date", timegrid.observed(NAMES).alias("observed"))
 
 
 @check(
@@ -484,11 +485,11 @@ def _(spark, sf):
     "f32_masked_pool",
     "cells",
     f"""WITH q AS (SELECT *, observed::int * greatest(1 - cloud_scene / 100, 0.05::DOUBLE) AS w FROM cells)
-    SELECT parcel_id, {r6('sum("CLICK" * w) / greatest(sum(w), 1)', '"CLICK"')}, {r6('sum("VIEW" * w) / greatest(sum(w), 1)', '"VIEW"')} FROM q GROUP BY 1""",
+    SELECT parcel_id, {', '.join(r6(f'sum("{n}" * w) / greatest(sum(w), 1)', f'"{n}"') for n in NAMES)} FROM q GROUP BY 1""",
 )
 def _(spark, sf):
     rows = dense(spark, sf).withColumn("r", 1.0 - F.col("cloud_scene") / 100.0)
-    return timegrid.masked_pool(rows, ["CLICK", "VIEW"], "r")
+    return timegrid.masked_pool(rows, NAMES, "r")
 
 
 @check(
@@ -511,10 +512,10 @@ def _(spark, sf):
 @check(
     "a21_temporal_importance",
     "cells",
-    f"""SELECT cast(date AS varchar) AS date, dayofyear(date) AS doy, {r6('sum("VIEW" * observed::int) / greatest(sum(observed::int), 1e-6)', 'mean_score')} FROM cells GROUP BY cells.date""",
+    f"""SELECT cast(date AS varchar) AS date, dayofyear(date) AS doy, {r6(f"sum(({' + '.join(QUOTED.split(', '))}) * observed::int) / greatest(sum(observed::int), 1e-6)", 'mean_score')} FROM cells GROUP BY cells.date""",
 )
 def _(spark, sf):
-    return importance.temporal_importance(dense(spark, sf).withColumn("score", F.col("VIEW")))
+    return importance.temporal_importance(dense(spark, sf).withColumn("score", sum((F.col(n) for n in NAMES[1:]), F.col(NAMES[0]))))
 
 
 @check("t3_top_features", "obs", f"SELECT * FROM (SELECT concat(idx, '__', cast(date AS varchar)) AS feature, {r6('avg(value_mean)', 'importance')} FROM obs GROUP BY 1) ORDER BY importance DESC, feature LIMIT 15")

@@ -37,10 +37,10 @@ for _name, _sql in INDEX_SQL.items():
         return v.pixels(spark, sf).select("tile", "date", "parcel_id", "row_no", "col_no", all_indices()[name].alias("value"))
 
 
-@check("p15_mask_pixels", "pixels", f"SELECT {PIXEL}, {HIDDEN} AS hidden, {r6(f'CASE WHEN {HIDDEN} THEN NULL ELSE ' + INDEX_SQL['NDVI'] + ' END', 'ndvi')} FROM pixels")
+@check("p15_mask_pixels", "pixels", f"SELECT {PIXEL}, {HIDDEN} AS hidden, " + ", ".join(r6(f"CASE WHEN {HIDDEN} THEN NULL ELSE {e} END", n.lower()) for n, e in INDEX_SQL.items()) + " FROM pixels")
 def _(spark, sf):
-    rows = raster.masked_indices(v.pixels(spark, sf), ["NDVI"])
-    return rows.select("tile", "date", "parcel_id", "row_no", "col_no", hidden().alias("hidden"), F.col("NDVI").alias("ndvi"))
+    rows = raster.masked_indices(v.pixels(spark, sf), list(INDEX_SQL))
+    return rows.select("tile", "date", "parcel_id", "row_no", "col_no", hidden().alias("hidden"), *[F.col(n).alias(n.lower()) for n in INDEX_SQL])
 
 
 ZONAL = "WITH m AS (SELECT *, " + ", ".join(f'CASE WHEN {HIDDEN} THEN NULL ELSE {e} END AS "{n}"' for n, e in INDEX_SQL.items()) + " FROM pixels) "
@@ -62,14 +62,14 @@ def _(spark, sf):
     "a4_zonal_stats_expected",
     "pixels",
     ZONAL
-    + f"""SELECT e.tile, cast(e.date AS varchar) AS date, e.parcel_id, {r6('z.a', 'ndvi_mean')}, coalesce(z.c, 0) AS ndvi_count
+    + f"""SELECT e.tile, cast(e.date AS varchar) AS date, e.parcel_id, {', '.join(f"""{r6(f'z."a{n}"', n.lower() + '_mean')}, coalesce(z."c{n}", 0) AS {n.lower()}_count""" for n in INDEX_SQL)}
     FROM (SELECT DISTINCT tile, date, parcel_id + 1 AS parcel_id FROM pixels) e LEFT JOIN
-    (SELECT tile, date, parcel_id, avg("NDVI") AS a, count("NDVI") AS c FROM m GROUP BY ALL) z USING (tile, date, parcel_id)""",
+    (SELECT tile, date, parcel_id, {', '.join(f'avg("{n}") AS "a{n}", count("{n}") AS "c{n}"' for n in INDEX_SQL)} FROM m GROUP BY ALL) z USING (tile, date, parcel_id)""",
 )
 def _(spark, sf):
     px = v.pixels(spark, sf)
     expected = px.select("tile", "date", (F.col("parcel_id") + 1).alias("parcel_id")).distinct()
-    return raster.zonal_stats(raster.masked_indices(px, ["NDVI"]), ["NDVI"], expected=expected)
+    return raster.zonal_stats(raster.masked_indices(px), expected=expected)
 
 
 LONG = " UNION ALL ".join(
@@ -84,12 +84,12 @@ LONG = " UNION ALL ".join(
     ZONAL
     + " UNION ALL ".join(
         f"""SELECT tile, cast(date AS varchar) AS date, parcel_id, '{n}' AS idx, {r6(f'avg("{n}")', 'value_mean')}, count("{n}") AS px_count FROM m GROUP BY tile, m.date, parcel_id"""
-        for n in ("NDVI", "BSI")
+        for n in INDEX_SQL
     ),
 )
 def _(spark, sf):
-    zones = raster.zonal_stats(raster.masked_indices(v.pixels(spark, sf), ["NDVI", "BSI"]), ["NDVI", "BSI"])
-    return reshape.unpivot_zonal(zones, ["NDVI", "BSI"], ["tile", "date", "parcel_id"])
+    zones = raster.zonal_stats(raster.masked_indices(v.pixels(spark, sf)))
+    return reshape.unpivot_zonal(zones, list(INDEX_SQL), ["tile", "date", "parcel_id"])
 
 
 @check(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from furrow.checks import views as v
-from furrow.checks.cleaning import dense
+from furrow.checks.cleaning import NAMES, dense
 from furrow.checks.registry import check
 from furrow.checks.views import r6
 from furrow.functions import draws
@@ -271,19 +271,27 @@ def _(spark, sf):
     "cells",
     f"""WITH r AS (SELECT *, count(*) FILTER (observed) OVER (PARTITION BY parcel_id) AS n, row_number() OVER (PARTITION BY parcel_id, observed ORDER BY md5(parcel_id || '|' || t || '|42'), t) AS rn FROM cells),
     h AS (SELECT *, observed AND rn <= greatest(1, least(n, round_even(n * 0.3::DOUBLE, 0))) AS hit FROM r)
-    SELECT parcel_id, t, observed AND NOT hit AS observed, {r6('CASE WHEN hit THEN 0 ELSE "VIEW" END', '"VIEW"')} FROM h""",
+    SELECT parcel_id, t, observed AND NOT hit AS observed, {', '.join(r6(f'CASE WHEN hit THEN 0 ELSE "{n}" END', f'"{n}"') for n in NAMES)} FROM h""",
 )
 def _(spark, sf):
-    return sampling.mask_time_steps(dense(spark, sf), ["VIEW"], 0.3).select("parcel_id", "t", "observed", "VIEW")
+    return sampling.mask_time_steps(dense(spark, sf), NAMES, 0.3).select("parcel_id", "t", "observed", *NAMES)
+
+
+STEP = "parcel_id || '|' || t"
 
 
 @check(
     "x11_jitter",
     "cells",
-    f"""SELECT parcel_id, t, {r6(f'''CASE WHEN observed THEN "VIEW" + 0.1 * sqrt(-2 * ln(1 - {unit("parcel_id || '|' || t", '42VIEWa')})) * cos(2 * pi() * {unit("parcel_id || '|' || t", '42VIEWb')}) ELSE "VIEW" END''', '"VIEW"')} FROM cells""",
+    "SELECT parcel_id, t, "
+    + ", ".join(
+        r6(f"""CASE WHEN observed THEN "{n}" + 0.1 * sqrt(-2 * ln(1 - {unit(STEP, f'42{n}a')})) * cos(2 * pi() * {unit(STEP, f'42{n}b')}) ELSE "{n}" END""", f'"{n}"')
+        for n in NAMES
+    )
+    + " FROM cells",
 )
 def _(spark, sf):
-    return sampling.jitter(dense(spark, sf), ["VIEW"], 0.1).select("parcel_id", "t", "VIEW")
+    return sampling.jitter(dense(spark, sf), NAMES, 0.1).select("parcel_id", "t", *NAMES)
 
 
 SSL = f"""WITH u AS (SELECT *, {unit("parcel_id || '|' || t", '42')} AS u FROM cells),
@@ -300,23 +308,25 @@ def _(spark, sf):
     "x12_apply_ssl_mask",
     "cells",
     f"""{SSL}, q AS (SELECT *, observed AND NOT masked AS seen, least(greatest(cloud_scene / 100, 0), 1) AS c, least(greatest(ln(1 + greatest(px_count, 0)) / ln(257), 0), 1) AS p FROM mk)
-    SELECT parcel_id, t, seen AS observed, {r6('CASE WHEN masked THEN 0 ELSE "VIEW" END', '"VIEW"')}, {r6('CASE WHEN seen THEN (1 - c) * sqrt(p) ELSE 0 END', 'reliability')},
+    SELECT parcel_id, t, seen AS observed, {', '.join(r6(f'CASE WHEN masked THEN 0 ELSE "{n}" END', f'"{n}"') for n in NAMES)}, {r6('CASE WHEN seen THEN (1 - c) * sqrt(p) ELSE 0 END', 'reliability')},
     {r6('CASE WHEN seen THEN c ELSE 1 END', 'cloud_norm')}, {r6('CASE WHEN seen THEN p ELSE 0 END', 'px_norm')} FROM q""",
 )
 def _(spark, sf):
     q = quality_struct(F.col("observed"), F.col("cloud_scene"), F.col("px_count"))
-    rows = dense(spark, sf).withColumn("q", q).select("parcel_id", "t", "observed", "VIEW", "q.*")
-    return sampling.apply_ssl_mask(sampling.ssl_mask(rows, 0.1), ["VIEW"]).drop("masked")
+    rows = dense(spark, sf).withColumn("q", q).select("parcel_id", "t", "observed", *NAMES, "q.*")
+    return sampling.apply_ssl_mask(sampling.ssl_mask(rows, 0.1), NAMES).drop("masked")
 
 
 @check(
     "a24_reconstruction_error",
     "cells",
-    f"""{SSL} SELECT {r6('avg(("VIEW" * 0.1) * ("VIEW" * 0.1))', 'loss')}, {r6('avg(abs("VIEW" * 0.1))', 'mae')}, {r6('sqrt(avg(("VIEW" * 0.1) * ("VIEW" * 0.1)))', 'rmse')}, count(*) AS masked_tokens FROM mk WHERE masked""",
+    f"""{SSL}, e AS (SELECT parcel_id, t, unnest([{', '.join(f'"{n}"' for n in NAMES)}]) * 0.1 AS gap FROM mk WHERE masked)
+    SELECT {r6('avg(gap * gap)', 'loss')}, {r6('avg(abs(gap))', 'mae')}, {r6('sqrt(avg(gap * gap))', 'rmse')}, count(DISTINCT (parcel_id, t)) AS masked_tokens FROM e""",
 )
 def _(spark, sf):
     rows = sampling.ssl_mask(dense(spark, sf), 0.1)
-    return aggregate.reconstruction_error(rows.select("parcel_id", "t", "masked", F.col("VIEW").alias("target"), (F.col("VIEW") * 0.9).alias("predicted")))
+    cells = rows.select("parcel_id", "t", "masked", F.explode(F.array(*NAMES)).alias("target"))
+    return aggregate.reconstruction_error(cells.withColumn("predicted", F.col("target") * 0.9))
 
 
 @check("draw_uniform", "obs", f"SELECT event_id, {r6(unit('event_id', '42'), 'u')} FROM events")
