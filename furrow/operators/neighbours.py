@@ -1,31 +1,40 @@
 """Nearest neighbours without a big group anywhere.
 
-Exact: points are assigned to the nearest of a few pivots, which are drawn from all groups together, so their number doesn't
-grow with the data. Distances between pivots and the extent of each cell bound how far a neighbour can be, so a point is compared only
-in the cells it can matter to. Pivots decide the amount of work, never the result.
+Exact: points are packed into blocks around a few pivots, which are drawn from all groups together. Every block of queries goes through
+every block of points of its group by a plain product of the two stored tables, so nothing is copied to other tasks. A query's k-th
+distance so far tells what can still be nearer: whole blocks by their centre and radius, single points by one matrix product in single precision
+with room for its rounding; only what is left is measured exactly. Pivots decide the amount of work, never the result.
 
 Buckets: every point falls into one bucket of each of several tables, by the signs of hashed projections; only
-points that share a bucket are compared. The result is approximate and costs less than all pairs whatever the vectors.
+points that share a bucket are compared. The result is approximate and costs less than all pairs whatever the vectors. A bucket is cut
+into blocks of limited size, and a pair of blocks is one matrix product.
 
-Either way a cell or bucket is cut into blocks of limited size, a pair of blocks is one matrix product, and returns
-only the nearest rows of each query, which are merged by key.
+Either way a pair of blocks returns only the nearest rows of each query, which are merged by key.
 """
 
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.functions.draws import draw_key
-from furrow.session import cut_lineage
+from furrow.session import cut_lineage, discard, small_batches, small_side
 
 MAX_PIVOTS = 64
-BLOCK_ROWS = 2_000
+BLOCK_ROWS = 4_000
+#: Queries of a block that are compared at once, and pairs that are measured at once.
+QUERY_ROWS, MEASURED = 500, 100_000
+#: Blocks of points in a task at least, where there are so many.
+POINT_BLOCKS = 64
+#: Pairs of blocks handed over at once.
+PAIRS_TOGETHER = 4
 #: Of the bucket index: more tables find more, more bits compare less.
 TABLES, BITS = 12, 3
 # Slack on every bound, so that rounding never prunes a neighbour.
@@ -45,8 +54,9 @@ def _distances(point: np.ndarray, to: np.ndarray) -> np.ndarray:
 
 
 def _pivots(points: DataFrame, seed) -> np.ndarray:
-    """``MAX_PIVOTS`` random points, whatever their group."""
-    drawn = points.select(draw_key(seed, "key").alias("_h"), "key", "vec").orderBy("_h", "key").limit(MAX_PIVOTS)
+    """Up to ``MAX_PIVOTS`` random points, whatever their group; fewer where a few blocks hold all."""
+    n = max(1, min(MAX_PIVOTS, points.count() // BLOCK_ROWS))
+    drawn = points.select(draw_key(seed, "key").alias("_h"), "key", "vec").orderBy("_h", "key").limit(n)
     return np.array([r["vec"] for r in drawn.collect()], dtype=float)
 
 
@@ -68,47 +78,133 @@ def _assign(points: DataFrame, pivots: np.ndarray) -> DataFrame:
     return points.withColumn("_a", nearest("vec")).select("*", "_a.*").drop("_a")
 
 
-def _reach(cells: DataFrame, pivots: np.ndarray, k: int) -> DataFrame:
-    """(g, cell, at, low, high): points of ``cell`` this far from their pivot can matter to queries of cell ``at``.
+def _packed(every: DataFrame, seed) -> tuple[DataFrame, DataFrame]:
+    """The points with their cell, and blocks of them: rows (g, alone, block, keys and values of its points and of its queries).
 
-    A group has one row for each pivot here, so the bounds of a group are worked out in one place, and no group's anywhere else.
+    ``alone`` marks blocks that hold all of a group.
     """
-    nearest = Window.partitionBy("g", "cell").orderBy("d", "key")
-    few = cells.withColumn("_rn", F.row_number().over(nearest)).where(F.col("_rn") <= k)
-    lists = few.groupBy("g", "cell").agg(F.array_sort(F.collect_list("d")).alias("near"))
-    extents = cells.where("is_query").groupBy("g", "cell").agg(F.max("d").alias("far"))
-    between = np.stack([_distances(x, pivots) for x in pivots]) if len(pivots) else np.zeros((0, 0))
-
-    def bounds(rows: pd.DataFrame) -> pd.DataFrame:
-        near = np.full((len(between), k), np.inf)
-        for cell, d in zip(rows["cell"], rows["near"]):
-            near[cell, : len(d)] = d
-        held = np.sort(rows["cell"].to_numpy())
-        out = []
-        for i, far in zip(rows["cell"], rows["far"]):
-            if np.isnan(far):
-                continue
-            # No query of cell i has its k-th neighbour farther than this.
-            limit = np.partition((between[i][:, None] + near).ravel(), k - 1)[k - 1] + far
-            slack = SLACK * (1.0 + between[i] + far)
-            low, high = between[i] - far - limit - slack, between[i] + far + limit + slack
-            out.append(pd.DataFrame({"cell": held, "at": i, "low": low[held], "high": high[held]}))
-        return pd.concat(out).assign(g=rows["g"].iloc[0]) if out else pd.DataFrame(columns=["cell", "at", "low", "high", "g"])
-
-    stats = lists.join(extents, ["g", "cell"], "left").select("g", "cell", "near", F.coalesce("far", F.lit(float("nan"))).alias("far"))
-    return stats.groupBy("g").applyInPandas(bounds, "cell int, at int, low double, high double, g string")
-
-
-def _cells(every: DataFrame, k: int, seed) -> tuple[DataFrame, DataFrame]:
-    """Queries in their own cells and points in all cells they can matter to, as ``at``."""
-    pivots = _pivots(every, seed)
-    # Read several times, and Python work went into it: keep it.
-    cells = cut_lineage(_assign(every, pivots))
-    queries = cells.where("is_query").withColumn("at", F.col("cell").cast("long"))
-    reach = _reach(cells, pivots, k + 1)
-    other = reach.select(F.col("g").alias("_g"), F.col("cell").alias("_cell"), "low", "high", F.col("at").cast("long").alias("at"))
-    matters = (F.col("g") == F.col("_g")) & (F.col("cell") == F.col("_cell")) & F.col("d").between(F.col("low"), F.col("high"))
-    return queries, cut_lineage(cells.join(other, matters).select("g", "at", "key", "vec"))
+    stored = cut_lineage(every)
+    cells = cut_lineage(_assign(stored, _pivots(stored, seed)).select("g", "key", "vec", "is_query", "cell"))
+    discard(stored)
+    sizes = cells.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("n")).withColumn("_all", F.sum("n").over(Window.partitionBy("g")))
+    sizes = small_side(sizes.select("g", "cell", (F.col("_all") <= BLOCK_ROWS).alias("alone"), F.ceil(F.col("n") / BLOCK_ROWS).alias("lots")))
+    dealt = cells.join(sizes, ["g", "cell"]).select(
+        "g", "alone", F.when(F.col("alone"), 0).otherwise(F.col("cell")).alias("cell"), F.when(F.col("alone"), 0).otherwise(F.pmod(F.xxhash64("key"), F.col("lots"))).alias("lot"), "key", "vec", "is_query"
+    )
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        x, keys, asked = _stack(rows["vec"]), rows["key"].to_numpy(object), rows["is_query"].to_numpy(bool)
+        first = rows.iloc[0]
+        return pd.DataFrame({
+            "g": [first["g"]], "alone": [first["alone"]], "block": [f"{first['cell']},{first['lot']},{first['g']}"],
+            "q_keys": [keys[asked].tolist()], "q_vecs": [x[asked].tobytes()], "p_keys": [keys.tolist()], "p_vecs": [x.tobytes()],
+        })
+
+    packed = dealt.groupBy("g", "alone", "cell", "lot").applyInPandas(pack, "g string, alone boolean, block string, q_keys array<string>, q_vecs binary, p_keys array<string>, p_vecs binary")
+    return cells, cut_lineage(packed)
+
+
+class _Nearest:
+    """The k nearest points so far of the queries of a block; ties go to the smaller key."""
+
+    def __init__(self, keys: np.ndarray, q: np.ndarray, k: int):
+        self.keys, self.q, self.k = keys, q, k
+        self.centre = q.mean(axis=0)
+        self.radius = _distances(self.centre, q).max()
+        self.limit = np.full(len(q), np.inf)
+        self.at, self.names, self.distance = np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0)
+
+    def see(self, keys: np.ndarray, p: np.ndarray) -> None:
+        centre = p.mean(axis=0)
+        apart, radius = _distances(self.centre, centre[None, :])[0], _distances(centre, p).max()
+        if apart - self.radius - radius > self.limit.max() + SLACK * (1.0 + apart + self.radius + radius):
+            return
+        own = {name: j for j, name in enumerate(keys)}
+        own = np.array([own.get(name, -1) for name in self.keys])
+        # Around the block's centre, so that values far from the origin lose nothing. The last column adds the points' own squares.
+        point = p - centre
+        squares = np.einsum("ij,ij->i", point, point)
+        right = np.concatenate([point, squares[:, None]], axis=1).astype(np.float32).T
+        far = np.sqrt(squares.max())
+        found = []
+        for start in range(0, len(self.q), QUERY_ROWS):
+            part = slice(start, start + QUERY_ROWS)
+            query = self.q[part] - centre
+            qq = np.einsum("ij,ij->i", query, query)
+            near = np.concatenate([-2.0 * query, np.ones((len(query), 1))], axis=1).astype(np.float32) @ right
+            # Single precision: an error for each product and sum, of values up to this size.
+            room = 2.4e-7 * (p.shape[1] + 8) * (np.sqrt(qq) + far) ** 2
+            itself = np.flatnonzero(own[part] >= 0)
+            near[itself, own[part][itself]] = np.inf
+            limit = self.limit[part] ** 2 - qq + room
+            fresh = np.flatnonzero(~np.isfinite(limit))
+            if len(fresh):
+                limit[fresh] = np.inf if near.shape[1] <= self.k else np.partition(near[fresh], self.k - 1, axis=1)[:, self.k - 1] + 2 * room[fresh]
+            # Rounded up: the comparison is in single precision.
+            bound = np.nextafter(limit.astype(np.float32), np.float32(np.inf))
+            close = near <= bound[:, None]
+            close[itself, own[part][itself]] = False
+            i, j = np.nonzero(close)
+            for cut in range(0, len(i), MEASURED):
+                ii, jj = i[cut : cut + MEASURED] + start, j[cut : cut + MEASURED]
+                gap = p[jj] - self.q[ii]
+                distance = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+                kept = distance <= self.limit[ii]
+                found.append((ii[kept], jj[kept], distance[kept]))
+        if found:
+            at, j, distance = (np.concatenate(x) for x in zip(*found))
+            self._merge(at, keys[j], distance)
+
+    def _merge(self, at: np.ndarray, names: np.ndarray, distance: np.ndarray) -> None:
+        touched = np.zeros(len(self.q), bool)
+        touched[at] = True
+        old = touched[self.at]
+        at, names, distance = np.concatenate([at, self.at[old]]), np.concatenate([names, self.names[old]]), np.concatenate([distance, self.distance[old]])
+        rank = np.unique(names.astype(str), return_inverse=True)[1] if len(names) else np.zeros(0, int)
+        order = np.lexsort((rank, distance, at))
+        at, names, distance = at[order], names[order], distance[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        full = place == self.k - 1
+        self.limit[at[full]] = distance[full]
+        kept = place < self.k
+        self.at, self.names, self.distance = (np.concatenate([a[~old], b[kept]]) for a, b in ((self.at, at), (self.names, names), (self.distance, distance)))
+
+    def rows(self) -> pa.RecordBatch:
+        columns = [pa.array(self.keys[self.at], pa.string()), pa.array(self.names, pa.string()), pa.array(self.distance, pa.float64())]
+        return pa.RecordBatch.from_arrays(columns, names=["key", "neighbour", "distance"])
+
+
+def _product(blocks: DataFrame, k: int) -> DataFrame:
+    """(key, neighbour, distance): for every query its nearest points of each task that its block met."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, state = None, None
+        for b in batches:
+            for r in range(b.num_rows):
+                at = b.column("block")[r].as_py()
+                if at != block:
+                    if state:
+                        yield state.rows()
+                    keys = np.array(b.column("q_keys")[r].as_py(), object)
+                    block, state = at, _Nearest(keys, np.frombuffer(b.column("q_vecs")[r].as_buffer()).reshape(len(keys), -1), k)
+                names = np.array(b.column("p_keys")[r].as_py(), object)
+                state.see(names, np.frombuffer(b.column("p_vecs")[r].as_buffer()).reshape(len(names), -1))
+        if state:
+            yield state.rows()
+
+    n = blocks.where("not alone").count()
+    cores = blocks.sparkSession.sparkContext.defaultParallelism
+    queries = blocks.where(F.size("q_keys") > 0).select("g", "alone", "block", "q_keys", "q_vecs")
+    points = blocks.select(F.col("g").alias("_g"), F.col("alone").alias("_alone"), "p_keys", "p_vecs")
+    small = queries.where("alone").join(points.where("_alone"), F.col("g") == F.col("_g"))
+    # Each side is read where it lies; the condition is no equality, so groups are not dealt out by name.
+    left = queries.where("not alone").repartition(max(1, min(n, 4 * cores)))
+    right = points.where("not _alone").repartition(max(1, n // POINT_BLOCKS)).hint("shuffle_replicate_nl")
+    large = left.join(right, (F.col("g") <= F.col("_g")) & (F.col("g") >= F.col("_g")))
+    columns = ["block", "q_keys", "q_vecs", "p_keys", "p_vecs"]
+    out = small.select(*columns).unionByName(large.select(*columns)) if n else small.select(*columns)
+    with small_batches(blocks.sparkSession, PAIRS_TOGETHER):
+        return cut_lineage(out.mapInArrow(compare, "key string, neighbour string, distance double"))
 
 
 def _buckets(every: DataFrame, seed, tables: int, bits: int) -> tuple[DataFrame, DataFrame]:
@@ -171,6 +267,23 @@ def closest(names: np.ndarray, q: np.ndarray, keys: np.ndarray, p: np.ndarray, k
     return i[kept], keys[j[kept]], distance[kept]
 
 
+def _compared(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """(key, neighbour, distance) of the k nearest points in all blocks that share a bucket."""
+
+    def compare(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(p):
+            return pd.DataFrame(columns=["key", "neighbour", "distance"])
+        names = q["key"].to_numpy(object)
+        i, neighbour, distance = closest(names, _stack(q["vec"]), p["key"].to_numpy(object), _stack(p["vec"]), k)
+        return pd.DataFrame({"key": names[i], "neighbour": neighbour, "distance": distance})
+
+    ids = ["g", "at", "qb", "pb"]
+    # Both sides stem from one table: fresh column identities keep the cogroup unambiguous.
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
+    found = left.groupBy(*ids).cogroup(right.groupBy(*ids)).applyInPandas(compare, "key string, neighbour string, distance double")
+    return found.groupBy("key", "neighbour").agg(F.min("distance").alias("distance"))  # met in several tables
+
+
 def nearest_neighbours(points: DataFrame, queries: DataFrame, k: int, by: str | None = None, key: str = "parcel_id", vec: str = "vec", seed: int = 42, method: str = "exact", tables: int = TABLES, bits: int = BITS) -> DataFrame:
     """The k nearest other points of each query, within its ``by`` group if given.
 
@@ -190,21 +303,13 @@ def nearest_neighbours(points: DataFrame, queries: DataFrame, k: int, by: str |
     copies = Window.partitionBy("g", "vec").orderBy("key")
     few = every.withColumn("_c", F.row_number().over(copies)).where(F.col("_c") <= k + 1).drop("_c")
     flagged = few.join(asked.select("key", F.lit(True).alias("is_query")), "key", "left").withColumn("is_query", F.coalesce("is_query", F.lit(False)))
-    left, right = _blocks(*(_cells(flagged, k, seed) if method == "exact" else _buckets(flagged, seed, tables, bits)))
-
-    def compare(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(p):
-            return pd.DataFrame(columns=["key", "neighbour", "distance"])
-        names = q["key"].to_numpy(object)
-        i, neighbour, distance = closest(names, _stack(q["vec"]), p["key"].to_numpy(object), _stack(p["vec"]), k)
-        return pd.DataFrame({"key": names[i], "neighbour": neighbour, "distance": distance})
-
-    ids = ["g", "at", "qb", "pb"]
-    # Both sides stem from one table: fresh column identities keep the cogroup unambiguous.
-    right = right.select(*[F.col(c).alias(c) for c in right.columns])
-    found = left.groupBy(*ids).cogroup(right.groupBy(*ids)).applyInPandas(compare, "key string, neighbour string, distance double")
-    if method == "buckets":
-        found = found.groupBy("key", "neighbour").agg(F.min("distance").alias("distance"))  # met in several tables
+    if method == "exact":
+        few, blocks = _packed(flagged, seed)
+        found = _product(blocks, k)
+        discard(blocks)
+    else:
+        left, right = _blocks(*_buckets(flagged, seed, tables, bits))
+        found = _compared(left, right, k)
 
     # Queries beyond the first k + 1 copies of a point: the first k copies are their neighbours.
     heads = few.groupBy("g", "vec").agg(F.slice(F.array_sort(F.collect_list("key")), 1, k).alias("_n"))

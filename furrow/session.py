@@ -63,6 +63,18 @@ def ending_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within this block Python gets so many rows at a time: for rows that hold whole blocks of a table."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut_lineage(df: DataFrame, label: str = "furrow") -> DataFrame:
     """Write to the shared folder and read back: a lost executor restarts from there, and later steps read only their columns."""
     path = scratch_path(df.sparkSession, label)

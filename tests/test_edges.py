@@ -404,3 +404,30 @@ def test_lines_of_the_wrong_length_are_named(spark, tmp_path):
     path = tmp_path / "rows.csv"
     path.write_text("a,b,c\n1,2,3\n4,5\n6,7,8,9\n,,\n")
     assert sorted(r["line"] for r in bad_lines(spark, str(path)).collect()) == ["4,5", "6,7,8,9"]
+
+
+def test_points_are_packed_once_and_many_blocks_meet(spark, monkeypatch):
+    """Groups of one block and of many, far from the origin, equal distances: as by comparing all pairs, and each point is stored once."""
+    import numpy as np
+
+    from furrow.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 30)
+    monkeypatch.setattr(neighbours, "QUERY_ROWS", 7)
+    monkeypatch.setattr(neighbours, "MEASURED", 11)
+    packed = []
+    monkeypatch.setattr(neighbours, "_product", lambda blocks, k, real=neighbours._product: packed.append(blocks.collect()) or real(blocks, k))
+    rng = np.random.default_rng(8)
+    x = np.where(np.arange(500)[:, None] % 2 == 0, rng.integers(0, 6, (500, 4)), rng.normal(size=(500, 4)) + 1e5).astype(float)
+    group = ["big" if i < 460 else f"g{i % 7}" for i in range(500)]
+    points = spark.createDataFrame([(f"{i:03d}", group[i], [float(v) for v in x[i]]) for i in range(500)], "parcel_id string, label string, vec array<double>")
+    for by in (None, "label"):
+        asked = [i for i in range(500) if i % 3]
+        got = {(r["parcel_id"], r["rank"]): (r["neighbour"], r["distance"]) for r in nearest_neighbours(points, points.where("cast(parcel_id as int) % 3 > 0"), 4, by).collect()}
+        for i in asked:
+            d = np.sqrt(((x - x[i]) ** 2).sum(1))
+            others = sorted((d[j], f"{j:03d}") for j in range(500) if j != i and (by is None or group[j] == group[i]))[:4]
+            assert [got.get((f"{i:03d}", k + 1)) for k in range(len(others))] == [(o, pytest.approx(dist)) for dist, o in others]
+    for blocks in packed:
+        keys = [key for b in blocks for key in b["p_keys"]]
+        assert len(keys) == len(set(keys)) and max(len(b["p_keys"]) for b in blocks) < 4 * 30 and len(blocks) > 8
