@@ -53,6 +53,21 @@ def test_exact_tree_equals_trying_every_cut(spark, monkeypatch, ranges):
     assert sum(tree.importances().values()) == pytest.approx(1.0)
 
 
+def test_exact_tree_over_many_ranges_and_copies(spark, monkeypatch):
+    """Ranges of a few rows, half of the rows copies of one, a column with a dot in its name."""
+    monkeypatch.setattr(exact_tree, "RANGE_ROWS", 6)
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(size=(120, 2)), 1)
+    x[::2] = [0.0, -0.0]
+    y = ["ab"[int(v + rng.normal() * 0.4 > 0.1)] for v in x[:, 1]]
+    df = spark.createDataFrame([(str(i), y[i], *map(float, x[i])) for i in range(120)], "parcel_id string, label_id string, `f.0` double, f1 double").repartition(5)
+    tree = exact_tree.fit_exact_tree(df, ["f.0", "f1"], depth=4, min_rows=2)
+    want = [(n, k, f and {"f0": "f.0"}.get(f, f)) for n, k, f, _ in plain_tree(x, y, ["a", "b"], 4, 2)]
+    assert [(n.node, n.n, n.feature) for n in tree.nodes] == sorted(want, key=lambda w: w[0])
+    leaves = tree.transform(df).groupBy("leaf").count().collect()
+    assert {r["leaf"]: r["count"] for r in leaves} == {n.node: n.n for n in tree.nodes if n.feature is None}
+
+
 def test_exact_tree_without_a_cut(spark):
     same = spark.createDataFrame([("1", 0, 1.0), ("2", 1, 1.0), ("3", 1, None)], "parcel_id string, label_id int, x double")
     tree = exact_tree.fit_exact_tree(same, ["x"])
