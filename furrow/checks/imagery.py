@@ -55,7 +55,7 @@ ZONAL = "WITH m AS (SELECT *, " + ", ".join(f'CASE WHEN {HIDDEN} THEN NULL ELSE
     + " FROM m GROUP BY tile, m.date, parcel_id",
 )
 def _(spark, sf):
-    return raster.zonal_stats(raster.masked_indices(v.pixels(spark, sf)))
+    return raster.zonal_indices(v.pixels(spark, sf))
 
 
 @check(
@@ -69,7 +69,7 @@ def _(spark, sf):
 def _(spark, sf):
     px = v.pixels(spark, sf)
     expected = px.select("tile", "date", (F.col("parcel_id") + 1).alias("parcel_id")).distinct()
-    return raster.zonal_stats(raster.masked_indices(px), expected=expected)
+    return raster.zonal_indices(px, expected=expected)
 
 
 LONG = " UNION ALL ".join(
@@ -88,7 +88,7 @@ LONG = " UNION ALL ".join(
     ),
 )
 def _(spark, sf):
-    zones = raster.zonal_stats(raster.masked_indices(v.pixels(spark, sf)))
+    zones = raster.zonal_indices(v.pixels(spark, sf))
     return reshape.unpivot_zonal(zones, list(INDEX_SQL), ["tile", "date", "parcel_id"])
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from furrow.config import INDEX_NAMES, SCENE_MIN_PX, TOP_K_PER_WINDOW, WINDOW_DAYS
 from furrow.operators.clean import drop_missing, keep_indices, max_cloud, min_class_count, min_px
 from furrow.operators.joins import attach_group, attach_label
-from furrow.operators.raster import masked_indices, min_zone_px, zonal_stats
+from furrow.operators.raster import min_zone_px, zonal_indices
 from furrow.operators.reshape import unpivot_zonal
 from furrow.operators.scenes import require_assets, search_scenes, select_scenes
 from furrow.operators.spatial import scene_coverage
@@ -32,12 +32,12 @@ def observe_parcels(pixels: DataFrame, scenes: DataFrame, indices: Iterable[str]
     """Long observations of the picked scenes.
 
     The scene table, if it is as small as a catalogue selection should be, prunes the pixel scan
-    by (tile, date) without moving a pixel; the zonal aggregation combines map-side, and
+    by (tile, date) without moving a pixel; the zonal aggregation shuffles pixels or sums, and
     everything after it works on one row per parcel and scene.
     """
     indices = list(indices)
     picked = small_side(scenes.select("tile", "date", F.coalesce("cloud", F.lit(100.0)).alias("cloud_scene")), MAX_SCENES)
-    zones = zonal_stats(masked_indices(pixels.join(picked.select("tile", "date"), ["tile", "date"], "left_semi"), indices), indices)
+    zones = zonal_indices(pixels.join(picked.select("tile", "date"), ["tile", "date"], "left_semi"), indices, judged=pixels)
     kept = min_zone_px(zones, min_px_count, "ndvi" if "NDVI" in indices else indices[0].lower())
     return unpivot_zonal(kept.join(picked, ["tile", "date"]), indices, ["date", "tile", "parcel_id", "cloud_scene"])
 

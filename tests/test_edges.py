@@ -431,3 +431,33 @@ def test_points_are_packed_once_and_many_blocks_meet(spark, monkeypatch):
     for blocks in packed:
         keys = [key for b in blocks for key in b["p_keys"]]
         assert len(keys) == len(set(keys)) and max(len(b["p_keys"]) for b in blocks) < 4 * 30 and len(blocks) > 8
+
+
+@pytest.mark.parametrize("px", [1, 40])
+def test_zones_by_pixels_or_by_sums(spark, monkeypatch, px):
+    """Small zones are shuffled as pixels, once; large ones are combined first; either gives the plain result."""
+    from furrow.operators import raster
+
+    monkeypatch.setattr(raster, "LARGE_LOT_PX", 100)
+    n = F.col("id")
+    pixels = spark.range(0, 4000, 1, 4).select(
+        F.concat(F.lit("T"), (n % 1).cast("string")).alias("tile"),  # no constants, which the plan would fold
+        F.date_add(F.lit(DAY0), (n % 1).cast("int")).alias("date"),
+        F.when(n % 4 == 0, F.lit(-1)).when(n % 101 == 1, F.lit(None)).otherwise(F.floor(n / px)).cast("long").alias("parcel_id"),
+        *[(n % k + 1).cast("double").alias(b) for b, k in (("nir", 97), ("red", 31), ("green", 13), ("blue", 7), ("swir", 53))],
+        (n % 12).cast("int").alias("scl"),
+    )
+    large = raster._large_lots(pixels.where("parcel_id is not null"), raster.ZONE)
+    assert large is None if px == 40 else len(large) == 1  # a fourth of all pixels is one parcel
+    got = raster.zonal_indices(pixels)
+    want = raster.zonal_stats(raster.masked_indices(pixels))
+    assert got.columns == want.columns
+    same = {r["parcel_id"]: r.asDict() for r in want.collect()}
+    rows = got.collect()
+    assert len(rows) == len(same)
+    for r in rows:
+        assert r.asDict() == pytest.approx(same[r["parcel_id"]])
+    small = raster.zonal_indices(pixels.where("parcel_id >= 0"))
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert px == 40 or plan.index("Exchange hashpartitioning") > plan.rindex("HashAggregate")  # below both steps of the aggregation
