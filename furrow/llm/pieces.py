@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable
+from itertools import chain
 
+import numpy as np
 import regex
 
 _ALONE = regex.compile(r"(?<=\S) (?=\S)")
@@ -26,30 +28,73 @@ def pieces(text: str) -> list[str]:
     return _ALONE.split(text) if runs else text.split(" ")
 
 
+class _Numbers(dict):
+    """Pieces numbered as they are met; ``new`` are those met since it was emptied last. A tuple is a piece that begins a text."""
+
+    def __init__(self):
+        self.new: list[str | tuple[str]] = []
+
+    def __missing__(self, piece: str | tuple[str]) -> int:
+        self.new.append(piece)
+        number = self[piece] = len(self)
+        return number
+
+
 class Encoded:
-    """texts -> bytes; ``encode`` gets all unknown pieces of a group of texts at once."""
+    """texts -> bytes; ``encode`` gets all unknown pieces of a group of texts at once.
+
+    What pieces encode to lies in one array of 32-bit ids, from which texts are gathered by their pieces' numbers. A full cache keeps
+    the pieces that were met again, the more frequent ones up to half its size.
+    """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], entries: int = CACHE_ENTRIES):
         self.encode, self.entries = encode, entries
-        self.begin: dict[str, bytes] = {}  # pieces that begin a text
-        self.known: dict[str, bytes] = {}  # pieces behind a space, without it
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers, self.ids, self.ends = _Numbers(), np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        self.met = np.zeros(0, np.int64)
+
+    def _shrink(self) -> None:
+        least = max(2, int(np.sort(self.met)[-(self.entries // 2) - 1]) + 1)
+        kept = np.flatnonzero(self.met >= least)
+        names, lengths, begin = list(self.numbers), np.diff(self.ends)[kept], self.ends[kept]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        self.ids = self.ids[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], lengths)]
+        self.ends, self.met, self.numbers = ends, self.met[kept], _Numbers()
+        self.numbers.update((names[k], i) for i, k in enumerate(kept.tolist()))
 
-    def _learn(self, into: dict[str, bytes], pieces: set[str], space: str) -> None:
-        if new := [x for x in pieces if x not in into]:
-            into.update(zip(new, self.encode([space + x for x in new]), strict=True))
+    def _learn(self) -> None:
+        new, self.numbers.new = self.numbers.new, []
+        found = self.encode([x[0] if isinstance(x, tuple) else " " + x for x in new])
+        ends = self.ends[-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)
+        self.ids, self.ends = np.concatenate([self.ids, np.frombuffer(b"".join(found), "<u4")]), np.concatenate([self.ends, ends])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) + len(self.begin) > self.entries:
-            self.known.clear()
-            self.begin.clear()
+        if not texts:
+            return []
+        if len(self.numbers) > self.entries:
+            self._shrink()
         cut = [pieces(t) for t in texts]
-        found = [list(map(self.known.get, c[1:])) for c in cut]
-        missing = [i for i, f in enumerate(found) if None in f]
-        self._learn(self.known, set().union(*[cut[i][1:] for i in missing]), " ")
-        self._learn(self.begin, {c[0] for c in cut}, "")
-        for i in missing:
-            found[i] = list(map(self.known.__getitem__, cut[i][1:]))
-        return [self.begin[c[0]] + b"".join(f) for c, f in zip(cut, found, strict=True)]
+        for c in cut:
+            c[0] = (c[0],)
+        counts = np.fromiter(map(len, cut), np.int64, len(cut))
+        at = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
+        if self.numbers.new:
+            try:
+                self._learn()
+            except BaseException:
+                self._forget()  # numbers without ids
+                raise
+        met = np.bincount(at, minlength=len(self.numbers))
+        met[: len(self.met)] += self.met
+        self.met = met
+        begin = self.ends[at]
+        lengths = self.ends[at + 1] - begin
+        after = np.cumsum(lengths)
+        out = self.ids[np.arange(after[-1]) + np.repeat(begin - after + lengths, lengths)].tobytes()
+        bounds = [0, *(4 * after[np.cumsum(counts) - 1]).tolist()]
+        return [out[i:j] for i, j in zip(bounds, bounds[1:])]
 
 
 def grouped(lengths: list[int], most: int = 1 << 21) -> list[slice]:

@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import os
 import struct
+import sys
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -36,6 +37,8 @@ from pyspark.sql import functions as F
 from furrow.llm.common import new_path, text_or_empty
 from furrow.llm.pieces import CACHE_ENTRIES, Encoded, grouped
 
+#: Signs that the pattern makes words of their own behind letters.
+SIGNS = frozenset(".,;:!?")
 CHUNK_SCHEMA = "part int, chunk int, first_id long, n_ids long, keys array<long>, lengths array<long>, blocks array<array<binary>>"
 
 
@@ -108,6 +111,23 @@ def with_added(encode: Callable[[list[str]], list[bytes]], tokenizer, added: lis
     return run
 
 
+@lru_cache(maxsize=1)
+def disputed_letters() -> frozenset[str]:
+    """Characters that are letters to Python alone, not to the pattern."""
+    every = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalpha())
+    return frozenset(every).difference(regex.findall(r"\p{L}", every))
+
+
+def plain_words(piece: str) -> tuple[str, ...] | None:
+    """What the pattern cuts a piece of letters, with a sign behind them or none, into; None for other pieces."""
+    letters, sign = piece.removeprefix(" "), ""
+    if letters[-1:] in SIGNS:
+        letters, sign = letters[:-1], letters[-1:]
+    if not letters.isalpha() or not (letters.isascii() or disputed_letters().isdisjoint(letters)):
+        return None
+    return (piece[:-1], sign) if sign else (piece,)
+
+
 @lru_cache(maxsize=2)
 def library_encoder(path: str, added_tokens: bool = False) -> Callable[[list[str]], list[bytes]]:
     """Texts to ids by the tokenizers library; strings of added tokens in a text are those tokens if ``added_tokens``, else ordinary text.
@@ -125,7 +145,10 @@ def library_encoder(path: str, added_tokens: bool = False) -> Callable[[list[str
     words: dict[str, bytes] = {}
 
     def ids(word: str) -> bytes:
-        mapped = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(alphabet)
+        if word.isascii() and word.isprintable():
+            mapped = word.replace(" ", alphabet[32])  # the others stand for themselves
+        else:
+            mapped = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(alphabet)
         found = [token.id for token in merge(mapped)]
         return struct.pack(f"<{len(found)}I", *found)
 
@@ -133,7 +156,7 @@ def library_encoder(path: str, added_tokens: bool = False) -> Callable[[list[str
         """The pieces' words, each distinct one merged by the library once."""
         if len(words) > CACHE_ENTRIES:
             words.clear()
-        cut = [find(x) for x in new]
+        cut = [plain_words(x) or find(x) for x in new]
         missing = [x for x in set().union(*cut) if x not in words]
         words.update(zip(missing, map(ids, missing), strict=True))
         get = words.__getitem__
