@@ -32,6 +32,8 @@ BINS = 33
 LOCAL_ROWS = 16_384
 #: Large nodes of a tree whose counts are summed in one group.
 NODES_TOGETHER = 32
+#: Cells (node, bin, class) for each row of a level up to which all are counted.
+CELLS_EACH = 2
 MAX_DEPTH = 30
 #: Gains below this are rounding.
 LEAST_GAIN = 1e-12
@@ -95,23 +97,108 @@ class Subtree:
             at[open_] = self.child[i] + (codes[open_, self.feature[i]] > self.bin[i])
 
 
+def _level_cuts(codes: np.ndarray, looked: np.ndarray, place: np.ndarray, y: np.ndarray, times: np.ndarray, total: np.ndarray, weights: np.ndarray, min_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gain, feature and bin of the best cut of every node of a level, the first of equal ones; the gain is 0 where none suits.
+
+    ``codes`` has a line for each feature, ``place`` is each row's node, in order, and ``total`` the nodes' class counts. Where nodes hold many rows, class counts
+    of every bin give all gains. Elsewhere the gains come from running sums of squares first, with a bound of their rounding, and the
+    class counts are taken only for cuts that may be a node's best.
+    """
+    (nodes, classes), slots = total.shape, looked.shape[1]
+    n, weighted, each = total.sum(1), total * weights, np.arange(nodes)
+    gain, slot, bins = np.zeros(nodes), np.zeros(nodes, np.int64), np.zeros(nodes, np.int64)
+    rows = np.arange(len(y))
+
+    def exact(left: np.ndarray, node: np.ndarray) -> np.ndarray:
+        return _best(left * weights, left.sum(1), weighted[node], n[node], min_rows)
+
+    if nodes * BINS * classes <= CELLS_EACH * len(y):
+        every = np.repeat(each, BINS)
+        for s in range(slots):
+            cells = np.bincount((place * BINS + codes[looked[place, s], rows]) * classes + y, times, nodes * BINS * classes).astype(np.int64)
+            found = exact(np.cumsum(cells.reshape(nodes, BINS, classes), axis=1).reshape(-1, classes), every).reshape(nodes, BINS)
+            b = found.argmax(axis=1)
+            better = found[each, b] > np.maximum(gain, LEAST_GAIN)
+            gain[better], slot[better], bins[better] = found[each, b][better], s, b[better]
+        return gain, looked[each, slot], bins
+
+    # All sums are of shares of the node's weight, so that a node's share of the running sums' rounding is bounded.
+    w = weighted.sum(1, keepdims=True)
+    squares = ((weighted / w) ** 2).sum(1)
+    group, unit = place * classes + y, weights[y] / w[place, 0]
+    earlier = (np.cumsum(total) - total.ravel())[group]
+    share, doubled = times * unit, times * unit * unit
+    met = share * (weighted / w).ravel()[group]
+    starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+    n_before = np.cumsum(n) - n
+    slack = 16 * np.finfo(float).eps * len(y) * nodes
+    shift = len(y).bit_length()
+    by_group, by_node = (group * BINS) << shift | rows, (place * BINS) << shift | rows
+    low, kept = np.zeros(nodes), []
+    for s in range(slots):
+        code = codes[looked[place, s], rows].astype(np.int64) << shift
+        # A row adds to its class's square by how much of the class is left of it.
+        i = np.sort(by_group + code) & ((1 << shift) - 1)
+        t = times[i]
+        added = np.empty(len(y))
+        added[i] = doubled[i] * (2 * (np.cumsum(t) - t - earlier[i]) + t)
+        key = np.sort(by_node + code)
+        i, key = key & ((1 << shift) - 1), key >> shift
+        ends = np.flatnonzero((key[1:] != key[:-1]) & (place[1:] == place[:-1]))
+        node = place[ends]
+        n_left = np.cumsum(times[i])[ends] - n_before[node]
+        allowed = (n_left >= min_rows) & (n[node] - n_left >= min_rows)
+        ends, node = ends[allowed], node[allowed]
+        if not len(ends):
+            continue
+
+        def left_of(x: np.ndarray) -> np.ndarray:
+            running = np.cumsum(x[i])
+            return running[ends] - (running[starts] - x[i[starts]])[node]
+
+        p, left = left_of(share), left_of(added)
+        right = squares[node] - 2 * left_of(met) + left
+        p, q = np.maximum(p, slack), np.maximum(1 - p, slack)
+        about, wrong = left / p + right / q - squares[node], slack / np.minimum(p, q)
+        first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+        low[node[first]] = np.maximum(low[node[first]], np.maximum.reduceat(about - wrong, first))
+        near = about + wrong >= low[node]
+        kept.append((node[near], np.full(near.sum(), s), key[ends[near]] % BINS, (about + wrong)[near]))
+    if not kept:
+        return gain, looked[each, slot], bins
+    node, s, b, high = (np.concatenate(x) for x in zip(*kept))
+    near = np.flatnonzero(high >= low[node])
+    near = near[np.argsort(node[near], kind="stable")]
+    node, s, b = node[near], s[near], b[near]
+    size = np.diff(np.r_[starts, len(y)])[node]
+    cut = np.repeat(np.arange(len(node)), size)
+    at = np.arange(len(cut)) + np.repeat(starts[node] - np.cumsum(size) + size, size)
+    inside = codes[looked[node, s][cut], at] <= b[cut]
+    cut, at = cut[inside], at[inside]
+    found = exact(np.bincount(cut * classes + y[at], times[at], len(node) * classes).astype(np.int64).reshape(-1, classes), node)
+    first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+    hit = np.flatnonzero(found == np.repeat(np.maximum.reduceat(found, first), np.diff(np.r_[first, len(found)])))
+    owner, where = np.unique(node[hit], return_index=True)
+    better = found[hit[where]] > LEAST_GAIN
+    owner, where = owner[better], hit[where[better]]
+    gain[owner], slot[owner], bins[owner] = found[where], s[where], b[where]
+    return gain, looked[each, slot], bins
+
+
 def grow(codes: np.ndarray, y: np.ndarray, times: np.ndarray, weights: np.ndarray, tree: int, root: int, depth: int, min_rows: int, seed: int) -> tuple[Subtree, np.ndarray]:
     """The subtree below node ``root`` and the gain of each feature in it, times the weight it was made on.
 
-    All nodes of a level are cut at once: rows ordered by (node, bin) of a feature have the counts left of every cut as running sums.
+    All nodes of a level are cut at once.
     """
     features, classes = codes.shape[1], len(weights)
     gains = np.zeros(features)
     feature, bins, child, leaves = [np.zeros(1, np.int16)], [np.zeros(1, np.uint8)], [np.full(1, -1, np.int32)], []
-    counts = np.zeros((len(y), classes), np.int32)
-    counts[np.arange(len(y)), y] = times
+    by_feature = np.ascontiguousarray(codes.T)
     rows, at = np.arange(len(y)), np.zeros(len(y), np.int64)  # rows still moving, ordered by their node of this level
     heap, level, made, n_leaves = np.array([root], np.int64), root.bit_length() - 1, 1, 0
     while len(heap):
         nodes = len(heap)
-        total = np.zeros((nodes, classes), np.int64)
-        for c in range(classes):
-            total[:, c] = np.bincount(at, weights=counts[rows, c], minlength=nodes)
+        total = np.bincount(at * classes + y[rows], times[rows], nodes * classes).astype(np.int64).reshape(nodes, classes)
         n, weighted = total.sum(1), total * weights
         gain, cut_f, cut_b = np.zeros(nodes), np.full(nodes, -1), np.zeros(nodes, np.int64)
         open_ = ((total > 0).sum(1) > 1) & (n >= 2 * min_rows) if level < depth else np.zeros(nodes, bool)
@@ -120,30 +207,9 @@ def grow(codes: np.ndarray, y: np.ndarray, times: np.ndarray, weights: np.ndarra
             live, place = rows[moving], (np.cumsum(open_) - 1)[at[moving]]
             ids = np.flatnonzero(open_)
             looked = _looked_at(tree, heap[ids], features, seed)
-            top, t_n, t_w = np.zeros(len(ids)), n[ids], weighted[ids]
-            before = np.concatenate([np.zeros((1, classes), np.int64), np.cumsum(total[ids], axis=0)[:-1]])
-            for slot in range(looked.shape[1]):
-                code = codes[live, looked[place, slot]]
-                key = place * BINS + code
-                order = np.argsort(key, kind="stable")
-                key = key[order]
-                ends = np.flatnonzero((key[1:] != key[:-1]) & (key[1:] // BINS == key[:-1] // BINS))
-                if not len(ends):
-                    continue
-                left = np.cumsum(counts[live[order]], axis=0, dtype=np.int64)[ends]
-                node = key[ends] // BINS
-                left -= before[node]
-                found = _best(left * weights, left.sum(1), t_w[node], t_n[node], min_rows)
-                first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-                best = np.maximum.reduceat(found, first)
-                # The first cut of equal gain.
-                hit = np.flatnonzero(found == np.repeat(best, np.diff(np.r_[first, len(found)])))
-                owner, where = np.unique(node[hit], return_index=True)
-                better = best > np.maximum(top[owner], LEAST_GAIN)
-                owner, where = owner[better], hit[where[better]]
-                top[owner] = found[where]
-                cut_f[ids[owner]], cut_b[ids[owner]] = looked[owner, slot], key[ends[where]] % BINS
-            gain[ids] = top
+            top, f, b = _level_cuts(by_feature[:, live], looked, place, y[live], times[live], total[ids], weights, min_rows)
+            found = top > 0
+            cut_f[ids[found]], cut_b[ids[found]], gain[ids] = f[found], b[found], top
         split = cut_f >= 0
         np.add.at(gains, cut_f[split], gain[split] * weighted[split].sum(1))
         # This level's nodes are the last ones made.

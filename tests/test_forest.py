@@ -59,6 +59,28 @@ def test_a_subtree_equals_trying_every_cut(depth, min_rows):
     assert len(gains) == 2 and (gains.sum() > 0) == (depth > 0)
 
 
+@pytest.mark.parametrize(("cells", "spread"), [(0, 0), (0, 5), (2, 5), (1_000_000, 0)])
+def test_both_ways_to_find_cuts_equal_trying_every_cut(monkeypatch, cells, spread):
+    """Also where class weights differ by many orders, and where features give equal cuts."""
+    monkeypatch.setattr(forest, "CELLS_EACH", cells)
+    codes, y, times = noisy(200)
+    weights = 10.0 ** np.array([-spread, 0, spread])
+    tree, gains = forest.grow(codes, y, times, weights, 0, 1, 20, 2, 42)
+    assert np.allclose(tree.shares(codes), plain(codes, y, times, weights, 20, 2))
+    # The first of equal cuts is taken.
+    tree, gains = forest.grow(codes[:, [0, 0]], y, times, weights, 0, 1, 20, 2, 42)
+    assert not tree.feature.any() and gains[0] > 0 == gains[1]
+
+
+def test_class_counts_are_taken_for_few_cuts(monkeypatch):
+    """Below the first levels, a node's class counts are taken for cuts that may be its best, not for all."""
+    seen = []
+    monkeypatch.setattr(forest, "_best", lambda left, *rest, real=forest._best: seen.append(len(left)) or real(left, *rest))
+    codes, y, times = noisy(4000, features=16, classes=8)
+    tree, _ = forest.grow(codes, y, times, np.ones(8), 0, 1, 20, 2, 42)
+    assert (tree.child >= 0).sum() > 500 and sum(seen) < 4 * 4000
+
+
 def rows_of(spark, n=400):
     rng = np.random.default_rng(5)
     x = np.round(rng.normal(size=(n, 5)), 2)
