@@ -432,24 +432,38 @@ def _subtrees(rows: DataFrame, tops: Sequence[Top], n: int, features: int, weigh
     return cut_lineage(sent.groupBy("tree", "node").applyInPandas(finish, "tree int, node long, feature binary, bin binary, child binary, leaves binary, gains array<double>"))
 
 
-def fit_forest(train: DataFrame, features: Sequence[str], label: str = "label_id", trees: int = 300, depth: int = 20, min_rows: int = 2, seed: int = 42) -> Forest:
-    """Random forest with balanced class weights (n / (K * n_c)). Rows without a label don't count."""
+class Training:
+    """Rows dealt to bins and stored, which any number of forests can be fitted on; ``close`` empties them."""
+
+    def __init__(self, train: DataFrame, features: Sequence[str], label: str = "label_id"):
+        self.features = list(features)
+        labelled = train.where(F.col(label).isNotNull())
+        sizes = sorted((r[0], r["n"]) for r in labelled.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each class
+        if not sizes:
+            raise ValueError("no labelled rows")
+        self.classes, self.counts = [c for c, _ in sizes], np.array([n for _, n in sizes])
+        names = [f"f{i}" for i in range(len(self.features))]
+        values = labelled.select(*[F.col(f"`{c}`").cast("double").alias(x) for c, x in zip(self.features, names)])
+        self.bounds = [np.unique(q) for q in values.approxQuantile(names, [i / (BINS - 1) for i in range(1, BINS)], 0.001)]
+        y = (F.array_position(F.array(*[F.lit(c) for c in self.classes]), F.col(label)) - 1).cast("long")
+        # The number of a row is stored with it: a lost task draws the same rows again.
+        self.rows = cut_lineage(_coded(labelled, self.features, self.bounds, [F.monotonically_increasing_id().alias("id"), y.alias("y")]))
+
+    def close(self) -> None:
+        discard(self.rows)
+
+
+def fit_forest(train: DataFrame | Training, features: Sequence[str], label: str = "label_id", trees: int = 300, depth: int = 20, min_rows: int = 2, seed: int = 42) -> Forest:
+    """Random forest with balanced class weights (n / (K * n_c)). Rows without a label don't count.
+
+    ``Training`` of the same features and label serves several fits; it stays open.
+    """
     if not 0 <= depth <= MAX_DEPTH:
         raise ValueError(f"depth must be in 0 to {MAX_DEPTH}")
-    features = list(features)
-    labelled = train.where(F.col(label).isNotNull())
-    sizes = sorted((r[0], r["n"]) for r in labelled.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each class
-    if not sizes:
-        raise ValueError("no labelled rows")
-    classes, counts = [c for c, _ in sizes], np.array([n for _, n in sizes])
+    data = train if isinstance(train, Training) else Training(train, features, label)
+    rows, features, classes, counts, bounds = data.rows, data.features, data.classes, data.counts, data.bounds
     n = int(counts.sum())
     weights = n / (len(classes) * counts)
-    names = [f"f{i}" for i in range(len(features))]
-    values = labelled.select(*[F.col(f"`{c}`").cast("double").alias(x) for c, x in zip(features, names)])
-    bounds = [np.unique(q) for q in values.approxQuantile(names, [i / (BINS - 1) for i in range(1, BINS)], 0.001)]
-    y = (F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)) - 1).cast("long")
-    # The number of a row is stored with it: a lost task draws the same rows again.
-    rows = cut_lineage(_coded(labelled, features, bounds, [F.monotonically_increasing_id().alias("id"), y.alias("y")]))
     tops, gains = [Top() for _ in range(trees)], np.zeros((trees, len(features)))
     active = {t: np.array([1], np.int64) for t in range(trees)} if n > LOCAL_ROWS and depth else {}
     while active:
@@ -470,7 +484,8 @@ def fit_forest(train: DataFrame, features: Sequence[str], label: str = "label_id
                     below.setdefault(r["tree"], []).append(node)
         active = {t: np.array(sorted(nodes), np.int64) for t, nodes in sorted(below.items())}
     subtrees = _subtrees(rows, tops, n, len(features), weights, depth, min_rows, seed)
-    discard(rows)
+    if data is not train:
+        data.close()
     for r in subtrees.select("tree", F.posexplode("gains").alias("f", "g")).groupBy("tree", "f").agg(F.sum("g").alias("g")).collect():  # features by trees
         gains[r["tree"], r["f"]] += r["g"]
     each = gains.sum(axis=1, keepdims=True)

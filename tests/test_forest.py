@@ -149,3 +149,16 @@ def test_importance_and_folds_of_a_forest(spark):
     assert {r["feature"] for r in table[:2]} == {"a", "e"} and sum(r["importance"] for r in table) == pytest.approx(1.0)
     scores = models.cv_macro_f1(rows, names, models.fit_random_forest, k=3, trees=20, depth=6).collect()
     assert sorted(r["fold"] for r in scores) == [0, 1, 2] and all(r["score"] > 0.3 for r in scores)
+
+
+def test_a_search_makes_the_bins_once_a_fold(spark, monkeypatch):
+    rows, names = rows_of(spark, 200), ["a", "b", "c.d", "e", "f"]
+    grid = {"trees": [3, 5], "depth": [2, 6]}
+    made = []
+    monkeypatch.setattr(forest, "_coded", lambda df, *rest, real=forest._coded: made.append("_row" not in df.columns) or real(df, *rest))
+    _, _, trials = models.random_search(rows, names, models.fit_random_forest, grid, n=4, k=2)
+    assert sum(made) == 2 + 1  # and once for the model of all rows
+    got = {r["params"]: r["score_mean"] for r in trials.collect()}
+    for params in ({"depth": 2, "trees": 3}, {"depth": 6, "trees": 5}):
+        alone = models.cv_macro_f1(rows, names, models.fit_random_forest, k=2, **params).collect()
+        assert got[", ".join(f"{k}={v}" for k, v in params.items())] == pytest.approx(np.mean([r["score"] for r in alone]))
