@@ -46,6 +46,8 @@ HASH_BITS, LEVEL_STEPS = 55, 4
 SHARED_EACH = 20
 #: Bits of the filter that names classes with partners: 16 for each class, at most 8 MB. A full filter passes everything.
 FILTER_BITS_EACH, FILTER_BITS_MOST = 16, 1 << 26
+#: Bits of a set's signature for each shingle, at least, the most bits, and the least in 64-bit numbers.
+SIGN_BITS_EACH, SIGN_BITS_MOST, SIGN_LONGS = 2, 1 << 16, 4
 #: Star rounds go on while a round joins more than one in so many of the classes it compared.
 WORTH = 50
 #: Others that a class is counted with in a star round at most.
@@ -125,6 +127,21 @@ def _keys(s: np.ndarray) -> tuple[int, int]:
     return int(u.sum(dtype=np.uint64).astype(np.int64)), int(mixed(u ^ np.uint64(len(u))).sum(dtype=np.uint64).astype(np.int64))
 
 
+def signature(s: np.ndarray) -> bytes:
+    """Parities of how many shingles fall on each bit: two sets differ in at least as many shingles as their signatures in bits."""
+    size = min(SIGN_BITS_MOST, 1 << max((64 * SIGN_LONGS - 1).bit_length(), (SIGN_BITS_EACH * len(s) - 1).bit_length()))
+    return np.packbits(np.bincount((mixed(s.astype(np.uint64)) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """In how many bits two signatures differ; the longer one is folded to the other's length."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) != len(y):
+        longer, y = (x, y) if len(x) > len(y) else (y, x)
+        x = np.bitwise_xor.reduce(longer.reshape(-1, len(y)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def profiles(docs: DataFrame, level: np.ndarray, percent: int) -> DataFrame:
     """Row number, id, name of the text, set size, set name and prefix of every document; a task gives the prefix of equal sets once."""
 
@@ -154,7 +171,7 @@ def text_name(column: str = "text"):
 
 
 def segments(docs: DataFrame, level: np.ndarray, bounds: np.ndarray, wanted: np.ndarray) -> DataFrame:
-    """The fragments' parts of the sets whose names pass the filter ``wanted``."""
+    """The fragments' parts of the sets whose names pass the filter ``wanted``, and as fragment -1 their signatures."""
     bits = np.uint64(len(wanted) * 8 - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,6 +184,8 @@ def segments(docs: DataFrame, level: np.ndarray, bounds: np.ndarray, wanted: np.
                 if not len(s) or name in seen or not _in_filter(wanted, bits, name[0]):
                     continue
                 seen.add(name)
+                for column, value in zip(out, (*name, -1, signature(s)), strict=True):
+                    column.append(value)
                 cuts = [0, *np.searchsorted(s, bounds).tolist(), len(s)]
                 for f in range(len(cuts) - 1):
                     if cuts[f] < cuts[f + 1]:
@@ -191,6 +210,19 @@ def _in_filter(wanted: np.ndarray, bits: np.uint64, name: int) -> bool:
     return all(wanted[int(at[0]) >> 3] >> (int(at[0]) & 7) & 1 for at in _filter_bits(np.array([name], np.int64), bits))
 
 
+def passing(df: DataFrame, column: str, wanted: np.ndarray) -> DataFrame:
+    """The rows of ``df`` whose ``column`` (long) may be in the filter ``wanted``."""
+    bits, at = np.uint64(len(wanted) * 8 - 1), df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            name = np.array(batch.column(at).to_numpy(zero_copy_only=False), np.int64)
+            hit = np.logical_and.reduce([(wanted[(x >> np.uint64(3)).astype(np.int64)] >> (x & np.uint64(7)).astype(np.uint8)) & 1 for x in _filter_bits(name, bits)])
+            yield batch.filter(pa.array(hit))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def name_filter(names: DataFrame) -> np.ndarray:
     """A Bloom filter of the column k1. Tasks build filters of one size, which are joined bytewise in a tree."""
     n = names.count()
@@ -228,8 +260,46 @@ def possible(percent: int):
     return (100 * F.least(ours, other) >= percent * F.greatest(ours, other)) & ((100 + percent) * most >= percent * (ours + other))
 
 
-def counted(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, n_a, n_b) that reach the similarity: overlaps are counted in each fragment and summed."""
+def near(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, n_a, n_b) that may reach the similarity by their signatures; stored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            apart = np.array([differing(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
+            keep = (100 + percent) * ((sizes - apart) // 2) >= percent * sizes
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:4]], ["a", "b", "n_a", "n_b"])
+
+    left, right = signs.select(F.col("class").alias("a"), F.col("sign").alias("sign_a")), signs.select(F.col("class").alias("b"), F.col("sign").alias("sign_b"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "sign_a", "sign_b")
+    return stored(both.mapInArrow(run, "a long, b long, n_a long, n_b long"), "near")
+
+
+def short_signs(signs: DataFrame) -> DataFrame:
+    """class and its signature folded to the least bits, as numbers s0, s1, ..."""
+    names = [f"s{i}" for i in range(SIGN_LONGS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                short = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.int64).reshape(-1, SIGN_LONGS), axis=0) for x in batch.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(x)) for x in short.T]], ["class", *names])
+
+    return signs.select("class", "sign").mapInArrow(run, ", ".join(["class long", *[f"{x} long" for x in names]]))
+
+
+def alike(percent: int):
+    """Columns n, other_n and short signatures allow the similarity: shared shingles are at most half of what the sizes exceed the differing bits by."""
+    both = F.col("n") + F.col("other_n")
+    apart = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"other_s{i}"))) for i in range(SIGN_LONGS)), F.lit(0))
+    return (100 + percent) * (both - apart) >= 2 * percent * both
+
+
+def counted(pairs: DataFrame, parts: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, shared) that reach the similarity; stored. Overlaps are counted in each fragment and summed, for pairs that signatures leave.
+
+    Only the parts of these pairs' sets are shuffled.
+    """
 
     def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,10 +307,14 @@ def counted(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
             shared = [len(np.intersect1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True)) for x, y in both]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(shared, pa.int64())], ["a", "b", "n_a", "n_b", "shared"])
 
-    left, right = parts.select(F.col("class").alias("a"), "fragment", F.col("part").alias("part_a")), parts.select(F.col("class").alias("b"), "fragment", F.col("part").alias("part_b"))
-    met = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", "part_a", "part_b")
+    close = near(pairs, signs, percent)
+    a, b = (passing(parts, "class", name_filter(close.select(F.col(x).alias("k1")).distinct())) for x in "ab")
+    left, right = a.select(F.col("class").alias("a"), "fragment", F.col("part").alias("part_a")), b.select(F.col("class").alias("b"), "fragment", F.col("part").alias("part_b"))
+    met = close.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", "part_a", "part_b")
     sums = met.mapInArrow(overlaps, "a long, b long, n_a long, n_b long, shared long").groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
-    return sums.where((100 + percent) * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b", "shared")
+    found = stored(sums.where((100 + percent) * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b", "shared"), "found")
+    emptied(close)
+    return found
 
 
 def _pairs(df: DataFrame) -> DataFrame:
@@ -253,38 +327,37 @@ def _pairs(df: DataFrame) -> DataFrame:
 def star(lists: DataFrame, percent: int, turn: int) -> DataFrame:
     """Every class with those of its lists' centres that it meets most often: one in the first turn, more in later ones.
 
-    The centres are of the list's commonest component, the members with the least of some hashes: what has not joined a large group
+    The centres are of the list's commonest component, the members with the least hashes: what has not joined a large group
     yet meets others of its members in every turn.
     """
     tries = min(CENTRES, 4**turn)
-    member = lambda i: F.struct(F.xxhash64("class", F.lit(turn), F.lit(i)).alias("hash"), "class", "n", "p")
-    drawn = F.array(*[F.min(member(i)) for i in range(tries)])
-    own = lists.groupBy("h", "label").agg(F.count("*").alias("k"), drawn.alias("drawn"))
     order = F.struct("k", F.xxhash64("label", F.lit(turn)).alias("hash"))
-    centres = own.groupBy("h").agg(F.max_by(F.struct("label", F.transform("drawn", lambda m: m.dropFields("hash")).alias("drawn")), order).alias("c"))
-    centres = centres.select("h", F.col("c.label").alias("other_label"), F.array_distinct("c.drawn").alias("drawn"))
-    others = lists.join(centres, "h").where(F.col("label") != F.col("other_label")).select("class", "n", "p", F.explode("drawn").alias("c"))
-    met = others.select("class", "n", "p", F.col("c.class").alias("other"), F.col("c.n").alias("other_n"), F.col("c.p").alias("other_p")).where(possible(percent))
+    common = lists.groupBy("h", "label").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("label", order).alias("common"))
+    marked = lists.join(common, "h")
+    drawn = F.row_number().over(Window.partitionBy("h").orderBy(F.xxhash64("class", F.lit(turn)), "class"))
+    centres = marked.where("label = common").select("h", F.col("class").alias("other"), F.col("n").alias("other_n"), F.col("p").alias("other_p"), drawn.alias("drawn"))
+    met = marked.where("label <> common").join(centres.where(F.col("drawn") <= tries).drop("drawn"), "h").where(possible(percent))
     counts = met.groupBy("class", "n", "other", "other_n").count()
     place = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("count"), "other"))
     return _pairs(counts.withColumn("place", place).where(F.col("place") <= tries).select("class", "n", "other", "other_n")).drop("met")
 
 
-def leftovers(lists: DataFrame, percent: int) -> DataFrame:
+def leftovers(lists: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     """All pairs of a list that lie in different components and meet as often as they must.
 
     At least one of such a pair isn't of the list's commonest component: those classes look for their others, so a component that
     fills a list meets only the few that are left. Lists have an order too, short ones first. A pair is taken up only in a list that may be
-    the first it meets in: either class has so many lists from there on as the pair must share. That leaves the head of each class's lists.
+    the first it meets in: either class has so many lists from there on as the pair must share. That leaves the head of each class's lists, where pairs are taken up
+    whose signatures allow it.
     """
     sizes = lists.groupBy("h", "label").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("label", F.struct("k", "label")).alias("common"), F.sum("k").alias("size"))
     own = Window.partitionBy("class").orderBy(F.desc("size"), F.desc("h"))  # a class's lists are no more than its prefix
     marked = lists.join(sizes, "h").withColumn("rare", F.col("label") != F.col("common")).withColumn("rest", F.row_number().over(own))
-    heads = marked.where(F.col("rest") >= fewest_met(percent)).drop("common", "size")
-    other = heads.select("h", *[F.col(c).alias(f"other_{c}") for c in ("class", "n", "p", "label", "rare", "rest")]).withColumnRenamed("other_class", "other")
+    heads = marked.where(F.col("rest") >= fewest_met(percent)).drop("common", "size").join(short_signs(signs), "class")
+    other = heads.select("h", *[F.col(c).alias(f"other_{c}") for c in ("class", "n", "p", "label", "rare", "rest", *[f"s{i}" for i in range(SIGN_LONGS)])]).withColumnRenamed("other_class", "other")
     once = ~F.col("other_rare") | (F.col("class") < F.col("other"))
     first = F.least("rest", "other_rest") >= least_met(percent, "n", "other_n")
-    met = _pairs(heads.where("rare").join(other, "h").where((F.col("label") != F.col("other_label")) & once & first & possible(percent))).drop("met")
+    met = _pairs(heads.where("rare").join(other, "h").where((F.col("label") != F.col("other_label")) & once & first & possible(percent) & alike(percent))).drop("met")
     whole = lists.groupBy("class").agg(F.collect_list("h").alias("hs"))
     left, right = whole.select(F.col("class").alias("a"), F.col("hs").alias("hs_a")), whole.select(F.col("class").alias("b"), F.col("hs").alias("hs_b"))
     shared = F.size(F.array_intersect("hs_a", "hs_b"))
@@ -314,39 +387,36 @@ def open_lists(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """The lists that hold more than one component, of classes with enough of them to have a partner there, with their labels; stored."""
     marked = lists.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     mixed_ones = marked.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("h")
-    held = stored(marked.join(mixed_ones, "h", "left_semi").select("h", "class", "n", "p", "label"), "mixed")
-    out = stored(held.join(often(held, percent), "class", "left_semi"), "open")
-    emptied(held)
-    return out
+    return stored(often(marked.join(mixed_ones, "h", "left_semi").select("h", "class", "n", "p", "label"), percent), "open")
 
 
 def often(lists: DataFrame, percent: int) -> DataFrame:
-    """The classes in so many lists that they may have a partner: it has at least the share of their shingles, and they meet it so often."""
-    return lists.groupBy("class", "n").agg(F.count("*").alias("lists")).where(F.col("lists") >= fewest_met(percent)).select("class")
+    """The rows of classes in so many lists that they may have a partner: it has at least the share of their shingles, and they meet it so often."""
+    of_class = F.count("*").over(Window.partitionBy("class"))  # a class's lists are no more than its prefix
+    return lists.withColumn("lists", of_class).where(F.col("lists") >= fewest_met(percent)).drop("lists")
 
 
 def class_lists(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(h, class, k1, n, p): the classes whose prefixes share a shingle with others often enough to have a partner; stored."""
+    """(h, class, n, p): the classes whose prefixes share a shingle with others often enough to have a partner; stored."""
     postings = rows.where("prefix is not null").select("row", F.posexplode("prefix").alias("p", "h"))
     several = stored(postings.groupBy("h").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high").select("h"), "several")
     shared = stored(postings.join(several, "h", "left_semi").select("h", "row", F.col("p").cast("long").alias("p")), "shared")
-    named = rows.where("prefix is not null").select("row", "k1", "k2", "n").join(classes.select("k1", "k2", "class"), ["k1", "k2"]).select("row", "class", "k1", "n")
+    named = rows.where("prefix is not null").select("row", "k1", "k2", "n").join(classes.select("k1", "k2", "class"), ["k1", "k2"]).select("row", "class", "n")
     # several tasks may have given a class's prefix
-    met = stored(shared.join(named, "row").groupBy("h", "class", "k1", "n", "p").agg(F.count("*").alias("rows")).drop("rows"), "met")
-    lists = stored(met.join(often(met, percent), "class", "left_semi"), "lists")
-    emptied(several, shared, met)
+    lists = stored(often(shared.join(named, "row").groupBy("class", "h", "n", "p").agg(F.count("*").alias("rows")).drop("rows"), percent), "lists")
+    emptied(several, shared)
     return lists
 
 
-def components_of(lists: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+def components_of(lists: DataFrame, parts: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     """(node, label) of the classes that link; stored."""
     spark = lists.sparkSession
     labels = stored(spark.createDataFrame([], "node long, label long"), "labels")
-    now = open_lists(lists.drop("k1"), labels, percent)
+    now = open_lists(lists, labels, percent)
     turn, last = 0, False
     while True:
-        pairs = stored(leftovers(now, percent) if last else star(now, percent, turn), "pairs")
-        found = stored(counted(pairs, parts, percent), "found")
+        pairs = stored(leftovers(now, signs, percent) if last else star(now, percent, turn), "pairs")
+        found = counted(pairs, parts, signs, percent)
         compared, joined = pairs.count(), found.count()
         before = labels
         if joined:
@@ -374,15 +444,16 @@ def members(docs: DataFrame, percent: int = PERCENT, fragments: int = FRAGMENTS)
     slim = stored(rows.drop("prefix", "row"), "rows")
     emptied(rows)
 
-    wanted = name_filter(lists.select("k1").distinct())
+    wanted = name_filter(classes.join(lists.select("class").distinct(), "class", "left_semi"))
     # dealt by the set's name at once, for the grouping and for the join
     parts = segments(docs, level, fragment_bounds(counts, level, fragments), wanted).repartition("k1", "k2").groupBy("k1", "k2", "fragment").agg(F.first("part").alias("part"))
     parts = stored(parts.join(classes.select("k1", "k2", "class"), ["k1", "k2"]).select("class", "fragment", "part"), "parts")
-    labels = components_of(lists, parts, percent)
+    signs = stored(parts.where("fragment < 0").select("class", F.col("part").alias("sign")), "signs")
+    labels = components_of(lists, parts.where("fragment >= 0"), signs, percent)
 
     of_class = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").select("k1", "k2", F.coalesce("label", "class").alias("label"))
     out = stored(slim.join(of_class, ["k1", "k2"], "left").select("doc_id", "t", "n", F.when(F.col("n") > 0, F.col("label")).alias("label")), "members")
-    emptied(classes, lists, slim, parts, labels)
+    emptied(classes, lists, slim, parts, signs, labels)
     return out
 
 
