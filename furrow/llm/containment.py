@@ -19,8 +19,9 @@ columns aren't read. Empty tables give an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -167,6 +168,10 @@ def blocks_of(items: DataFrame, most: int = BLOCK_BYTES, threshold: float = THRE
 
 def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, shared, item_shingles) of every document that has ``threshold`` of an item's shingles or more."""
+    return _found(docs, blocks_of(items, threshold=threshold), threshold)
+
+
+def _found(docs: DataFrame, blocks: Iterable[Items], threshold: float) -> DataFrame:
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, shared long, item_shingles long"
 
@@ -186,17 +191,38 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -
 
         return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, schema)
 
-    found = [search(block) for block in blocks_of(items, threshold=threshold)]
+    found = [search(block) for block in blocks]
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
 
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that contain no item, with all their columns.
 
-    A document is known by its id and text, so rows without an id are judged as well.
+    Each is judged by its text where it is read: only texts go to Python, and nothing is shuffled. Items of several blocks are sought
+    block by block, and the documents found, known by their ids and texts, are taken out by a join.
     """
+    spark = docs.sparkSession
+    blocks = blocks_of(items, threshold=threshold)
+    some = list(islice(blocks, 2))
+    if not some:
+        return docs
+    if len(some) == 1:
+        sent = spark.sparkContext.broadcast(some[0])
+
+        @F.arrow_udf("boolean")
+        def clear(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            known = sent.value
+            for texts in columns:
+                keep = np.ones(len(texts), bool)
+                for s in grouped(pc.binary_length(texts).to_pylist()):
+                    words, counts = word_hashes(texts[s].to_pylist())
+                    keep[[s.start + d for d, *_ in known.contained(by_text(words, counts), threshold)]] = False
+                yield pa.array(keep)
+
+        return docs.where(clear(text_or_empty()))
     name = F.xxhash64(F.col("doc_id").cast("long"), text_or_empty())
-    hits = contained(docs.select(name.alias("doc_id"), F.col("text")), items, threshold).select(F.col("doc_id").alias("_name")).distinct()
+    found = _found(docs.select(name.alias("doc_id"), F.col("text")), chain(some, blocks), threshold)
+    hits = found.select(F.col("doc_id").alias("_name")).distinct()
     rows = docs.select(name.alias("_name"), F.struct("*").alias("_row"))
     return rows.join(hits, "_name", "left_anti").select("_row.*")
 

@@ -102,3 +102,23 @@ def test_short_items_that_stand_once_in_long_texts():
     found = known.contained(by_text(words, counts), 0.8)
     assert {(d, known.ids[i]) for d, i, _ in found} == want
     assert containment.Items([1], ["a b c d e f"], 0.5).contained(by_text(*word_hashes(["x a b c d e y", "b c d e f"])), 0.5) == [(0, 0, 1), (1, 0, 1)]
+
+
+def test_texts_stay_where_they_are_read(spark):
+    items = [(1, "a stated query of six words"), (2, "another one that is sought")]
+    docs = documents(spark, [(i, f"document {i} with {'a stated query of six words' if i % 3 == 0 else 'nothing'} in it") for i in range(30)] + [(None, None), (None, items[1][1])])
+    kept = containment.clean(docs.repartition(3), items_table(spark, items))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and plan.count("Repartition") == 1
+    assert sorted(repr(r["doc_id"]) for r in kept.collect()) == sorted([repr(i) for i in range(30) if i % 3] + ["None"])
+
+
+def test_items_of_several_blocks(spark, monkeypatch):
+    items = [(i, f"item number {i} of {i} words") for i in range(6)]
+    docs = documents(spark, [(i, f"here is item number {i} of {i} words again") for i in range(9)] + [(None, "no id"), (None, items[5][1])])
+    one = containment.clean(docs, items_table(spark, items)).collect()
+    blocks = containment.blocks_of
+    monkeypatch.setattr(containment, "blocks_of", lambda items, threshold: blocks(items, 40, threshold))
+    assert containment.clean(docs, items_table(spark, items).coalesce(1))._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") > 2
+    several = containment.clean(docs, items_table(spark, items)).collect()
+    assert sorted(map(repr, one)) == sorted(map(repr, several)) and {r["doc_id"] for r in one} == {6, 7, 8, None}
