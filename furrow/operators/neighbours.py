@@ -144,9 +144,11 @@ class _Nearest:
             bound = np.nextafter(limit.astype(np.float32), np.float32(np.inf))
             close = near <= bound[:, None]
             close[itself, own[part][itself]] = False
-            i, j = np.nonzero(close)
-            for cut in range(0, len(i), MEASURED):
-                ii, jj = i[cut : cut + MEASURED] + start, j[cut : cut + MEASURED]
+            # Of a plain array numpy finds the few true places several times faster.
+            at = np.flatnonzero(close)
+            for cut in range(0, len(at), MEASURED):
+                ii, jj = np.divmod(at[cut : cut + MEASURED], near.shape[1])
+                ii += start
                 gap = p[jj] - self.q[ii]
                 distance = np.sqrt(np.einsum("ij,ij->i", gap, gap))
                 kept = distance <= self.limit[ii]
@@ -160,8 +162,9 @@ class _Nearest:
         touched[at] = True
         old = touched[self.at]
         at, names, distance = np.concatenate([at, self.at[old]]), np.concatenate([names, self.names[old]]), np.concatenate([distance, self.distance[old]])
-        rank = np.unique(names.astype(str), return_inverse=True)[1] if len(names) else np.zeros(0, int)
-        order = np.lexsort((rank, distance, at))
+        order = np.lexsort((distance, at))
+        if ((at[order][1:] == at[order][:-1]) & (distance[order][1:] == distance[order][:-1])).any():
+            order = np.lexsort((np.unique(names.astype(str), return_inverse=True)[1], distance, at))
         at, names, distance = at[order], names[order], distance[order]
         place = np.arange(len(at)) - np.searchsorted(at, at)
         full = place == self.k - 1

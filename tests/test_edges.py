@@ -461,3 +461,30 @@ def test_zones_by_pixels_or_by_sums(spark, monkeypatch, px):
     plan = small._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert px == 40 or plan.index("Exchange hashpartitioning") > plan.rindex("HashAggregate")  # below both steps of the aggregation
+
+
+def test_names_are_ordered_for_equal_distances_alone():
+    import numpy as np
+
+    from furrow.operators import neighbours
+
+    class Name(str):
+        def __str__(self):
+            raise AssertionError("compared without need")
+
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(300, 5))
+    names = np.array([Name(f"p{i:03}") for i in range(300)], object)
+    seen = neighbours._Nearest(names[:40], points[:40], 7)
+    for part in np.array_split(np.arange(300), 3):
+        seen.see(names[part], points[part])
+    gap = np.linalg.norm(points[:40, None] - points[None], axis=2)
+    np.fill_diagonal(gap, np.inf)
+    want = [(i, int(j)) for i in range(40) for j in np.argsort(gap[i])[:7]]
+    order = np.lexsort((seen.distance, seen.at))
+    assert [(int(i), int(n[1:])) for i, n in zip(seen.at[order], seen.names[order])] == want
+    # Ties still go to the smaller key, whatever the order of the blocks.
+    tied = neighbours._Nearest(np.array(["q"], object), np.zeros((1, 2)), 2)
+    for name in ("c", "a", "b"):
+        tied.see(np.array([name], object), np.array([[1.0, 0.0]]))
+    assert sorted(tied.names) == ["a", "b"]
